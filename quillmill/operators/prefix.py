@@ -1,8 +1,8 @@
 """Ordered running totals without a window over an unbounded group.
 
 Rows are ordered by ``(major, row)`` inside each ``by`` group. Windows run over
-blocks of at most ``BLOCK`` row numbers, then over block totals, then over totals
-of totals, so a hot group is spread over many tasks at every level."""
+blocks of at most ``BLOCK`` row numbers and then over one row per block, so the rows
+of a hot group are spread over many tasks and only their block totals meet."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+BLOCK = 16384
 
 _JOIN_OP = {
     "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
@@ -38,39 +38,26 @@ def running_total(
     agg, join_op = _AGG[op], _JOIN_OP[op]
     groups = list(by)
     keys = groups + ([major] if major else [])
-    source = df.withColumns({
-        "_v": value,
-        "_b1": F.floor(F.col(row) / block).cast("bigint"),
-    })
-
-    # totals of blocks, of blocks of blocks, and of whole (by, major) groups
-    level1 = source.groupBy(*keys, "_b1").agg(agg("_v").alias("_t1"))
-    level1 = level1.withColumn("_b2", F.floor(F.col("_b1") / block).cast("bigint"))
-    level2 = level1.groupBy(*keys, "_b2").agg(agg("_t1").alias("_t2"))
-
+    source = df.withColumns({"_v": value, "_b": F.floor(F.col(row) / block).cast("bigint")})
     before = lambda parts, order: (
         Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    starts2 = level2.withColumn("_o2", agg("_t2").over(before(keys, "_b2")))
+
+    # One row per block: what the earlier blocks of its group come to.
+    totals = source.groupBy(*keys, "_b").agg(agg("_v").alias("_t"))
+    starts = totals.withColumn("_start", agg("_t").over(before(keys, "_b")))
     if major:
-        level3 = level2.groupBy(*keys).agg(agg("_t2").alias("_t3"))
-        # one row per major value and group
-        starts3 = level3.withColumn("_o3", agg("_t3").over(before(groups, major)))
-        starts2 = starts2.join(starts3.select(*keys, "_o3"), keys).withColumn(
-            "_o2", join_op(F.col("_o2"), F.col("_o3"))
-        )
-    starts1 = (
-        level1.withColumn("_o1", agg("_t1").over(before([*keys, "_b2"], "_b1")))
-        .join(starts2.select(*keys, "_b2", "_o2"), [*keys, "_b2"])
-        .select(*keys, "_b1", join_op(F.col("_o1"), F.col("_o2")).alias("_start"))
-    )
+        # One row per major value: what the earlier majors come to.
+        majors = totals.groupBy(*keys).agg(agg("_t").alias("_t"))
+        earlier = majors.select(*keys, agg("_t").over(before(groups, major)).alias("_earlier"))
+        starts = starts.join(earlier, keys).withColumn("_start", join_op(F.col("_start"), F.col("_earlier")))
 
-    frame = Window.partitionBy(*keys, "_b1").orderBy(row).rowsBetween(
+    frame = Window.partitionBy(*keys, "_b").orderBy(row).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1
     )
     return (
         source.withColumn("_local", agg("_v").over(frame))
-        .join(starts1, [*keys, "_b1"])
+        .join(starts.select(*keys, "_b", "_start"), [*keys, "_b"])
         .withColumn(out, join_op(F.col("_local"), F.col("_start")))
         .select(*df.columns, out)
     )
@@ -93,8 +80,10 @@ def shuffled_position(
         "_bucket", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint") * buckets / 4294967296).cast("bigint")
     )
     local = Window.partitionBy(*by, "_bucket").orderBy("_h", tie)
+    # At most ``buckets`` rows per group.
     counts = hexed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    starts = running_total(counts, F.col("_n"), "_start", by=by, row="_bucket", block=256)
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     return (
         hexed.withColumn("_r", F.row_number().over(local) - 1)
         .join(starts.select(*by, "_bucket", "_start"), [*by, "_bucket"])

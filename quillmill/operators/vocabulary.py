@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.codec import byte_symbols
+from ..functions.sequences import inputs_of, targets_of
 from ..functions.text import pretokenize
-from ..functions.vocabulary import BASE_SIZE, BYTE_TO_ID, N_SPECIAL, Vocabulary
-from ..session import discard, materialize_at, scratch_path
+from ..functions.vocabulary import Vocabulary
 
 VOCAB_SCHEMA = T.StructType([
     T.StructField("token_id", T.IntegerType(), False),
@@ -21,16 +22,6 @@ VOCAB_SCHEMA = T.StructType([
 MERGES_SCHEMA = "rank int, left_id int, right_id int, new_id int"
 TOKEN_BYTES_SCHEMA = "token_id int, n_bytes int"
 
-# Symbol k is written as one character at this code point plus k, so that string
-# order is id order and a merge is a plain string replacement in the JVM.
-_SYMBOL_BASE = 0xF0000
-_LATIN1 = "".join(chr(b) for b in range(256))
-
-
-def _symbol(token_id: int) -> str:
-    return chr(_SYMBOL_BASE + token_id)
-
-
 def pretoken_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """How often each pre-token occurs; counts are combined before the shuffle."""
     return (
@@ -41,111 +32,26 @@ def pretoken_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def word_symbols(words: DataFrame) -> DataFrame:
-    """Pre-tokens as strings of base symbols: ``(symbols, n)``."""
-    latin = F.decode(F.encode("token", "UTF-8"), "ISO-8859-1")
-    table = "".join(_symbol(BYTE_TO_ID[b]) for b in range(256))
-    return words.select(F.translate(latin, _LATIN1, table).alias("symbols"), "n")
-
-
-def _pair_totals(words: DataFrame, symbols: Column) -> DataFrame:
-    """Weighted counts of adjacent symbols, keyed by the two-character pair."""
-    chars = words.select(F.split(symbols, F.lit("")).alias("c"), "n").filter(F.size("c") > 1)
-    pairs = F.zip_with(
-        F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", F.lit(2), F.size("c") - 1),
-        lambda a, b: F.concat(a, b),
-    )
-    return chars.select(F.explode(pairs).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n"))
+    """Pre-tokens as arrays of base symbols: ``(symbols, n)``."""
+    return words.select(byte_symbols(F.col("token")).alias("symbols"), "n")
 
 
-def adjacent_pair_counts(words: DataFrame) -> DataFrame:
-    """Weighted counts of adjacent base symbols as ``(left_id, right_id, n)``."""
-    totals = _pair_totals(word_symbols(words), F.col("symbols"))
-    return totals.select(
-        (F.ascii(F.substring("pair", 1, 1)) - _SYMBOL_BASE).alias("left_id"),
-        (F.ascii(F.substring("pair", 2, 1)) - _SYMBOL_BASE).alias("right_id"),
-        "n",
+def pair_totals(words: DataFrame) -> DataFrame:
+    """Weighted counts of adjacent symbols of ``(symbols, n)``."""
+    pairs = F.arrays_zip(
+        inputs_of(F.col("symbols")).alias("left_id"), targets_of(F.col("symbols")).alias("right_id")
+    )
+    return (
+        words.select(F.explode(pairs).alias("p"), "n")
+        .groupBy("p.left_id", "p.right_id")
+        .agg(F.sum("n").alias("n"))
     )
 
 
-def _accept(top: list[tuple[int, int, int]], room: int, values: list[bytes], known: dict[bytes, int],
-            truncated: bool) -> list[tuple[int, int]]:
-    """The leading pairs of ``top`` (best first) that one-at-a-time training would
-    also pick next, one after another.
-
-    Merging (a, b) only changes counts of pairs ending in a or starting with b,
-    and a pair it creates is no more frequent than one of those. So a later
-    candidate still leads as long as it touches no accepted pair and no pair that
-    ends in an accepted left or starts with an accepted right ties with it."""
-    accepted: list[tuple[int, int]] = []
-    lefts: set[int] = set()
-    rights: set[int] = set()
-    index = 0
-    while index < len(top) and len(accepted) < room:
-        left, right, n = top[index]
-        if accepted:
-            if left == right or left in rights or right in lefts:
-                break
-            if truncated and n == top[-1][2]:
-                break  # ties may continue beyond the rows we hold
-            rivals = (p for p in top[index + 1:] if p[2] == n)
-            if any(p[1] in lefts or p[0] in rights for p in rivals):
-                break
-        accepted.append((left, right))
-        lefts.add(left)
-        rights.add(right)
-        index += 1
-        # A self pair, or bytes that already are a token (whose counts then grow),
-        # breaks the argument above for what follows.
-        if left == right or values[left] + values[right] in known:
-            break
-    return accepted
-
-
-def bpe_train(
-    words: DataFrame, vocab_size: int, candidates: int = 2048, rewrite_every: int = 48, one_at_a_time: bool = False
-) -> Vocabulary:
-    """Learn merges from ``(token, n)`` until the vocabulary has ``vocab_size`` tokens.
-
-    The most frequent pair is merged first, the smallest ids first on ties. A
-    round is one job over the distinct words: count pairs, fetch the best
-    ``candidates``, accept as many merges as are certain. Merges are replayed as
-    string replacements until the word table is rewritten to scratch storage."""
-    if vocab_size < BASE_SIZE:
-        raise ValueError(f"vocab_size must be at least {BASE_SIZE}")
-    spark = words.sparkSession
-    path = scratch_path(spark, "bpe-words")
-    table = materialize_at(word_symbols(words), path)
-
-    vocab = Vocabulary()
-    values = list(vocab.token_values)
-    known = {value: i for i, value in enumerate(values) if i >= N_SPECIAL}
-    merges: list[tuple[int, int, int]] = []
-    symbols, pending = F.col("symbols"), 0
-
-    while len(values) < vocab_size:
-        top = [
-            (ord(r["pair"][0]) - _SYMBOL_BASE, ord(r["pair"][1]) - _SYMBOL_BASE, r["n"])
-            for r in _pair_totals(table, symbols).orderBy(F.desc("n"), "pair").limit(candidates).collect()
-        ]
-        if not top:
-            break
-        room = 1 if one_at_a_time else vocab_size - len(values)
-        for left, right in _accept(top, room, values, known, len(top) == candidates):
-            value = values[left] + values[right]
-            if value not in known:
-                known[value] = len(values)
-                values.append(value)
-            new = known[value]
-            merges.append((left, right, new))
-            symbols = F.replace(symbols, F.lit(_symbol(left) + _symbol(right)), F.lit(_symbol(new)))
-            pending += 1
-        if pending >= rewrite_every and len(values) < vocab_size:
-            old, path = path, scratch_path(spark, "bpe-words")
-            table = materialize_at(table.select(symbols.alias("symbols"), "n"), path)
-            discard(spark, old)
-            symbols, pending = F.col("symbols"), 0
-    discard(spark, path)
-    return Vocabulary(tuple(merges))
+def adjacent_pair_counts(words: DataFrame) -> DataFrame:
+    """Weighted counts of adjacent base symbols of ``(token, n)`` as ``(left_id,
+    right_id, n)``."""
+    return pair_totals(word_symbols(words))
 
 
 def vocab_table(spark: SparkSession, vocab: Vocabulary) -> DataFrame:

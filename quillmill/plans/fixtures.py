@@ -11,7 +11,9 @@ from ..functions.text import crop
 from ..functions.vocabulary import BYTE_LEVEL, Vocabulary
 from ..operators.corpus import with_rank, with_row_group
 from ..operators.evaluation import LM, MC, SCHEMA, SHOT_FIELDS
+from ..operators.prefix import dense_index
 from ..operators.sampling import fewshot_gather, fewshot_sample, seeded_shuffle
+from ..session import materialize
 from ..sources.corpus import corpus_from_table
 
 ROWS_PER_GROUP = 8
@@ -73,7 +75,7 @@ def eval_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     typed = mixed.withColumns({"task_type": kind, "gold": gold, "delimiter": F.lit(" ")})
     is_lm = F.col("task_type") == LM
-    return typed.select(
+    items = typed.select(
         "task", "idx", "item_id", "task_type", "delimiter",
         F.when(F.col("task_type") == MC, F.col("head")).alias("query"),
         F.when(F.col("task_type") == MC, placed("tail")).alias("choices"),
@@ -82,6 +84,7 @@ def eval_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(is_lm, F.concat("head", F.lit("\n"))).alias("context"),
         F.when(F.col("task_type") != MC, F.col("tail")).alias("continuation"),
     )
+    return materialize(items, "items")  # a bundle is prepared once and then read by all tasks
 
 
 def items_with_shots(spark: SparkSession, sf_dir: str, k: int = N_SHOTS) -> DataFrame:
@@ -91,8 +94,6 @@ def items_with_shots(spark: SparkSession, sf_dir: str, k: int = N_SHOTS) -> Data
 
 def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a step log: one run per user, steps in time order."""
-    from ..operators.prefix import dense_index
-
     events = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("run_id"), "event_id", "value"
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..constants import SPECIAL_TOKENS
 from ..functions.codec import bpe_decode, bpe_encode
 from ..functions.vocabulary import BYTE_LEVEL
-from ..operators import compression, vocabulary
+from ..operators import bpe_training, compression, vocabulary
 from ..operators.packing import next_token_targets, pack_sequences
 from ..session import materialize, scratch_path
 from ..sources.tokenizer_store import load_vocabulary, tokenizer_tables_read, tokenizer_tables_write
@@ -25,7 +25,7 @@ BPE = sql.bpe(
 
 
 def small_vocab(spark, sf_dir):
-    return vocabulary.bpe_train(train_words(spark, sf_dir), SMALL_VOCAB)
+    return bpe_training.bpe_train(train_words(spark, sf_dir), SMALL_VOCAB)
 
 
 @query(f"WITH {BPE}\n" + " UNION ALL ".join(
