@@ -105,13 +105,19 @@ def _encode_lists(lists: pa.Array, encode) -> pa.Array:
 IDS = ArrayType(IntegerType())
 
 
+def _once(function):
+    """Keep the optimizer from copying the call, for instance into the filter it
+    infers below an explode: every text is encoded a single time."""
+    return function.asNondeterministic()
+
+
 def _ids_function(vocab: Vocabulary):
     encode = _piece_encoder(vocab)
 
     def ids_of_pieces(pieces: pa.Array) -> pa.Array:
         return _encode_lists(pieces, encode)
 
-    return F.arrow_udf(ids_of_pieces, returnType=IDS)
+    return _once(F.arrow_udf(ids_of_pieces, returnType=IDS))
 
 
 def _nested_ids_function(vocab: Vocabulary):
@@ -121,7 +127,7 @@ def _nested_ids_function(vocab: Vocabulary):
         offsets = np.concatenate(([0], np.cumsum(_lengths(texts))))
         return _rebuild(offsets, _encode_lists(texts.flatten(), encode), np.asarray(texts.is_null()))
 
-    return F.arrow_udf(ids_of_texts, returnType=ArrayType(IDS))
+    return _once(F.arrow_udf(ids_of_texts, returnType=ArrayType(IDS)))
 
 
 def _pieces(text: Column, vocab: Vocabulary, allow_special: bool) -> Column:

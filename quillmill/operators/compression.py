@@ -15,8 +15,7 @@ def first_group_text(corpus: DataFrame) -> DataFrame:
     """The first row group of the first shard as one text, documents joined by
     newlines. ``corpus`` carries ``row_group``; a group is bounded by its row count."""
     head = corpus.filter(F.col("row_group") == 0)
-    first = head.agg(F.min("shard").alias("shard"))
-    picked = head.join(F.broadcast(first), "shard", "left_semi")  # one row
+    picked = head.filter(F.col("shard") == head.select(F.min("shard")).scalar())
     lines = F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda r: r["text"])
     return picked.agg(F.array_join(lines, "\n").alias("text"))
 

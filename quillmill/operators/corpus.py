@@ -4,7 +4,7 @@ A corpus has the columns ``shard``, ``row`` and ``text``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_DOC_CAP, DEFAULT_MAX_CHARS
@@ -14,12 +14,13 @@ from .prefix import dense_index, running_total
 
 def train_val_split(df: DataFrame, split: str, shard: str = "shard") -> DataFrame:
     """The last shard by name is ``val``, all others are ``train``; a corpus of one
-    shard has an empty train split. Only the shard column is read to find it."""
-    last = df.agg(F.max(shard).alias(shard))
+    shard has an empty train split. Its name is a scalar subquery over the shard
+    column alone, and the comparison with it reaches the scan."""
+    last = df.select(F.max(shard)).scalar()
     if split == "val":
-        return df.join(F.broadcast(last), shard, "left_semi")  # one row
+        return df.filter(F.col(shard) == last)
     if split == "train":
-        return df.join(F.broadcast(last), shard, "left_anti")
+        return df.filter(F.col(shard) != last)
     raise ValueError("split must be 'train' or 'val'")
 
 
@@ -61,10 +62,22 @@ def running_chars(df: DataFrame, out: str = "chars_before", length: Column | Non
 
 
 def char_budget(df: DataFrame, max_chars: int = DEFAULT_MAX_CHARS) -> DataFrame:
-    """Documents up to and including the one that crosses the limit."""
-    within = running_chars(df.select("shard", "row", F.length("text").alias("n")), length=F.col("n"))
-    kept = within.filter(F.col("chars_before") <= max_chars).select("shard", "row")
-    return df.join(kept, ["shard", "row"], "left_semi")
+    """Documents up to and including the one that crosses the limit.
+
+    What is kept is a prefix of the corpus, so the result is a filter and no text is
+    shuffled. Two jobs find where it ends: shard totals give the shard, and only that
+    shard is counted row by row."""
+    sizes = df.select("shard", "row", F.length("text").cast("bigint").alias("n"))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
+    shards = sizes.groupBy("shard").agg(F.sum("n").alias("n")).select(
+        "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")
+    )
+    last = shards.filter(F.col("before") <= max_chars).orderBy(F.desc("shard")).limit(1).first()
+    if last is None:
+        return df.limit(0)
+    rows = running_total(sizes.filter(F.col("shard") == last["shard"]), F.col("n"), "_n", by=["shard"])
+    end = rows.filter(F.col("_n") + last["before"] <= max_chars).agg(F.max("row")).first()[0]
+    return df.filter((F.col("shard") < last["shard"]) | ((F.col("shard") == last["shard"]) & (F.col("row") <= end)))
 
 
 def ordered_corpus(df: DataFrame) -> DataFrame:

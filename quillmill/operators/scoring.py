@@ -8,7 +8,7 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,11 +98,10 @@ def unigram_counts(targets: DataFrame, target: str = "target_id") -> DataFrame:
 def unigram_scorer(counts: DataFrame, vocab_size: int) -> DataFrame:
     """Add-one nats for every token id below ``vocab_size``: ``(target_id, nats)``."""
     ids = counts.sparkSession.range(vocab_size).select(F.col("id").cast("int").alias("target_id"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    # one row joined to one row per vocabulary entry
-    return ids.join(counts, "target_id", "left").join(F.broadcast(total)).select(
-        "target_id",
-        (-F.log((F.coalesce("n", F.lit(0)) + 1) / (F.col("total") + vocab_size))).alias("nats"),
+    n = F.coalesce("n", F.lit(0))
+    total = F.sum(n).over(Window.partitionBy(F.lit(0)))  # over one row per vocabulary entry
+    return ids.join(counts, "target_id", "left").select(
+        "target_id", (-F.log((n + 1) / (total + vocab_size))).alias("nats")
     )
 
 

@@ -96,4 +96,4 @@ def tokenize_with(df: DataFrame, make_tokenizer: Callable[[], Callable[[str], li
         known = {t: list(run(t)) for t in texts.dropna().unique()}
         return texts.map(known).astype(object).where(texts.notna(), None)
 
-    return df.withColumn(out, F.pandas_udf(tokenize, "array<int>")(F.col(text)))
+    return df.withColumn(out, F.pandas_udf(tokenize, "array<int>").asNondeterministic()(F.col(text)))
