@@ -9,6 +9,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -17,12 +18,12 @@ from ..constants import SPECIAL_TOKENS, special_id
 from .text import pretokenize
 from .vocabulary import BYTE_LEVEL, BYTE_TO_ID, Vocabulary
 
-CACHE_ENTRIES = 200_000
-CACHE_PIECE_CHARS = 64
+LONG_PIECE = 256
+NO_RANK = np.iinfo(np.int64).max
 
 
 def merge_symbols(ids: list[int], rules: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Apply merges, lowest rank first and leftmost among equals."""
+    """Merge one long piece: lowest rank first and leftmost among equals."""
     n = len(ids)
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))
@@ -52,30 +53,86 @@ def merge_symbols(ids: list[int], rules: dict[tuple[int, int], tuple[int, int]])
     return [x for x in ids if x >= 0]
 
 
-def _piece_encoder(vocab: Vocabulary):
-    """A function from one piece to its ids, with a bounded cache per worker."""
-    byte_ids = np.array(BYTE_TO_ID, dtype=np.int32)
-    specials = {name: [i] for i, name in enumerate(SPECIAL_TOKENS)}
-    rules = vocab.merge_rules
-    cache: dict[str, np.ndarray] = {}
-
-    def encode(piece: str) -> np.ndarray:
-        found = cache.get(piece)
-        if found is not None:
-            return found
-        if piece in specials:
-            ids = np.array(specials[piece], dtype=np.int32)
-        else:
-            ids = byte_ids[np.frombuffer(piece.encode("utf-8"), dtype=np.uint8)]
-            if rules and len(ids) > 1:
-                ids = np.array(merge_symbols(ids.tolist(), rules), dtype=np.int32)
-        if len(piece) <= CACHE_PIECE_CHARS:
-            if len(cache) >= CACHE_ENTRIES:
-                cache.clear()
-            cache[piece] = ids
-        return ids
-
-    return encode
+class PieceEncoder:
+    """Ids of many pieces at once. Every pass merges the lowest-ranked pair of every
+    short piece in one go; pieces that have nothing left to merge leave the set."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.rules = vocab.merge_rules
+        entries = sorted(((left << 32) | right, rank, new) for (left, right), (rank, new) in self.rules.items())
+        self.keys, self.ranks, self.news = (
+            np.array([e[i] for e in entries], dtype=np.int64) for i in range(3)
+        )
+
+    def __call__(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and where each piece starts in it and how many it has."""
+        offsets = np.frombuffer(pieces.buffers()[1], dtype=np.int32)[pieces.offset: pieces.offset + len(pieces) + 1]
+        size = np.diff(offsets).astype(np.int64)
+        data = pieces.buffers()[2]
+        raw = np.frombuffer(data, dtype=np.uint8)[offsets[0]: offsets[-1]] if data is not None else np.empty(0, np.uint8)
+        pool = np.array(BYTE_TO_ID, dtype=np.int32)[raw]
+        start = (offsets[:-1] - offsets[0]).astype(np.int64)
+        if len(self.keys):
+            pool, start, size = self._merge(pool, start, size)
+        return self._place_specials(pieces, pool, start, size)
+
+    def _merge(self, flat, start, size):
+        parts, n_done = [], 0
+        new_start, new_size = np.zeros_like(start), size.copy()
+
+        def finish(words, sizes, symbols):
+            nonlocal n_done
+            new_size[words] = sizes
+            new_start[words] = n_done + np.cumsum(sizes) - sizes
+            parts.append(symbols.astype(np.int32))
+            n_done += len(symbols)
+
+        for word in np.flatnonzero(size > LONG_PIECE):
+            ids = merge_symbols(flat[start[word]: start[word] + size[word]].tolist(), self.rules)
+            finish(np.array([word]), np.array([len(ids)]), np.array(ids, dtype=np.int32))
+
+        words = np.flatnonzero(size <= LONG_PIECE)
+        sizes = size[words]
+        owner = np.repeat(np.arange(len(words)), sizes)
+        symbols = flat[np.repeat(start[words] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(owner))].astype(np.int64)
+        while len(words):
+            rank = np.full(len(symbols), NO_RANK, dtype=np.int64)
+            key = (symbols[:-1] << 32) | symbols[1:]
+            slot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known = (self.keys[slot] == key) & (owner[:-1] == owner[1:])
+            rank[:-1][known] = self.ranks[slot[known]]
+
+            lowest = np.full(len(words), NO_RANK, dtype=np.int64)
+            filled = np.flatnonzero(sizes)
+            if len(filled):
+                lowest[filled] = np.minimum.reduceat(rank, (np.cumsum(sizes) - sizes)[filled])
+            done = lowest == NO_RANK
+            if done.any():
+                out = done[owner]
+                finish(words[done], sizes[done], symbols[out])
+                words, sizes, lowest = words[~done], sizes[~done], lowest[~done]
+                slot, rank, symbols = np.append(slot, 0)[~out], rank[~out], symbols[~out]
+                owner = np.repeat(np.arange(len(words)), sizes)
+                if not len(words):
+                    break
+            at = np.flatnonzero(rank == lowest[owner])
+            first = np.concatenate(([True], np.diff(at) != 1))
+            at = at[(np.arange(len(at)) - np.flatnonzero(first)[np.cumsum(first) - 1]) % 2 == 0]
+            keep = np.ones(len(symbols), dtype=bool)
+            keep[at + 1] = False
+            symbols[at] = self.news[slot[at]]
+            sizes = sizes - np.bincount(owner[at], minlength=len(words))
+            symbols, owner = symbols[keep], owner[keep]
+        return (np.concatenate(parts) if parts else flat), new_start, new_size
+
+    @staticmethod
+    def _place_specials(pieces, pool, start, size):
+        found = np.asarray(pc.index_in(pieces, pa.array(SPECIAL_TOKENS)).fill_null(-1))
+        special = np.flatnonzero(found >= 0)
+        if len(special):
+            start[special], size[special] = len(pool) + np.arange(len(special)), 1
+            pool = np.concatenate((pool, found[special].astype(np.int32)))
+        return pool, start, size
 
 
 def _lengths(lists: pa.Array) -> np.ndarray:
@@ -90,10 +147,7 @@ def _rebuild(offsets: np.ndarray, values: pa.Array, nulls: np.ndarray) -> pa.Arr
 def _encode_lists(lists: pa.Array, encode) -> pa.Array:
     """``list<string>`` pieces to ``list<int>`` ids, each distinct piece once."""
     coded = lists.flatten().dictionary_encode()
-    known = [encode(piece) for piece in coded.dictionary.to_pylist()]
-    size = np.array([len(ids) for ids in known], dtype=np.int64)
-    start = np.concatenate(([0], np.cumsum(size)))[:-1]
-    pool = np.concatenate(known) if known else np.empty(0, dtype=np.int32)
+    pool, start, size = encode(coded.dictionary)
     which = np.asarray(coded.indices, dtype=np.int64)
     lens = size[which]
     ends = np.concatenate(([0], np.cumsum(lens)))
@@ -112,7 +166,7 @@ def _once(function):
 
 
 def _ids_function(vocab: Vocabulary):
-    encode = _piece_encoder(vocab)
+    encode = PieceEncoder(vocab)
 
     def ids_of_pieces(pieces: pa.Array) -> pa.Array:
         return _encode_lists(pieces, encode)
@@ -121,7 +175,7 @@ def _ids_function(vocab: Vocabulary):
 
 
 def _nested_ids_function(vocab: Vocabulary):
-    encode = _piece_encoder(vocab)
+    encode = PieceEncoder(vocab)
 
     def ids_of_texts(texts: pa.Array) -> pa.Array:
         offsets = np.concatenate(([0], np.cumsum(_lengths(texts))))

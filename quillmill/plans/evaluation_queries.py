@@ -227,7 +227,7 @@ def gather_query(spark, sf_dir):
 
 def _render(task_type):
     def run(spark, sf_dir):
-        items = fixtures.items_with_shots(spark, sf_dir).filter(F.col("task_type") == task_type)
+        items = fixtures.with_shots(fixtures.eval_items(spark, sf_dir)).filter(F.col("task_type") == task_type)
         return ev.render_prompts(items).select("task", "idx", F.posexplode("prompts").alias("option", "prompt")).select(
             "task", "idx", "option", F.md5(F.encode("prompt", "UTF-8")).alias("digest")
         )
@@ -242,12 +242,13 @@ FROM (SELECT task, idx, unnest(prompts) AS prompt, generate_subscripts(prompts,
 """, name=_name)(_render(_type))
 
 
-def encoded(spark, sf_dir):
-    return ev.encode_prompts(ev.render_prompts(fixtures.items_with_shots(spark, sf_dir)))
+def encoded(spark, sf_dir, items=None):
+    items = items if items is not None else fixtures.eval_items(spark, sf_dir)
+    return ev.encode_prompts(ev.render_prompts(fixtures.with_shots(items)))
 
 
-def spanned(spark, sf_dir):
-    return ev.continuation_spans(encoded(spark, sf_dir))[0]
+def spanned(spark, sf_dir, items=None):
+    return ev.continuation_spans(encoded(spark, sf_dir, items))[0]
 
 
 @query(f"WITH {sql.OPTIONS}\nSELECT DISTINCT task, idx, cpre AS n_shared FROM common", name="common_prefix_len")
@@ -294,14 +295,15 @@ def pad_query(spark, sf_dir):
 # --- scores and decisions ---------------------------------------------------------
 
 
-def scored(spark, sf_dir):
+def scored(spark, sf_dir, items=None):
     counts, heads = _bigrams(spark, sf_dir)
-    targets = ev.span_targets(spanned(spark, sf_dir), KEYS)
+    targets = ev.span_targets(spanned(spark, sf_dir, items), KEYS)
     return scoring.ngram_scores(targets, counts, heads, V)
 
 
 def decisions(spark, sf_dir):
-    return ev.decide_items(scored(spark, sf_dir), fixtures.eval_items(spark, sf_dir), KEYS)
+    items = fixtures.eval_items(spark, sf_dir)
+    return ev.decide_items(scored(spark, sf_dir, items), items, KEYS)
 
 
 @query(f"""

@@ -87,8 +87,7 @@ def eval_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(items, "items")  # a bundle is prepared once and then read by all tasks
 
 
-def items_with_shots(spark: SparkSession, sf_dir: str, k: int = N_SHOTS) -> DataFrame:
-    items = eval_items(spark, sf_dir)
+def with_shots(items: DataFrame, k: int = N_SHOTS) -> DataFrame:
     return fewshot_gather(items, fewshot_sample(items, k), SHOT_FIELDS)
 
 

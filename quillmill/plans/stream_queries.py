@@ -20,15 +20,15 @@ from .token_queries import BATCH, SEQ
 N_SLICES = 4
 
 
-def staged(df, key, n=N_SLICES):
-    """Write ``df`` as a growing folder: one file set per range of ``key``, in order."""
+def staged(df, key, n=N_SLICES, files=1):
+    """Write ``df`` as a growing folder: ``files`` files per range of ``key``, in order."""
     path = scratch_path(df.sparkSession, "staged")
     edges = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
     width = (edges["hi"] - edges["lo"]) // n + 1
     for i in range(n):
         low = edges["lo"] + i * width
         part = df.filter((F.col(key) >= low) & (F.col(key) < low + width))
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.repartition(files).write.mode("append").parquet(path)
     return path
 
 
@@ -50,7 +50,9 @@ def stream_query(spark, sf_dir):
     "substr(text, 1, 10000)", "text"), name="stream_tokenize")
 def tokenize_query(spark, sf_dir):
     out = scratch_path(spark, "stream")
-    tokens = streams.stream_tokenize(documents(spark, sf_dir)).select("doc_id", "ids")
+    # one file is one task, so a stream of a single file is spread first
+    source = documents(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+    tokens = streams.stream_tokenize(source).select("doc_id", "ids")
     streams.append_parquet(tokens, f"{out}/data", f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/data").select("doc_id", F.md5(joined(F.col("ids"))).alias("digest"))
 
@@ -67,8 +69,8 @@ FROM bins WHERE n = 1025 AND k < 1024 GROUP BY ALL
 """, name="stream_pack")
 def pack_query(spark, sf_dir):
     docs = fixtures.table(spark, sf_dir, "documents").select("doc_id", "text")
-    path, out = staged(docs, "doc_id"), scratch_path(spark, "stream")
-    source = streams.corpus_stream(spark, path, docs.schema, max_files=1)
+    path, out = staged(docs, "doc_id", files=8), scratch_path(spark, "stream")
+    source = streams.corpus_stream(spark, path, docs.schema, max_files=8)
     tokens = streams.stream_tokenize(source).select(
         (F.col("doc_id") % 3).alias("rank"), F.lit("all").alias("shard"), F.col("doc_id").alias("row"), "ids"
     )
