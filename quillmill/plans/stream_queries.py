@@ -141,8 +141,9 @@ def chat_query(spark, sf_dir):
     rows = messages(spark, sf_dir)
     path, out = staged(rows, "turn", 3), scratch_path(spark, "stream")
     events = chat.chat_events(streams.corpus_stream(spark, path, rows.schema, max_files=1))
-    added = chat.stream_chat_context(events)
-    streams.append_parquet(added, f"{out}/data", f"{out}/state").awaitTermination()
-    return spark.read.parquet(f"{out}/data").select(
+    places = chat.stream_chat_context(events)
+    streams.append_parquet(places, f"{out}/data", f"{out}/state").awaitTermination()
+    placed = chat.placed_events(spark.read.parquet(f"{out}/data"), chat.chat_events(rows))
+    return placed.select(
         "conv_id", "turn", "segment", "start", F.md5(joined(F.col("ids"))).alias("digest")
     )

@@ -83,7 +83,21 @@ def tokenize_query(spark, sf_dir):
     return done.select(F.col("row").alias("doc_id"), F.size("ids").alias("n_tokens"))
 
 
-@query(name="tokenizer_tables")
+# Tokens of the small vocabulary as hexadecimal bytes, one merge after another.
+TOKEN_HEX = f"WITH {BPE},\ntok0 AS (SELECT ({sql.byte_id('b')})::INT AS token_id, lpad(upper(to_hex(b)), 2, '0') AS h FROM range(256) t(b)),\n" + ",\n".join(
+    f"tok{i} AS MATERIALIZED (SELECT * FROM tok{i - 1} UNION ALL SELECT {264 + i}, "
+    f"(SELECT h FROM tok{i - 1}, best{i} WHERE token_id = substr(pair, 2, 4)::INT) || "
+    f"(SELECT h FROM tok{i - 1}, best{i} WHERE token_id = substr(pair, 7, 4)::INT))"
+    for i in range(1, N_MERGES + 1)
+)
+SPECIAL_ROWS = ", ".join(f"({i}, '{name}')" for i, name in enumerate(SPECIAL_TOKENS))
+
+
+@query(f"""{TOKEN_HEX}
+SELECT token_id, h AS bytes_hex, false AS is_special, (len(h) // 2)::INT AS n_bytes FROM tok{N_MERGES}
+UNION ALL
+SELECT i, hex(encode(name)), true, 0 FROM (VALUES {SPECIAL_ROWS}) t(i, name)
+""", name="tokenizer_tables")
 def tables_query(spark, sf_dir):
     path = scratch_path(spark, "tokenizer")
     tokenizer_tables_write(spark, small_vocab(spark, sf_dir), path)
@@ -94,7 +108,17 @@ def tables_query(spark, sf_dir):
     )
 
 
-@query(name="token_byte_length")
+# A byte that starts or continues a multi-byte character decodes, alone, to the
+# three-byte replacement character; whole characters keep their length.
+@query(f"""{TOKEN_HEX},
+lone AS (
+  SELECT token_id, h, len(h) // 2 AS n,
+         len(regexp_extract_all(regexp_replace(regexp_replace(h, '(..)', ',\\1', 'g'), ',(C[2-9A-F]|D.),[89AB].', '', 'g'), ',[89A-F].')) AS n_broken
+  FROM tok{N_MERGES}
+)
+SELECT token_id, n::INT AS raw_bytes, (n + 2 * n_broken)::INT AS decoded_bytes FROM lone
+UNION ALL SELECT i, 0, 0 FROM range(9) t(i)
+""", name="token_byte_length")
 def byte_length_query(spark, sf_dir):
     vocab = small_vocab(spark, sf_dir)
     raw = vocabulary.token_bytes_table(spark, vocab, "raw").withColumnRenamed("n_bytes", "raw_bytes")

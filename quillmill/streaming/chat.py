@@ -18,7 +18,7 @@ from ..functions.vocabulary import BYTE_LEVEL, Vocabulary
 QUIT_WORDS = ("quit", "exit")
 CLEAR_WORD = "clear"
 
-EVENT_SCHEMA = "conv_id bigint, turn bigint, segment bigint, start bigint, ids array<int>"
+PLACE_SCHEMA = "conv_id bigint, turn bigint, segment bigint, start bigint"
 STATE_SCHEMA = "segment bigint, length bigint, ended boolean, waiting boolean"
 
 
@@ -50,7 +50,7 @@ def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
     segment, length, ended, waiting = state.get if state.exists else (0, 1, False, False)
     out = []
     events = pd.concat(list(frames)).sort_values("turn")
-    for turn, kind, ids in zip(events["turn"], events["kind"], events["ids"]):
+    for turn, kind, n_ids in zip(events["turn"], events["kind"], events["n_ids"]):
         if ended:
             break
         if kind == "quit":
@@ -58,26 +58,36 @@ def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
         elif kind == "clear":
             segment, length, waiting = segment + 1, 1, False
         elif kind == "ask" or waiting:
-            out.append((key[0], turn, segment, length, ids))
-            length += len(ids)
+            out.append((key[0], turn, segment, length))
+            length += int(n_ids)
             waiting = kind == "ask"
     state.update((int(segment), int(length), bool(ended), bool(waiting)))
-    yield pd.DataFrame(out, columns=["conv_id", "turn", "segment", "start", "ids"])
+    yield pd.DataFrame(out, columns=["conv_id", "turn", "segment", "start"])
 
 
 def stream_chat_context(events: DataFrame) -> DataFrame:
-    """What each event adds to its conversation's context: ``segment`` counts the
-    clears before it and ``start`` is its token position after the BOS that opens a
-    segment. The state is four numbers per conversation, not the context itself."""
-    return events.groupBy("conv_id").applyInPandasWithState(
-        _fold, EVENT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
+    """Where each event goes in the context of its conversation: ``segment`` counts
+    the clears before it and ``start`` is its token position in the segment, after
+    the BOS that opens it. Events that add nothing have no row.
+
+    Only turn numbers, kinds and lengths pass through the stateful operator and its
+    state is four numbers per conversation, so a conversation that holds much of the
+    stream stays cheap; the tokens themselves never meet in one task."""
+    light = events.select("conv_id", "turn", "kind", F.coalesce(F.size("ids"), F.lit(0)).alias("n_ids"))
+    return light.groupBy("conv_id").applyInPandasWithState(
+        _fold, PLACE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
     )
 
 
-def chat_contexts(additions: DataFrame) -> DataFrame:
-    """The whole context per conversation and segment, as the next question sees it.
-    One context is one row, so a group is a single conversation's text."""
+def placed_events(places: DataFrame, events: DataFrame) -> DataFrame:
+    """Placed events with their tokens."""
+    return places.join(events.select("conv_id", "turn", "ids"), ["conv_id", "turn"])
+
+
+def chat_contexts(placed: DataFrame) -> DataFrame:
+    """Whole contexts per conversation and segment. One context is one row, so use it
+    on the conversations that are about to be continued."""
     turns = F.array_sort(F.collect_list(F.struct("start", "ids")))
-    return additions.groupBy("conv_id", "segment").agg(
+    return placed.groupBy("conv_id", "segment").agg(
         F.concat(F.array(F.lit(BOS)), F.flatten(F.transform(turns, lambda t: t["ids"]))).alias("ids")
     )

@@ -80,7 +80,8 @@ def test_chat_context(spark, tmp_path):
     drop_files(spark, rows, schema, path, [3, 4, 3, 4])
     events = chat.chat_events(streams.corpus_stream(spark, path, schema, max_files=1))
     streams.append_parquet(chat.stream_chat_context(events), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    added = spark.read.parquet(str(tmp_path / "out"))
+    messages = spark.createDataFrame(rows, schema)
+    added = chat.placed_events(spark.read.parquet(str(tmp_path / "out")), chat.chat_events(messages))
     got = {(r.conv_id, r.turn): (r.segment, r.start) for r in added.collect()}
     assert got == {(1, 0): (0, 1), (1, 1): (0, 6), (1, 5): (1, 1), (1, 6): (1, 7), (2, 0): (0, 1), (2, 1): (0, 5), (2, 3): (0, 7)}
     contexts = {(r.conv_id, r.segment): r.ids for r in chat.chat_contexts(added).collect()}
