@@ -51,8 +51,3 @@ def targets_of(ids: Column) -> Column:
     return F.slice(ids, F.lit(2), F.greatest(F.size(ids) - 1, F.lit(0)))
 
 
-def rows_of(ids: Column, n_rows: int, width: int) -> Column:
-    """Cut a flat array into ``n_rows`` arrays of ``width``."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(n_rows - 1)), lambda r: F.slice(ids, r * width + 1, F.lit(width))
-    )

@@ -16,7 +16,7 @@ def first_group_text(corpus: DataFrame) -> DataFrame:
     newlines. ``corpus`` carries ``row_group``; a group is bounded by its row count."""
     head = corpus.filter(F.col("row_group") == 0)
     picked = head.filter(F.col("shard") == head.select(F.min("shard")).scalar())
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda r: r["text"])
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("row", "text"))), lambda r: r["text"])
     return picked.agg(F.array_join(lines, "\n").alias("text"))
 
 

@@ -158,7 +158,7 @@ def _render(merged: DataFrame, vocab: Vocabulary, max_tokens: int | None) -> Dat
     segments = _segments(merged, vocab)
     cut = (lambda c: F.slice(c, 1, max_tokens)) if max_tokens is not None else (lambda c: F.col(c))
     grouped = segments.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", cut("seg").alias("i"), cut("seg_mask").alias("m")))).alias("s"),
+        F.sort_array(F.collect_list(F.struct("turn", cut("seg").alias("i"), cut("seg_mask").alias("m")))).alias("s"),
         F.sum(F.size("seg").cast("bigint")).alias("n"),
     )
     ids = F.concat(_ids(BOS), F.flatten(F.transform("s", lambda x: x["i"])))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_DOC_CAP, DEFAULT_MAX_CHARS
 from ..functions.text import crop
-from .prefix import dense_index, running_total
+from .prefix import dense_index, int_div, running_total
 
 
 def train_val_split(df: DataFrame, split: str, shard: str = "shard") -> DataFrame:
@@ -28,7 +28,7 @@ def with_row_group(df: DataFrame, rows_per_group: int, dense: bool = False) -> D
     """Add ``row_group``. Unless ``row`` is known to be dense within the shard (as
     file row numbers are) positions are counted first."""
     indexed = df.withColumn("_i", F.col("row")) if dense else dense_index(df, "_i", major=None, by=["shard"])
-    return indexed.withColumn("row_group", F.floor(F.col("_i") / rows_per_group).cast("bigint")).drop("_i")
+    return indexed.withColumn("row_group", int_div(F.col("_i"), rows_per_group)).drop("_i")
 
 
 def with_rank(df: DataFrame, world: int) -> DataFrame:

@@ -11,69 +11,109 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequences import inputs_of, rows_of, targets_of
-from .prefix import running_total
+from ..functions.sequences import inputs_of, targets_of
+from .prefix import int_div, running_total
+
+
+def repeat_epochs(docs: DataFrame, epochs: int = 1) -> DataFrame:
+    """The corpus ``epochs`` times over, one pass after another: the shard becomes the
+    pair of pass and shard, which orders the stream."""
+    passes = docs.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    return passes.withColumn("shard", F.struct(F.col("_epoch").alias("epoch"), "shard")).drop("_epoch")
 
 
 def token_offsets(
     docs: DataFrame, by: Sequence[str] = ("rank",), major: str = "shard", row: str = "row", ids: str = "ids"
 ) -> DataFrame:
-    """Add ``off``, the stream position of each document's first token."""
-    return running_total(docs, F.size(ids).cast("bigint"), "off", by=by, major=major, row=row)
-
-
-def _pieces(placed: DataFrame, by: Sequence[str], ids: str, width: int, stride: int) -> DataFrame:
-    """Cut every document at the bin borders. Whole segments are exploded, never
-    single tokens: one row per bin that a document touches."""
-    off, n = F.col("off"), F.size(ids)
-    first = F.greatest(F.lit(0), F.floor((off - width) / stride) + 1).cast("bigint")
-    last = F.floor((off + n - 1) / stride).cast("bigint")
-    bins = placed.filter(n > 0).withColumn("batch", F.explode(F.sequence(first, last)))
-    begin = F.greatest(off, F.col("batch") * stride)
-    end = F.least(off + n, F.col("batch") * stride + width)
-    return bins.select(
-        *by,
-        "batch",
-        begin.alias("at"),
-        F.slice(ids, (begin - off + 1).cast("int"), (end - begin).cast("int")).alias("seg"),
-    )
+    """Add ``off``, the stream position of each document's first token, and ``total``,
+    the length of its stream. Lengths are taken from ``n_ids`` where the table has it,
+    so that they can be summed without reading the tokens."""
+    size = F.col("n_ids") if "n_ids" in docs.columns else F.size(ids)
+    return running_total(docs, size.cast("bigint"), "off", by=by, major=major, row=row, group_total="total")
 
 
-def _joined(column: str = "segs") -> Column:
-    ordered = F.array_sort(column)
-    return F.flatten(F.transform(ordered, lambda s: s["seg"]))
+class BatchShape:
+    """Where the rows of the batches lie in a token stream. Batch row R starts at token
+    ``start(R)`` and covers ``T+1`` tokens: its inputs and, one further, its targets."""
 
+    def __init__(self, batch_size: int, seq_len: int, overlap: bool = False):
+        self.rows, self.width = batch_size, seq_len + 1
+        self.seq_len, self.batch_tokens = seq_len, batch_size * seq_len + 1
+        self.stride = self.batch_tokens - 1 if overlap else self.batch_tokens
 
-def pack_tokens(
-    placed: DataFrame, batch_size: int, seq_len: int, by: Sequence[str] = ("rank",), ids: str = "ids",
-    overlap: bool = False,
+    def full_batches(self, total: Column) -> Column:
+        return F.greatest(F.lit(0), int_div(total - self.batch_tokens + self.stride, self.stride))
+
+    def start(self, r: Column) -> Column:
+        return int_div(r, self.rows) * self.stride + r % self.rows * self.seq_len
+
+    def last_row_at(self, position: Column) -> Column:
+        """The last row that starts at or before a position."""
+        batch = int_div(position, self.stride)
+        return batch * self.rows + F.least(int_div(position - batch * self.stride, self.seq_len), F.lit(self.rows - 1))
+
+    def first_row_with(self, position: Column) -> Column:
+        """The first row that reaches a position."""
+        ahead = position - self.width
+        return F.when(ahead < 0, F.lit(0)).otherwise(self.last_row_at(ahead) + 1)
+
+
+def _part(ids: str, begin: Column, end: Column) -> Column:
+    """The tokens of a document between two stream positions."""
+    off = F.col("off")
+    begin, end = F.greatest(off, begin), F.least(off + F.size(ids), end)
+    return F.slice(ids, (begin - off + 1).cast("int"), (end - begin).cast("int"))
+
+
+def _in_order(parts: str) -> Column:
+    return F.flatten(F.transform(F.sort_array(parts), lambda p: p["seg"]))
+
+
+def pack_rows(
+    placed: DataFrame, shape: BatchShape, by: Sequence[str] = ("rank",), ids: str = "ids",
+    limit_batches: int | None = None,
 ) -> DataFrame:
-    """Bins of documents that carry ``off``, as ``(by, batch, tokens)``. A bin holds
-    at most ``B*T+1`` tokens, so groups stay small whatever the rank count; the
-    last bin may be short."""
-    width = batch_size * seq_len + 1
-    stride = width - 1 if overlap else width
+    """Batch rows of documents that carry ``off`` and ``total``. Each document gives
+    one segment per batch row it reaches, and a group is one batch row of at most
+    ``T+1`` tokens, whatever the number of ranks. Unfilled batches are never formed."""
+    full = shape.full_batches(F.col("total"))
+    if limit_batches is not None:
+        full = F.least(full, F.lit(limit_batches))
+    first = shape.first_row_with(F.col("off"))
+    last = F.least(shape.last_row_at(F.col("off") + F.size(ids) - 1), full * shape.rows - 1)
+    r = F.col("_r")
     return (
-        _pieces(placed, by, ids, width, stride)
-        .groupBy(*by, "batch")
-        .agg(F.collect_list(F.struct("at", "seg")).alias("segs"))
-        .select(*by, "batch", _joined().alias("tokens"))
+        placed.filter((F.size(ids) > 0) & (first <= last))
+        .withColumn("_r", F.explode(F.sequence(first, last)))
+        .select(
+            *by, "_r",
+            F.struct(
+                F.greatest("off", shape.start(r)).alias("at"),
+                _part(ids, shape.start(r), shape.start(r) + shape.width).alias("seg"),
+            ).alias("part"),
+        )
+        .groupBy(*by, "_r")
+        .agg(F.collect_list("part").alias("parts"))
+        .select(
+            *by,
+            int_div(r, shape.rows).alias("batch"),
+            (r % shape.rows).cast("int").alias("row_in_batch"),
+            _in_order("parts").alias("tokens"),
+        )
+        .select(
+            *by, "batch", "row_in_batch",
+            F.slice("tokens", 1, shape.seq_len).alias("inputs"),
+            F.slice("tokens", 2, shape.seq_len).alias("targets"),
+        )
     )
 
 
-def batch_rows(bins: DataFrame, batch_size: int, seq_len: int, by: Sequence[str] = ("rank",)) -> DataFrame:
-    """Full bins as ``B`` rows of ``T`` inputs and targets."""
-    full = bins.filter(F.size("tokens") == batch_size * seq_len + 1)
-    return full.select(
-        *by,
-        "batch",
-        F.posexplode(
-            F.arrays_zip(
-                rows_of(inputs_of(F.col("tokens")), batch_size, seq_len).alias("inputs"),
-                rows_of(targets_of(F.col("tokens")), batch_size, seq_len).alias("targets"),
-            )
-        ).alias("row_in_batch", "pair"),
-    ).select(*by, "batch", "row_in_batch", "pair.inputs", "pair.targets")
+def stream_tail(placed: DataFrame, shape: BatchShape, by: Sequence[str] = ("rank",), ids: str = "ids") -> DataFrame:
+    """The tokens after the last full batch, less than one batch per group."""
+    begin = shape.full_batches(F.col("total")) * shape.stride
+    late = placed.filter(F.col("off") + F.size(ids) > begin)
+    part = F.struct(F.greatest("off", begin).alias("at"), _part(ids, begin, F.col("total")).alias("seg"))
+    return late.groupBy(*by).agg(F.collect_list(part).alias("parts")).select(*by, _in_order("parts").alias("tail"))
 
 
 def pack_sequences(
@@ -88,19 +128,13 @@ def pack_sequences(
     limit_batches: int | None = None,
 ) -> DataFrame:
     """Training batches ``(by, batch, row_in_batch, inputs, targets)``; an incomplete
-    tail is not emitted. By default the last token of a bin is only a target;
+    tail is not emitted. By default the last token of a batch is only a target;
     ``overlap`` also makes it the first input of the next one.
 
-    ``docs`` is read twice, for lengths and for tokens, so pass a stored table
-    when its ids are costly to compute."""
-    placed = token_offsets(docs, by, major, row, ids)
-    if limit_batches is not None:
-        stride = batch_size * seq_len + (0 if overlap else 1)
-        placed = placed.filter(F.col("off") < limit_batches * stride + 1)
-    bins = pack_tokens(placed, batch_size, seq_len, by, ids, overlap)
-    if limit_batches is not None:
-        bins = bins.filter(F.col("batch") < limit_batches)
-    return batch_rows(bins, batch_size, seq_len, by)
+    ``docs`` is read twice, for lengths and for tokens, so pass a stored table with
+    ``n_ids`` when its ids are costly to compute."""
+    shape = BatchShape(batch_size, seq_len, overlap)
+    return pack_rows(token_offsets(docs, by, major, row, ids), shape, by, ids, limit_batches)
 
 
 def next_token_targets(df: DataFrame, ids: str = "ids") -> DataFrame:

@@ -21,6 +21,11 @@ _JOIN_OP = {
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
+def int_div(value: Column, by: int) -> Column:
+    """Integer division; unlike ``floor(a / b)`` it never goes through a double."""
+    return F.call_function("div", value, F.lit(by))
+
+
 def running_total(
     df: DataFrame,
     value: Column,
@@ -31,35 +36,34 @@ def running_total(
     op: str = "sum",
     inclusive: bool = False,
     block: int = BLOCK,
+    group_total: str | None = None,
 ) -> DataFrame:
     """Add ``out``: ``op`` of ``value`` over all earlier rows (and this one when
-    ``inclusive``). ``(by, major, row)`` must be unique and ``row`` non-negative;
-    it may have gaps."""
-    agg, join_op = _AGG[op], _JOIN_OP[op]
-    groups = list(by)
-    keys = groups + ([major] if major else [])
-    source = df.withColumns({"_v": value, "_b": F.floor(F.col(row) / block).cast("bigint")})
-    before = lambda parts, order: (
-        Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    ``inclusive``), and ``group_total`` over the whole ``by`` group if named.
+    ``(by, major, row)`` must be unique and ``row`` non-negative; it may have gaps.
 
-    # One row per block: what the earlier blocks of its group come to.
-    totals = source.groupBy(*keys, "_b").agg(agg("_v").alias("_t"))
-    starts = totals.withColumn("_start", agg("_t").over(before(keys, "_b")))
-    if major:
-        # One row per major value: what the earlier majors come to.
-        majors = totals.groupBy(*keys).agg(agg("_t").alias("_t"))
-        earlier = majors.select(*keys, agg("_t").over(before(groups, major)).alias("_earlier"))
-        starts = starts.join(earlier, keys).withColumn("_start", join_op(F.col("_start"), F.col("_earlier")))
+    ``df`` is read twice: for block totals, where only the keys and the value are
+    needed, and for its rows."""
+    agg, join_op = _AGG[op], _JOIN_OP[op]
+    order = ([major] if major else []) + ["_b"]
+    keys = [*by, *order]
+    source = df.withColumns({"_v": value, "_b": int_div(F.col(row), block)})
 
-    frame = Window.partitionBy(*keys, "_b").orderBy(row).rowsBetween(
+    group = Window.partitionBy(*by)
+    before = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    starts = source.groupBy(*keys).agg(agg("_v").alias("_t")).select(
+        *keys,
+        agg("_t").over(before).alias("_start"),
+        *([agg("_t").over(group).alias(group_total)] if group_total else []),
+    )
+    frame = Window.partitionBy(*keys).orderBy(row).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1
     )
     return (
         source.withColumn("_local", agg("_v").over(frame))
-        .join(starts.select(*keys, "_b", "_start"), [*keys, "_b"])
+        .join(starts, keys)
         .withColumn(out, join_op(F.col("_local"), F.col("_start")))
-        .select(*df.columns, out)
+        .select(*df.columns, out, *([group_total] if group_total else []))
     )
 
 

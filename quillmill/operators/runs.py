@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import EMA_BETA, EVAL_EVERY, PEAK_FLOPS, TOKENS_PER_STEP, WARMUP_STEPS
-from .prefix import running_total
+from .prefix import int_div, running_total
 
 # --- fixed values: artifact names ----------------------------------------------
 MODEL_FILE = r"^model_(\d+)\.pt$"
@@ -33,7 +33,7 @@ def ema_debiased(
     reach = max(1, math.ceil(math.log(1e-20) / (block * math.log(beta))))
     keys = list(by)
     at = F.col(step) % block
-    rows = log.withColumns({"_b": F.floor(F.col(step) / block).cast("bigint"), "_at": at})
+    rows = log.withColumns({"_b": int_div(F.col(step), block), "_at": at})
     weighted = F.col(value) * (1 - beta) * F.pow(F.lit(beta), -F.col("_at"))
     frame = Window.partitionBy(*keys, "_b").orderBy("_at")
     ends = rows.groupBy(*keys, "_b").agg(

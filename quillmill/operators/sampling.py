@@ -61,7 +61,7 @@ def fewshot_gather(
     shots = (
         drawn.join(others, [task, "other_idx"])
         .groupBy(task, "idx")
-        .agg(F.array_sort(F.collect_list(F.struct("draw", "shot"))).alias("s"))
+        .agg(F.sort_array(F.collect_list(F.struct("draw", "shot"))).alias("s"))
         .select(task, "idx", F.transform("s", lambda x: x["shot"]).alias(out))
     )
     empty = F.array().cast(shots.schema[out].dataType)

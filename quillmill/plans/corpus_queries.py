@@ -151,13 +151,16 @@ def texts_query(spark, sf_dir):
     )
 
 
+def pieces_of_documents(spark, sf_dir):
+    return fixtures.corpus(spark, sf_dir).select("row", pretokenize(F.col("text")).alias("p"))
+
+
 @query(f"""
 SELECT doc_id, len(p) AS n_pieces, md5(array_to_string(p, chr(1))) AS digest
 FROM (SELECT doc_id, {sql.pieces("text")} AS p FROM documents)
 """, name="pretokenize")
 def pretokenize_query(spark, sf_dir):
-    docs = fixtures.corpus(spark, sf_dir).select("row", pretokenize(F.col("text")).alias("p"))
-    return docs.select(
+    return pieces_of_documents(spark, sf_dir).select(
         F.col("row").alias("doc_id"), F.size("p").alias("n_pieces"),
         F.md5(F.encode(F.array_join("p", "\x01"), "UTF-8")).alias("digest"),
     )

@@ -38,7 +38,8 @@ def ranked_corpus(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def with_ids(df: DataFrame, vocab: Vocabulary = BYTE_LEVEL, cap: int = 10_000, prepend=0) -> DataFrame:
-    return df.withColumn("ids", bpe_encode(crop(F.col("text"), cap), vocab, prepend=prepend)).drop("text")
+    ids = df.withColumn("ids", bpe_encode(crop(F.col("text"), cap), vocab, prepend=prepend)).drop("text")
+    return ids.withColumn("n_ids", F.size("ids"))
 
 
 def halves(spark: SparkSession, sf_dir: str) -> DataFrame:

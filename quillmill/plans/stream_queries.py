@@ -49,12 +49,16 @@ def stream_query(spark, sf_dir):
 @query(f"WITH {sql.DOC_IDS}\nSELECT doc_id, md5(array_to_string(ids, ',')) AS digest FROM doc_ids".replace(
     "substr(text, 1, 10000)", "text"), name="stream_tokenize")
 def tokenize_query(spark, sf_dir):
+    return tokenized_stream(spark, sf_dir).select("doc_id", F.md5(joined(F.col("ids"))).alias("digest"))
+
+
+def tokenized_stream(spark, sf_dir):
     out = scratch_path(spark, "stream")
     # one file is one task, so a stream of a single file is spread first
     source = documents(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
     tokens = streams.stream_tokenize(source).select("doc_id", "ids")
     streams.append_parquet(tokens, f"{out}/data", f"{out}/state").awaitTermination()
-    return spark.read.parquet(f"{out}/data").select("doc_id", F.md5(joined(F.col("ids"))).alias("digest"))
+    return spark.read.parquet(f"{out}/data")
 
 
 @query(f"""
@@ -68,6 +72,12 @@ SELECT rank, batch, k // 256 AS row_in_batch, md5(string_agg(tok::VARCHAR, ',' O
 FROM bins WHERE n = 1025 AND k < 1024 GROUP BY ALL
 """, name="stream_pack")
 def pack_query(spark, sf_dir):
+    return packed_stream(spark, sf_dir).select(
+        "rank", "batch", "row_in_batch", F.md5(joined(F.col("inputs"))).alias("inputs")
+    )
+
+
+def packed_stream(spark, sf_dir):
     docs = fixtures.table(spark, sf_dir, "documents").select("doc_id", "text")
     path, out = staged(docs, "doc_id", files=8), scratch_path(spark, "stream")
     source = streams.corpus_stream(spark, path, docs.schema, max_files=8)
@@ -75,9 +85,7 @@ def pack_query(spark, sf_dir):
         (F.col("doc_id") % 3).alias("rank"), F.lit("all").alias("shard"), F.col("doc_id").alias("row"), "ids"
     )
     streams.stream_pack(tokens, f"{out}/data", f"{out}/state", BATCH, SEQ).awaitTermination()
-    return streams.read_batches(spark, f"{out}/data").select(
-        "rank", "batch", "row_in_batch", F.md5(joined(F.col("inputs"))).alias("inputs")
-    )
+    return streams.read_batches(spark, f"{out}/data")
 
 
 @query("SELECT doc_id, octet_length(encode(text)) + 1 AS n_tokens, 1 AS n_copies FROM documents", name="resume")

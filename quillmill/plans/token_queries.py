@@ -57,22 +57,33 @@ encoded AS (
 )"""
 
 
+def encoded_documents(spark, sf_dir):
+    vocab = small_vocab(spark, sf_dir)
+    return fixtures.corpus(spark, sf_dir).select("row", bpe_encode(F.col("text"), vocab).alias("ids"))
+
+
 @query(ENCODED + """
-SELECT doc_id, len(s) // 5 AS n_tokens, md5(s) AS digest FROM encoded
+SELECT doc_id, len(s) // 5 AS n_tokens,
+       md5(array_to_string(list_transform(regexp_extract_all(s, '[0-9]+'), lambda x: x::INT), ',')) AS digest
+FROM encoded
 """, name="bpe_encode")
 def encode_query(spark, sf_dir):
+    return encoded_documents(spark, sf_dir).select(
+        F.col("row").alias("doc_id"), F.size("ids").alias("n_tokens"), F.md5(joined(F.col("ids"))).alias("digest")
+    )
+
+
+def decoded_documents(spark, sf_dir):
     vocab = small_vocab(spark, sf_dir)
-    ids = fixtures.corpus(spark, sf_dir).select("row", bpe_encode(F.col("text"), vocab).alias("ids"))
-    marked = F.array_join(F.transform("ids", lambda x: F.format_string("|%04d", x)), "")
-    return ids.select(F.col("row").alias("doc_id"), F.size("ids").alias("n_tokens"), F.md5(marked).alias("digest"))
+    return fixtures.corpus(spark, sf_dir).select(
+        "row", bpe_decode(bpe_encode(F.col("text"), vocab), vocab).alias("text")
+    )
 
 
 @query("SELECT doc_id, md5(text) AS digest FROM documents", name="bpe_decode")
 def decode_query(spark, sf_dir):
-    vocab = small_vocab(spark, sf_dir)
-    return fixtures.corpus(spark, sf_dir).select(
-        F.col("row").alias("doc_id"),
-        F.md5(F.encode(bpe_decode(bpe_encode(F.col("text"), vocab), vocab), "UTF-8")).alias("digest"),
+    return decoded_documents(spark, sf_dir).select(
+        F.col("row").alias("doc_id"), F.md5(F.encode("text", "UTF-8")).alias("digest")
     )
 
 
@@ -156,6 +167,11 @@ def special_query(spark, sf_dir):
     )
 
 
+def packed_documents(spark, sf_dir):
+    docs = materialize(fixtures.with_ids(fixtures.ranked_corpus(spark, sf_dir)), "pack-ids")
+    return pack_sequences(docs, BATCH, SEQ)
+
+
 @query(f"""
 WITH {sql.DOC_IDS},
 {sql.RANKED},
@@ -176,8 +192,7 @@ SELECT rank, batch, row_in_batch,
 FROM halves GROUP BY rank, batch, row_in_batch
 """, name="pack_sequences")
 def pack_query(spark, sf_dir):
-    docs = materialize(fixtures.with_ids(fixtures.ranked_corpus(spark, sf_dir)), "pack-ids")
-    return pack_sequences(docs, BATCH, SEQ).select(
+    return packed_documents(spark, sf_dir).select(
         "rank", "batch", "row_in_batch",
         F.md5(joined(F.col("inputs"))).alias("inputs"), F.md5(joined(F.col("targets"))).alias("targets"),
     )

@@ -87,7 +87,7 @@ def placed_events(places: DataFrame, events: DataFrame) -> DataFrame:
 def chat_contexts(placed: DataFrame) -> DataFrame:
     """Whole contexts per conversation and segment. One context is one row, so use it
     on the conversations that are about to be continued."""
-    turns = F.array_sort(F.collect_list(F.struct("start", "ids")))
+    turns = F.sort_array(F.collect_list(F.struct("start", "ids")))
     return placed.groupBy("conv_id", "segment").agg(
         F.concat(F.array(F.lit(BOS)), F.flatten(F.transform(turns, lambda t: t["ids"]))).alias("ids")
     )

@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 from ..constants import BOS
 from ..functions.codec import bpe_encode
 from ..functions.vocabulary import BYTE_LEVEL, Vocabulary
-from ..operators.packing import batch_rows, pack_tokens, token_offsets
+from ..operators.packing import BatchShape, pack_rows, stream_tail, token_offsets
 from ..operators.scoring import bits_per_byte
 
 
@@ -59,8 +59,7 @@ def stream_pack(
     the next one, so the state is one partial bin and a batch number per rank and no
     task ever holds a whole rank. State and output are written per micro-batch and
     replaced when it is retried. The micro-batch number orders the stream."""
-    width = batch_size * seq_len + 1
-    keys = list(by)
+    shape, keys = BatchShape(batch_size, seq_len, overlap), list(by)
     state_schema = _state_schema(stream, keys)
     states, batches = f"{checkpoint}/carry", path
 
@@ -70,33 +69,34 @@ def stream_pack(
             state = spark.createDataFrame([], state_schema)
         else:
             state = spark.read.schema(state_schema).parquet(f"{states}/epoch={epoch - 1}")
-        docs = docs.select(*keys, "shard", "row", "ids").persist()
+        docs = docs.select(*keys, "shard", "row", "ids", F.size("ids").alias("n_ids")).persist()
         held = F.coalesce(F.size("carry"), F.lit(0))
-        fresh = token_offsets(docs, keys).join(state.select(*keys, "carry"), keys, "left").select(
-            *keys, (F.col("off") + held).alias("off"), "ids"
-        )
-        carried = state.select(*keys, F.lit(0).cast("bigint").alias("off"), F.col("carry").alias("ids"))
-        bins = (
-            pack_tokens(fresh.unionByName(carried), batch_size, seq_len, keys, overlap=overlap)
-            .join(state.select(*keys, "next_batch"), keys, "left")
-            .withColumn("batch", F.col("batch") + F.coalesce("next_batch", F.lit(0)))
+        fresh = token_offsets(docs, keys).join(state.select(*keys, "carry"), keys, "left")
+        fresh = fresh.select(*keys, (F.col("off") + held).alias("off"), (F.col("total") + held).alias("total"), "ids")
+        added = docs.groupBy(*keys).agg(F.sum("n_ids").alias("added"))
+        status = state.join(added, keys, "full").withColumns({
+            "carry": F.coalesce("carry", F.array().cast("array<int>")),
+            "next_batch": F.coalesce("next_batch", F.lit(0)),
+        }).withColumn("total", F.size("carry") + F.coalesce("added", F.lit(0)))
+        carried = status.select(*keys, F.lit(0).cast("bigint").alias("off"), "total", F.col("carry").alias("ids"))
+        placed = fresh.unionByName(carried)
+
+        (
+            pack_rows(placed, shape, keys)
+            .join(status.select(*keys, "next_batch"), keys)
+            .withColumn("batch", F.col("batch") + F.col("next_batch"))
             .drop("next_batch")
-            .persist()
+            .write.mode("overwrite").parquet(f"{batches}/epoch={epoch}")
         )
-        batch_rows(bins, batch_size, seq_len, keys).write.mode("overwrite").parquet(f"{batches}/epoch={epoch}")
-
-        full = F.size("tokens") == width
-        after = bins.groupBy(*keys).agg(
-            F.max_by(F.when(~full, F.col("tokens")), F.when(~full, F.col("batch"))).alias("_tail"),
-            F.max(F.when(full, F.col("batch") + 1)).alias("_next"),
+        (
+            status.join(stream_tail(placed, shape, keys), keys, "left")
+            .select(
+                *keys,
+                F.coalesce("tail", F.array().cast("array<int>")).alias("carry"),
+                (F.col("next_batch") + shape.full_batches(F.col("total"))).alias("next_batch"),
+            )
+            .write.mode("overwrite").parquet(f"{states}/epoch={epoch}")
         )
-        empty = F.array().cast("array<int>")
-        after.join(state, keys, "full").select(
-            *keys,
-            F.coalesce("_tail", empty).alias("carry"),
-            F.coalesce("_next", "next_batch", F.lit(0)).cast("bigint").alias("next_batch"),
-        ).write.mode("overwrite").parquet(f"{states}/epoch={epoch}")
-        bins.unpersist()
         docs.unpersist()
 
     return (

@@ -10,7 +10,7 @@ from quillmill.operators.corpus import (
     with_rank,
     with_row_group,
 )
-from quillmill.operators.packing import next_token_targets, pack_sequences
+from quillmill.operators.packing import next_token_targets, pack_sequences, repeat_epochs
 from quillmill.sources.corpus import (
     corpus_scan,
     download_summary,
@@ -153,6 +153,13 @@ def test_packing_matches_a_plain_loop(spark, overlap, batch_size, seq_len):
     assert limited == [row for row in got if row[1] < 2]
 
 
+def test_epochs_follow_one_another(spark):
+    docs = [(0, "a", 0, [1, 2, 3]), (0, "b", 0, [4, 5])]
+    twice = repeat_epochs(spark.createDataFrame(docs, PACK_SCHEMA), 2)
+    got = packed(twice, batch_size=1, seq_len=4)
+    assert [row[3:] for row in got] == [([1, 2, 3, 4], [2, 3, 4, 5]), ([1, 2, 3, 4], [2, 3, 4, 5])]
+
+
 def test_next_token_targets(spark):
     df = spark.createDataFrame([(1, [5, 6, 7]), (2, [5]), (3, [])], "k int, ids array<int>")
     rows = [tuple(r) for r in next_token_targets(df).orderBy("k", "pos").collect()]
