@@ -69,51 +69,50 @@ def _in_order(parts: str) -> Column:
     return F.flatten(F.transform(F.sort_array(parts), lambda p: p["seg"]))
 
 
+TAIL = -1
+
+
 def pack_rows(
     placed: DataFrame, shape: BatchShape, by: Sequence[str] = ("rank",), ids: str = "ids",
-    limit_batches: int | None = None,
+    limit_batches: int | None = None, tail: bool = False,
 ) -> DataFrame:
-    """Batch rows of documents that carry ``off`` and ``total``. Each document gives
-    one segment per batch row it reaches, and a group is one batch row of at most
-    ``T+1`` tokens, whatever the number of ranks. Unfilled batches are never formed."""
+    """Batch rows ``(by, r, tokens)`` of documents that carry ``off`` and ``total``.
+    Each document gives one segment per batch row it reaches, and a group is one batch
+    row of at most ``T+1`` tokens, whatever the number of ranks. Unfilled batches are
+    not formed; ``tail`` puts what is left, less than a batch, into row ``TAIL``."""
     full = shape.full_batches(F.col("total"))
     if limit_batches is not None:
         full = F.least(full, F.lit(limit_batches))
     first = shape.first_row_with(F.col("off"))
     last = F.least(shape.last_row_at(F.col("off") + F.size(ids) - 1), full * shape.rows - 1)
-    r = F.col("_r")
+    none = F.array().cast("array<bigint>")
+    reached = F.when(first <= last, F.sequence(first, last)).otherwise(none)
+    begin, end = shape.start(F.col("r")), shape.start(F.col("r")) + shape.width
+    if tail:
+        left = full * shape.stride
+        late = F.col("off") + F.size(ids) > left
+        reached = F.concat(reached, F.when(late, F.array(F.lit(TAIL).cast("bigint"))).otherwise(none))
+        begin = F.when(F.col("r") == TAIL, left).otherwise(begin)
+        end = F.when(F.col("r") == TAIL, F.col("total")).otherwise(end)
     return (
-        placed.filter((F.size(ids) > 0) & (first <= last))
-        .withColumn("_r", F.explode(F.sequence(first, last)))
-        .select(
-            *by, "_r",
-            F.struct(
-                F.greatest("off", shape.start(r)).alias("at"),
-                _part(ids, shape.start(r), shape.start(r) + shape.width).alias("seg"),
-            ).alias("part"),
-        )
-        .groupBy(*by, "_r")
+        placed.filter(F.size(ids) > 0)
+        .withColumn("r", F.explode(reached))
+        .select(*by, "r", F.struct(F.greatest("off", begin).alias("at"), _part(ids, begin, end).alias("seg")).alias("part"))
+        .groupBy(*by, "r")
         .agg(F.collect_list("part").alias("parts"))
-        .select(
-            *by,
-            int_div(r, shape.rows).alias("batch"),
-            (r % shape.rows).cast("int").alias("row_in_batch"),
-            _in_order("parts").alias("tokens"),
-        )
-        .select(
-            *by, "batch", "row_in_batch",
-            F.slice("tokens", 1, shape.seq_len).alias("inputs"),
-            F.slice("tokens", 2, shape.seq_len).alias("targets"),
-        )
+        .select(*by, "r", _in_order("parts").alias("tokens"))
     )
 
 
-def stream_tail(placed: DataFrame, shape: BatchShape, by: Sequence[str] = ("rank",), ids: str = "ids") -> DataFrame:
-    """The tokens after the last full batch, less than one batch per group."""
-    begin = shape.full_batches(F.col("total")) * shape.stride
-    late = placed.filter(F.col("off") + F.size(ids) > begin)
-    part = F.struct(F.greatest("off", begin).alias("at"), _part(ids, begin, F.col("total")).alias("seg"))
-    return late.groupBy(*by).agg(F.collect_list(part).alias("parts")).select(*by, _in_order("parts").alias("tail"))
+def batch_rows(rows: DataFrame, shape: BatchShape, by: Sequence[str] = ("rank",)) -> DataFrame:
+    """Batch rows as inputs and targets."""
+    return rows.select(
+        *by,
+        int_div(F.col("r"), shape.rows).alias("batch"),
+        (F.col("r") % shape.rows).cast("int").alias("row_in_batch"),
+        F.slice("tokens", 1, shape.seq_len).alias("inputs"),
+        F.slice("tokens", 2, shape.seq_len).alias("targets"),
+    )
 
 
 def pack_sequences(
@@ -134,7 +133,8 @@ def pack_sequences(
     ``docs`` is read twice, for lengths and for tokens, so pass a stored table with
     ``n_ids`` when its ids are costly to compute."""
     shape = BatchShape(batch_size, seq_len, overlap)
-    return pack_rows(token_offsets(docs, by, major, row, ids), shape, by, ids, limit_batches)
+    placed = token_offsets(docs, by, major, row, ids)
+    return batch_rows(pack_rows(placed, shape, by, ids, limit_batches), shape, by)
 
 
 def next_token_targets(df: DataFrame, ids: str = "ids") -> DataFrame:

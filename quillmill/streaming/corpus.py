@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 from ..constants import BOS
 from ..functions.codec import bpe_encode
 from ..functions.vocabulary import BYTE_LEVEL, Vocabulary
-from ..operators.packing import BatchShape, pack_rows, stream_tail, token_offsets
+from ..operators.packing import TAIL, BatchShape, batch_rows, pack_rows, token_offsets
 from ..operators.scoring import bits_per_byte
 
 
@@ -70,33 +70,38 @@ def stream_pack(
         else:
             state = spark.read.schema(state_schema).parquet(f"{states}/epoch={epoch - 1}")
         docs = docs.select(*keys, "shard", "row", "ids", F.size("ids").alias("n_ids")).persist()
-        held = F.coalesce(F.size("carry"), F.lit(0))
-        fresh = token_offsets(docs, keys).join(state.select(*keys, "carry"), keys, "left")
-        fresh = fresh.select(*keys, (F.col("off") + held).alias("off"), (F.col("total") + held).alias("total"), "ids")
-        added = docs.groupBy(*keys).agg(F.sum("n_ids").alias("added"))
-        status = state.join(added, keys, "full").withColumns({
-            "carry": F.coalesce("carry", F.array().cast("array<int>")),
-            "next_batch": F.coalesce("next_batch", F.lit(0)),
-        }).withColumn("total", F.size("carry") + F.coalesce("added", F.lit(0)))
-        carried = status.select(*keys, F.lit(0).cast("bigint").alias("off"), "total", F.col("carry").alias("ids"))
-        placed = fresh.unionByName(carried)
-
-        (
-            pack_rows(placed, shape, keys)
-            .join(status.select(*keys, "next_batch"), keys)
-            .withColumn("batch", F.col("batch") + F.col("next_batch"))
-            .drop("next_batch")
-            .write.mode("overwrite").parquet(f"{batches}/epoch={epoch}")
-        )
-        (
-            status.join(stream_tail(placed, shape, keys), keys, "left")
-            .select(
-                *keys,
-                F.coalesce("tail", F.array().cast("array<int>")).alias("carry"),
-                (F.col("next_batch") + shape.full_batches(F.col("total"))).alias("next_batch"),
-            )
-            .write.mode("overwrite").parquet(f"{states}/epoch={epoch}")
+
+        # One row per rank: what it carries, where its batches go on, how much it has.
+        # It is stored so that its size is known when it is joined.
+        none = F.lit(None)
+        added = docs.groupBy(*keys).agg(F.sum("n_ids").alias("added")).select(
+            *keys, none.cast("array<int>").alias("carry"), none.cast("bigint").alias("next_batch"), "added"
         )
+        status = state.withColumn("added", none.cast("bigint")).unionByName(added).groupBy(*keys).agg(
+            F.coalesce(F.first("carry", True), F.array().cast("array<int>")).alias("carry"),
+            F.coalesce(F.first("next_batch", True), F.lit(0).cast("bigint")).alias("next_batch"),
+            F.coalesce(F.sum("added"), F.lit(0)).alias("added"),
+        ).withColumn("total", F.size("carry") + F.col("added"))
+        status.write.mode("overwrite").parquet(f"{checkpoint}/status/epoch={epoch}")
+        status = spark.read.schema(status.schema).parquet(f"{checkpoint}/status/epoch={epoch}")
+
+        columns = [*keys, "next_batch", "off", "total", "ids"]
+        fresh = token_offsets(docs, keys).drop("total").join(status, keys)
+        fresh = fresh.withColumn("off", F.col("off") + F.size("carry")).select(*columns)
+        carried = status.select(*keys, "next_batch", F.lit(0).cast("bigint").alias("off"), "total", F.col("carry").alias("ids"))
+        rows = pack_rows(fresh.unionByName(carried), shape, [*keys, "next_batch"], tail=True).persist()
+
+        packed = batch_rows(rows.filter(F.col("r") != TAIL), shape, [*keys, "next_batch"])
+        packed = packed.withColumn("batch", F.col("batch") + F.col("next_batch")).drop("next_batch")
+        packed.write.mode("overwrite").parquet(f"{batches}/epoch={epoch}")
+
+        tails = rows.filter(F.col("r") == TAIL).select(*keys, F.col("tokens").alias("tail"))
+        status.join(tails, keys, "left").select(
+            *keys,
+            F.coalesce("tail", F.array().cast("array<int>")).alias("carry"),
+            (F.col("next_batch") + shape.full_batches(F.col("total"))).alias("next_batch"),
+        ).write.mode("overwrite").parquet(f"{states}/epoch={epoch}")
+        rows.unpersist()
         docs.unpersist()
 
     return (
