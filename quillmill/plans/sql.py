@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from ..constants import SPLIT_PATTERN  # noqa: F401  (the pattern the RE2 form below stands for)
-
-# RE2 has neither possessive quantifiers nor lookahead. This form splits the given
+# The form of SPLIT_PATTERN that DuckDB can run: RE2 has neither possessive quantifiers nor lookahead. This form splits the given
 # tables alike; it is not equivalent in general.
 RE2_SPLIT = (
     r"''(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,2}"

@@ -2,7 +2,6 @@ import random
 import time
 
 import pytest
-from pyspark.sql import functions as F
 
 from quillmill.functions.vocabulary import BYTE_LEVEL, BYTE_TO_ID
 from quillmill.operators.packing import pack_sequences
