@@ -115,9 +115,19 @@ def join_prediction_target(preds: DataFrame, tokens: DataFrame, spans: DataFrame
     )
 
 
+def mean_loss(nats: str = "nats") -> Column:
+    """Mean of a loss column that does not depend on the order of its rows: options
+    with the same losses tie exactly, so the tie rule decides and not rounding.
+    Losses that are no finite number make the mean one too; no loss gives null."""
+    exact = F.col(nats).try_cast("decimal(20,12)")
+    return F.when(
+        F.count(nats) == F.count(exact), F.try_divide(F.sum(exact).cast("double"), F.count(exact))
+    ).otherwise(F.avg(nats))
+
+
 def option_mean_loss(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Mean loss over the scored positions of each option; null for an empty span."""
-    return scores.groupBy(*keys, "option").agg(F.avg("nats").alias("mean_loss"))
+    return scores.groupBy(*keys, "option").agg(mean_loss().alias("mean_loss"))
 
 
 def pick_option(losses: DataFrame, keys: list[str]) -> DataFrame:
@@ -136,7 +146,7 @@ def decide_items(scores: DataFrame, items: DataFrame, keys: list[str]) -> DataFr
     modelling, least mean loss against gold for the other task types. One
     aggregation serves both."""
     per_option = scores.groupBy(*keys, "option").agg(
-        F.avg("nats").alias("mean_loss"),
+        mean_loss().alias("mean_loss"),
         F.bool_and(F.col("pred_id") == F.col("target_id")).alias("match"),
     )
     order = F.struct(F.col("mean_loss").isNull(), "mean_loss", "option")

@@ -165,7 +165,7 @@ scores AS (
 )"""
 
 DECISIONS = SCORES + """,
-losses AS (SELECT task, idx, task_type, g, option, avg(nats) AS mean_loss, bool_and(pred_id = target_id) AS match
+losses AS (SELECT task, idx, task_type, g, option, sum(nats::DECIMAL(20, 12))::DOUBLE / count(nats) AS mean_loss, bool_and(pred_id = target_id) AS match
            FROM scores GROUP BY ALL),
 decisions AS (
   SELECT task, idx,

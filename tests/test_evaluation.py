@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.errors import PySparkException
@@ -116,6 +117,26 @@ def test_ties_and_empty_spans(spark):
     assert {r.idx: r.picked for r in ev.pick_option(losses, ["idx"]).collect()} == {0: 0, 1: 1, 2: 1}
 
 
+def test_mean_loss_does_not_depend_on_row_order(spark):
+    rng = random.Random(0)
+    losses = [rng.uniform(0, 12) for _ in range(300)]
+    rows = [(0, option, x) for option in range(4) for x in rng.sample(losses, len(losses))]
+    for parts in (1, 3, 7):
+        df = spark.createDataFrame(rows, "idx int, option int, nats double").repartition(parts, "nats")
+        means = ev.option_mean_loss(df, ["idx"])
+        assert means.select("mean_loss").distinct().count() == 1
+        assert means.first().mean_loss == pytest.approx(sum(losses) / 300)
+        assert ev.pick_option(means, ["idx"]).first().picked == 0
+
+
+def test_mean_loss_of_odd_values(spark):
+    rows = [(0, 0, float("nan")), (0, 0, 1.0), (0, 1, 50.0), (0, 2, None), (0, 3, float("inf"))]
+    means = ev.option_mean_loss(spark.createDataFrame(rows, "idx int, option int, nats double"), ["idx"])
+    got = {r.option: r.mean_loss for r in means.collect()}
+    assert math.isnan(got[0]) and got[1] == 50.0 and got[2] is None and got[3] == float("inf")
+    assert ev.pick_option(means, ["idx"]).first().picked == 1
+
+
 def test_decisions(spark):
     scores = spark.createDataFrame(
         [("t", 0, 0, 1.0, 5, 5), ("t", 0, 1, 0.5, 6, 5), ("t", 1, 0, 1.0, 5, 5), ("t", 1, 0, 1.0, 5, 6), ("t", 2, 0, 9.0, 7, 7)],
