@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, byte_bpe, prefix_counts, seekable
+from . import best_fit, byte_bpe, decision_lists, line_crf, minhash_dedup, prefix_counts, seekable, toxicity_chain
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+NEAR_COPIES = r"""
+WITH RECURSIVE tokens AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS s FROM tokens
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT p.a, p.b FROM pairs p JOIN sizes x ON x.doc_id = p.a JOIN sizes y ON y.doc_id = p.b
+  WHERE 100 * p.both >= 75 * (x.n + y.n - p.both)
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), roots AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT r.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id, r.doc_id = r.component_id AS kept
+FROM roots r LEFT JOIN sizes s USING (doc_id)
+"""
+
+
+@query(NEAR_COPIES)
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = decision_lists.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    judged = decision_lists.judge(docs, rules)
+    return judged.select("doc_id", *decision_lists.BASE, "base_failed", "kept", "rule")
+
+
 @query()
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
@@ -55,6 +89,17 @@ def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(pieces, CAPACITY)
 
 
+@query()
+def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out)
+    scored = line_crf.score(docs, line_crf.fit(docs, labels))
+    return scored.select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
 @query()
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -63,3 +108,16 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query()
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has one toxicity flag; low quality, which shouting and junk bring, goes first
+    in the chain."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", (F.lit(1) - F.col("quality")).alias("low_quality"), "toxic")
+    chain = toxicity_chain.fit(docs, labels, ["low_quality", "toxic"])
+    scored = toxicity_chain.score(docs, chain)
+    return scored.select(
+        "doc_id", "p_low_quality", F.col("p_toxic").alias("score"), F.when(F.col("p_toxic") >= 0.5, 1).otherwise(0).alias("toxic")
+    )
