@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, byte_bpe, decision_lists, line_crf, minhash_dedup, prefix_counts, seekable, toxicity_chain
+from . import best_fit, byte_bpe, decision_lists, line_crf, minhash_dedup, prefix_counts, seekable, suffix_dedup, toxicity_chain
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -121,3 +121,37 @@ def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", "p_low_quality", F.col("p_toxic").alias("score"), F.when(F.col("p_toxic") >= 0.5, 1).otherwise(0).alias("toxic")
     )
+
+
+REPEATS = """
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), strings AS (
+  SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) AS s FROM bytes, unnest(range(0, len(h) // 2 - 49)) AS t(i)
+), firsts AS (SELECT s, min(doc_id) AS first FROM strings GROUP BY s
+), hits AS (SELECT g.doc_id, g.i FROM strings g JOIN firsts f ON f.s = g.s WHERE f.first < g.doc_id
+), steps AS (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER w <= 50 THEN 0 ELSE 1 END AS opens FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), numbered AS (
+  SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM steps
+), runs AS (SELECT doc_id, run, min(i) AS low, max(i) + 50 AS high FROM numbered GROUP BY doc_id, run
+), gaps AS (
+  SELECT r.doc_id, r.run, r.high - r.low AS gone,
+    substr(b.h, 2 * coalesce(lag(r.high) OVER w, 0) + 1, 2 * (r.low - coalesce(lag(r.high) OVER w, 0))) AS before
+  FROM runs r JOIN bytes b USING (doc_id) WINDOW w AS (PARTITION BY r.doc_id ORDER BY r.run)
+), sums AS (
+  SELECT doc_id, sum(gone) AS n_removed, count(*) AS n_spans, string_agg(before, '' ORDER BY run) AS head FROM gaps GROUP BY doc_id
+), ends AS (SELECT doc_id, max(high) AS high FROM runs GROUP BY doc_id)
+SELECT b.doc_id, CAST(len(b.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(s.n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(s.n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(s.head, '') || substr(b.h, 2 * coalesce(e.high, 0) + 1))) AS kept_sha256
+FROM bytes b LEFT JOIN sums s USING (doc_id) LEFT JOIN ends e USING (doc_id)
+"""
+
+
+@query(REPEATS)
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.when(F.col("kept").isNull(), F.col("digest")).otherwise(F.sha2("kept", 256)).alias("kept_sha256"),
+    )
