@@ -60,7 +60,7 @@ def repeated_words(w: Column) -> Column:
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Replace the text by its statistics."""
+    """Replace the text by its statistics; they also replace columns of their names."""
     kept = [c for c in docs.columns if c != text and c not in [*BASE, *RATES]]
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))

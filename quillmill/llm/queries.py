@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, byte_bpe, decision_lists, line_crf, minhash_dedup, prefix_counts, seekable, suffix_dedup, toxicity_chain
+from . import best_fit, byte_bpe, decision_lists, embedding_dedup, line_crf, minhash_dedup, prefix_counts, seekable, suffix_dedup, toxicity_chain
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+NEAR_VECTORS = """
+WITH RECURSIVE fine AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), roots AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+), counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM roots LEFT JOIN counts USING (vec_id)
+"""
+
+
+@query(NEAR_VECTORS)
+def op1_collision_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 NEAR_COPIES = r"""
 WITH RECURSIVE tokens AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -119,7 +141,7 @@ def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = toxicity_chain.fit(docs, labels, ["low_quality", "toxic"])
     scored = toxicity_chain.score(docs, chain)
     return scored.select(
-        "doc_id", "p_low_quality", F.col("p_toxic").alias("score"), F.when(F.col("p_toxic") >= 0.5, 1).otherwise(0).alias("toxic")
+        "doc_id", "p_low_quality", F.col("p_toxic").alias("score"), F.when(F.col("p_toxic") >= chain.limits[1], 1).otherwise(0).alias("toxic")
     )
 
 

@@ -255,7 +255,7 @@ def united(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _cut(rows: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch):
-        removed, spans, kept = [], [], []
+        removed, spans, kept, texts = [], [], [], []
         lists = batch.column(3)
         flat = lists.flatten()
         lows, highs = (flat.field(k).to_numpy() for k in (0, 1))
@@ -267,19 +267,20 @@ def _cut(rows: DataFrame) -> DataFrame:
             spans.append([{"low": int(x), "high": int(y)} for x, y in zip(low, high, strict=True)])
             edges = [0, *np.stack([low, high], 1).ravel().tolist(), len(data)]
             kept.append(b"".join(data[edges[j] : edges[j + 1]] for j in range(0, len(edges), 2)))
+            texts.append(kept[-1].decode("utf-8", "ignore"))
         kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())],
-            names=["doc_id", "class", "n_removed", "spans", "kept"],
+            [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(texts, pa.string())],
+            names=["doc_id", "class", "n_removed", "spans", "kept", "kept_text"],
         )
 
-    return map_arrow(rows, run, "doc_id long, class long, n_removed long, spans array<struct<low: long, high: long>>, kept binary")
+    return map_arrow(rows, run, "doc_id long, class long, n_removed long, spans array<struct<low: long, high: long>>, kept binary, kept_text string")
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """A row per document: ``doc_id``, ``n_bytes``, ``n_removed``, ``spans`` (removed runs),
-    ``changed``, and ``kept``, the remaining bytes, which is null where nothing was removed;
-    ``digest`` is the SHA-256 of the whole text."""
+    ``kept``, the remaining bytes, and ``kept_text``, the whole characters among them, which are
+    null where nothing was removed; ``digest`` is the SHA-256 of the whole text."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("class", F.xxhash64("text"))
@@ -304,6 +305,18 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
         .select(
             "doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
             F.when(whole, span).otherwise(F.coalesce("spans", none)).alias("spans"),
-            F.when(whole, F.lit("").cast("binary")).otherwise(F.col("kept")).alias("kept"), "digest",
+            F.when(whole, F.lit("").cast("binary")).otherwise(F.col("kept")).alias("kept"),
+            F.when(whole, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"), "digest",
         )
     )
+
+
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """The documents with their repeated passages taken out of ``text``; all rows and columns
+    stay. Only changed texts take part in the join."""
+    changed = repeats(docs, doc_id, text, length).where("kept is not null").select(
+        F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("kept_text").alias("_text")
+    ).dropDuplicates(["_id", "_digest"])
+    same = (F.col(doc_id) == F.col("_id")) & (F.sha2(F.coalesce(F.col(text), F.lit("")), 256) == F.col("_digest"))
+    joined = docs.join(changed, same, "left")
+    return joined.select(*[F.coalesce("_text", text).alias(text) if c == text else F.col(c) for c in docs.columns])

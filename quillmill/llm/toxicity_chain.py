@@ -71,11 +71,23 @@ def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 2e-4, steps: int =
     return Linear(w[:-1], float(w[-1]))
 
 
+def best_limit(guess: np.ndarray, y: np.ndarray) -> float:
+    """The limit of the best F1 on out-of-fold probabilities, between two of them."""
+    order = np.argsort(-guess, kind="stable")
+    hits = np.cumsum(y[order])
+    if not len(y) or not y.any() or y.all():
+        return 0.5
+    k = int(np.argmax(2 * hits / (np.arange(1, len(y) + 1) + y.sum())))
+    below = guess[order[k + 1]] if k + 1 < len(y) else 0.0
+    return float(min(0.5, (guess[order[k]] + below) / 2))
+
+
 @dataclass
 class Chain:
     categories: list[str]
     vocabulary: dict[str, int]
     models: list[Linear] = field(default_factory=list)
+    limits: list[float] = field(default_factory=list)  # probability from which each category holds
 
     def features(self, texts: list[str]) -> np.ndarray:
         x = np.zeros((len(texts), len(self.vocabulary) + EXTRA), np.float32)
@@ -96,6 +108,7 @@ class Chain:
                 model = fit_linear(x[known & ~held], y[known & ~held, k] == 1)
                 guess[held] = model.probability(x[held])
             self.models.append(fit_linear(x[known], y[known, k] == 1))
+            self.limits.append(best_limit(guess[known], y[known, k] == 1))
             x = np.hstack([x, guess[:, None]])
 
     def predict(self, texts: list[str]) -> np.ndarray:
