@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import IGNORE_INDEX, LOGIT_SOFTCAP
+from .binding import let
 from .hashing import uniform
 
 
@@ -17,10 +18,20 @@ def softcap(logits: Column, cap: float = LOGIT_SOFTCAP) -> Column:
 
 def cross_entropy(logits: Column, target: Column) -> Column:
     """``-ln softmax(logits)[target]``; null where the target is ignored."""
-    peak = F.array_max(logits).cast("double")
-    total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x.cast("double") - peak))
-    picked = F.element_at(logits, (target + 1).cast("int")).cast("double")
-    return F.when(target != IGNORE_INDEX, peak + F.log(total) - picked)
+
+    def loss(values: Column) -> Column:
+        log_total = let(
+            F.array_max(values).cast("double"),
+            lambda peak: peak + F.log(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + F.exp(x.cast("double") - peak))),
+        )
+        return log_total - F.element_at(values, (target + 1).cast("int")).cast("double")
+
+    return F.when(target != IGNORE_INDEX, let(logits, loss))
+
+
+def mean_cross_entropy(logits: Column, target: Column) -> Column:
+    """The mean over rows whose target is not ignored, as an aggregate."""
+    return F.avg(cross_entropy(logits, target))
 
 
 def argmax(logits: Column) -> Column:
@@ -36,8 +47,9 @@ def topk(logits: Column, k: int, keep_ties: bool = False) -> Column:
     )
     best = F.slice(ranked, 1, k)
     if keep_ties:
-        limit = F.element_at(best, -1)["neg"]
-        best = F.filter(ranked, lambda r: r["neg"] <= limit)
+        best = let(ranked, lambda all_: let(
+            F.element_at(F.slice(all_, 1, k), -1)["neg"], lambda limit: F.filter(all_, lambda r: r["neg"] <= limit)
+        ))
     return F.transform(best, lambda r: F.struct((-r["neg"]).alias("logit"), r["token"].alias("token")))
 
 
@@ -45,12 +57,22 @@ def softmax(ranked: Column, temperature: float = 1.0) -> Column:
     """Probabilities of a ``topk`` result at a temperature above zero."""
     if temperature <= 0:
         raise ValueError("temperature must be positive; use argmax for zero")
-    peak = F.array_max(F.transform(ranked, lambda r: r["logit"]))
-    weight = lambda r: F.exp((r["logit"] - peak) / temperature)
-    total = F.aggregate(ranked, F.lit(0.0), lambda acc, r: acc + weight(r))
-    return F.transform(
-        ranked, lambda r: F.struct(r["token"], r["logit"], (weight(r) / total).alias("prob"))
-    )
+
+    def shares(weighed: Column) -> Column:
+        return let(
+            F.aggregate(weighed, F.lit(0.0), lambda acc, r: acc + r["weight"]),
+            lambda total: F.transform(weighed, lambda r: F.struct(r["token"], r["logit"], (r["weight"] / total).alias("prob"))),
+        )
+
+    def weights(rows: Column) -> Column:
+        return let(
+            F.array_max(F.transform(rows, lambda r: r["logit"])),
+            lambda peak: F.transform(
+                rows, lambda r: F.struct(r["token"], r["logit"], F.exp((r["logit"] - peak) / temperature).alias("weight"))
+            ),
+        )
+
+    return let(let(ranked, weights), shares)
 
 
 def weighted_draw(ranked: Column, group: Column, seed: int, temperature: float = 1.0) -> Column:

@@ -4,7 +4,7 @@ A corpus has the columns ``shard``, ``row`` and ``text``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_DOC_CAP, DEFAULT_MAX_CHARS
@@ -61,23 +61,29 @@ def running_chars(df: DataFrame, out: str = "chars_before", length: Column | Non
     return running_total(df, n.cast("bigint"), out, major="shard")
 
 
-def char_budget(df: DataFrame, max_chars: int = DEFAULT_MAX_CHARS) -> DataFrame:
+def char_budget(df: DataFrame, max_chars: int = DEFAULT_MAX_CHARS, length: Column | None = None) -> DataFrame:
     """Documents up to and including the one that crosses the limit.
 
     What is kept is a prefix of the corpus, so the result is a filter and no text is
-    shuffled. Two jobs find where it ends: shard totals give the shard, and only that
-    shard is counted row by row."""
-    sizes = df.select("shard", "row", F.length("text").cast("bigint").alias("n"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
-    shards = sizes.groupBy("shard").agg(F.sum("n").alias("n")).select(
-        "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")
-    )
-    last = shards.filter(F.col("before") <= max_chars).orderBy(F.desc("shard")).limit(1).first()
+    shuffled. Shards are added up in name order, in groups of growing size, until the
+    budget is crossed; later shards are not read. Then only the last shard is counted row
+    by row. ``length`` gives the lengths where a column holds them, and no text is read."""
+    n = F.length("text") if length is None else length
+    sizes = df.select("shard", "row", n.cast("bigint").alias("n"))
+    names = [r["shard"] for r in df.select("shard").distinct().orderBy("shard").collect()]  # one per file
+    last, before, total, at, size = None, 0, 0, 0, 1
+    while at < len(names) and total <= max_chars:
+        group = names[at : at + size]
+        found = {r["shard"]: r["n"] for r in sizes.filter(F.col("shard").isin(group)).groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+        for name in group:
+            if total <= max_chars:
+                last, before, total = name, total, total + (found[name] or 0)
+        at, size = at + size, size * 2
     if last is None:
         return df.limit(0)
-    rows = running_total(sizes.filter(F.col("shard") == last["shard"]), F.col("n"), "_n", by=["shard"])
-    end = rows.filter(F.col("_n") + last["before"] <= max_chars).agg(F.max("row")).first()[0]
-    return df.filter((F.col("shard") < last["shard"]) | ((F.col("shard") == last["shard"]) & (F.col("row") <= end)))
+    rows = running_total(sizes.filter(F.col("shard") == last), F.col("n"), "_n", by=["shard"])
+    end = rows.filter(F.col("_n") + before <= max_chars).agg(F.max("row")).first()[0]
+    return df.filter((F.col("shard") < last) | ((F.col("shard") == last) & (F.col("row") <= end)))
 
 
 def ordered_corpus(df: DataFrame) -> DataFrame:

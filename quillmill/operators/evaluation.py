@@ -144,7 +144,8 @@ def exact_match(scores: DataFrame, keys: list[str]) -> DataFrame:
 def decide_items(scores: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
     """Correctness of every item as ``(keys, correct)``: exact match for language
     modelling, least mean loss against gold for the other task types. One
-    aggregation serves both."""
+    aggregation serves both. An item without scores, because its continuation could
+    not be told apart, is an error: leaving it out would change the accuracy."""
     per_option = scores.groupBy(*keys, "option").agg(
         mean_loss().alias("mean_loss"),
         F.bool_and(F.col("pred_id") == F.col("target_id")).alias("match"),
@@ -153,8 +154,10 @@ def decide_items(scores: DataFrame, items: DataFrame, keys: list[str]) -> DataFr
     per_item = per_option.groupBy(*keys).agg(
         F.min_by("option", order).alias("picked"), F.bool_and("match").alias("match")
     )
-    return items.select(*keys, "task_type", "gold").join(per_item, keys).select(
-        *keys, F.when(F.col("task_type") == LM, F.col("match")).otherwise(F.col("picked") == F.col("gold")).alias("correct")
+    decided = F.when(F.col("task_type") == LM, F.col("match")).otherwise(F.col("picked") == F.col("gold"))
+    absent = F.raise_error(F.concat_ws(" ", F.lit("no scores for item"), *keys)).cast("boolean")
+    return items.select(*keys, "task_type", "gold").join(per_item.withColumn("_scored", F.lit(True)), keys, "left").select(
+        *keys, F.when(F.col("_scored").isNull(), absent).otherwise(decided).alias("correct")
     )
 
 
@@ -171,8 +174,16 @@ def centered(accuracy: Column, baseline_percent: Column) -> Column:
 
 
 def join_baseline(results: DataFrame, baselines: DataFrame, task: str = "task") -> DataFrame:
-    """Results with their ``baseline``; one row per task on either side."""
-    return results.join(baselines, task)
+    """Results with their ``baseline``, one row per task on either side. A task without
+    a baseline, or with two, is an error."""
+    once = baselines.groupBy(task).agg(F.max("baseline").alias("baseline"), F.count(F.lit(1)).alias("_n"))
+    label = F.col(task).cast("string")
+    checked = (
+        F.when(F.col("_n").isNull(), F.raise_error(F.concat(F.lit("no baseline for task "), label)).cast("double"))
+        .when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("more than one baseline for task "), label)).cast("double"))
+        .otherwise(F.col("baseline"))
+    )
+    return results.join(once, task, "left").withColumn("baseline", checked).drop("_n")
 
 
 def missing_baselines(results: DataFrame, baselines: DataFrame, task: str = "task") -> DataFrame:

@@ -18,6 +18,8 @@ from .prefix import int_div, running_total
 def repeat_epochs(docs: DataFrame, epochs: int = 1) -> DataFrame:
     """The corpus ``epochs`` times over, one pass after another: the shard becomes the
     pair of pass and shard, which orders the stream."""
+    if epochs < 1:
+        raise ValueError("epochs must be at least 1")
     passes = docs.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     return passes.withColumn("shard", F.struct(F.col("_epoch").alias("epoch"), "shard")).drop("_epoch")
 

@@ -7,6 +7,7 @@ of a hot group are spread over many tasks and only their block totals meet."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,15 @@ def int_div(value: Column, by: int) -> Column:
     return F.call_function("div", value, F.lit(by))
 
 
+def renamed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+
+
+def null_safe(keys: Sequence[str]) -> Column:
+    """The join condition with ``renamed`` keys under which a null key meets itself."""
+    return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+
+
 def running_total(
     df: DataFrame,
     value: Column,
@@ -61,7 +71,7 @@ def running_total(
     )
     return (
         source.withColumn("_local", agg("_v").over(frame))
-        .join(starts, keys)
+        .join(renamed(starts, keys), null_safe(keys))
         .withColumn(out, join_op(F.col("_local"), F.col("_start")))
         .select(*df.columns, out, *([group_total] if group_total else []))
     )
@@ -90,7 +100,7 @@ def shuffled_position(
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     return (
         hexed.withColumn("_r", F.row_number().over(local) - 1)
-        .join(starts.select(*by, "_bucket", "_start"), [*by, "_bucket"])
+        .join(renamed(starts.select(*by, "_bucket", "_start"), [*by, "_bucket"]), null_safe([*by, "_bucket"]))
         .withColumn(out, F.col("_start") + F.col("_r"))
         .select(*df.columns, out)
     )

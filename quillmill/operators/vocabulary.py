@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -89,11 +89,12 @@ def vocab_minus_special(vocab: DataFrame) -> DataFrame:
 
 def tokenize_with(df: DataFrame, make_tokenizer: Callable[[], Callable[[str], list[int]]], text: str = "text",
                   out: str = "ids") -> DataFrame:
-    """Add ids from any tokenizer. ``make_tokenizer`` runs once per batch of rows on
-    the workers; each distinct text of a batch is tokenized once."""
-    def tokenize(texts: pd.Series) -> pd.Series:
+    """Add ids from any tokenizer. ``make_tokenizer`` runs once per task on the
+    workers; each distinct text of a batch is tokenized once."""
+    def tokenize(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         run = make_tokenizer()
-        known = {t: list(run(t)) for t in texts.dropna().unique()}
-        return texts.map(known).astype(object).where(texts.notna(), None)
+        for texts in batches:
+            known = {t: list(run(t)) for t in texts.dropna().unique()}
+            yield texts.map(known).astype(object).where(texts.notna(), None)
 
     return df.withColumn(out, F.pandas_udf(tokenize, "array<int>").asNondeterministic()(F.col(text)))

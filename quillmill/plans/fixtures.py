@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.codec import bpe_encode
 from ..functions.hashing import hash32
-from ..functions.text import crop
 from ..functions.vocabulary import BYTE_LEVEL, Vocabulary
 from ..operators.corpus import with_rank, with_row_group
 from ..operators.evaluation import LM, MC, SCHEMA, SHOT_FIELDS
@@ -37,8 +36,8 @@ def ranked_corpus(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return with_rank(with_row_group(corpus(spark, sf_dir, *columns), ROWS_PER_GROUP), WORLD)
 
 
-def with_ids(df: DataFrame, vocab: Vocabulary = BYTE_LEVEL, cap: int = 10_000, prepend=0) -> DataFrame:
-    ids = df.withColumn("ids", bpe_encode(crop(F.col("text"), cap), vocab, prepend=prepend)).drop("text")
+def with_ids(df: DataFrame, vocab: Vocabulary = BYTE_LEVEL, prepend=0) -> DataFrame:
+    ids = df.withColumn("ids", bpe_encode(F.col("text"), vocab, prepend=prepend)).drop("text")
     return ids.withColumn("n_ids", F.size("ids"))
 
 

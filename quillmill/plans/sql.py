@@ -34,10 +34,10 @@ def hash32(key: str) -> str:
 
 SPLIT = "SELECT max(source) AS last_shard FROM documents"
 
-# documents as token lists: BOS, then the bytes of the first 10,000 characters
+# documents as token lists: BOS, then the bytes of the text
 DOC_IDS = f"""
 doc_ids AS (
-  SELECT doc_id, source AS shard, lang, [0] || {byte_ids("substr(text, 1, 10000)")} AS ids FROM documents
+  SELECT doc_id, source AS shard, lang, [0] || {byte_ids("text")} AS ids FROM documents
 )"""
 
 TOKENS = DOC_IDS + """,

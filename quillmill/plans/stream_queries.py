@@ -46,8 +46,7 @@ def stream_query(spark, sf_dir):
     )
 
 
-@query(f"WITH {sql.DOC_IDS}\nSELECT doc_id, md5(array_to_string(ids, ',')) AS digest FROM doc_ids".replace(
-    "substr(text, 1, 10000)", "text"), name="stream_tokenize")
+@query(f"WITH {sql.DOC_IDS}\nSELECT doc_id, md5(array_to_string(ids, ',')) AS digest FROM doc_ids", name="stream_tokenize")
 def tokenize_query(spark, sf_dir):
     return tokenized_stream(spark, sf_dir).select("doc_id", F.md5(joined(F.col("ids"))).alias("digest"))
 
@@ -62,7 +61,7 @@ def tokenized_stream(spark, sf_dir):
 
 
 @query(f"""
-WITH {sql.DOC_IDS.replace("substr(text, 1, 10000)", "text")},
+WITH {sql.DOC_IDS},
 stream AS (
   SELECT rank, tok, row_number() OVER (PARTITION BY rank ORDER BY doc_id, pos) - 1 AS g
   FROM (SELECT doc_id % 3 AS rank, doc_id, unnest(ids) AS tok, generate_subscripts(ids, 1) AS pos FROM doc_ids)
@@ -122,7 +121,7 @@ FROM val JOIN model USING (target_id) GROUP BY lang
 def bpb_query(spark, sf_dir):
     train = histogram(spark, sf_dir, "train").groupBy("target_id").agg(F.sum("n_targets").alias("n"))
     model = scoring.unigram_scorer(train, V)
-    val = train_val_split(fixtures.corpus(spark, sf_dir, "lang"), "val").select("row", "lang", F.substring("text", 1, 10_000).alias("text"))
+    val = train_val_split(fixtures.corpus(spark, sf_dir, "lang"), "val").select("row", "lang", "text")
     path, out = staged(val, "row"), scratch_path(spark, "stream")
     source = streams.corpus_stream(spark, path, val.schema, max_files=1)
     targets = streams.stream_tokenize(source).select("lang", F.explode("ids").alias("target_id"))

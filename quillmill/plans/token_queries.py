@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import SPECIAL_TOKENS
+from ..constants import SPECIAL_TOKENS, special_id
 from ..functions.codec import bpe_decode, bpe_encode
 from ..functions.vocabulary import BYTE_LEVEL
 from ..operators import bpe_training, compression, vocabulary
@@ -87,11 +87,15 @@ def decode_query(spark, sf_dir):
     )
 
 
-@query("SELECT doc_id, octet_length(encode(text)) AS n_tokens FROM documents", name="tokenize_with")
+@query("""
+SELECT doc_id, octet_length(encode(text)) AS n_tokens,
+       md5(array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::INT), ',')) AS digest
+FROM documents
+""", name="tokenize_with")
 def tokenize_query(spark, sf_dir):
     docs = fixtures.corpus(spark, sf_dir)
     done = vocabulary.tokenize_with(docs, lambda: lambda text: list(text.encode()))
-    return done.select(F.col("row").alias("doc_id"), F.size("ids").alias("n_tokens"))
+    return done.select(F.col("row").alias("doc_id"), F.size("ids").alias("n_tokens"), F.md5(joined(F.col("ids"))).alias("digest"))
 
 
 # Tokens of the small vocabulary as hexadecimal bytes, one merge after another.
@@ -159,12 +163,10 @@ def lookup_query(spark, sf_dir):
 SELECT role, count(*) AS n, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 3 END AS start_id FROM conversations GROUP BY role
 """, name="special_id")
 def special_query(spark, sf_dir):
-    names = F.array(*[F.lit(name) for name in SPECIAL_TOKENS])
+    ids = F.create_map(*[F.lit(v) for name in SPECIAL_TOKENS for v in (name, special_id(name))])
     marker = F.concat(F.lit("<|"), F.col("role"), F.lit("_start|>"))
     roles = fixtures.table(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"))
-    return roles.select("role", "n", F.nullif(F.array_position(names, marker), F.lit(0)).alias("p")).select(
-        "role", "n", (F.col("p") - 1).cast("int").alias("start_id")
-    )
+    return roles.select("role", "n", F.try_element_at(ids, marker).alias("start_id"))
 
 
 def packed_documents(spark, sf_dir):
