@@ -2,16 +2,17 @@
 
 A document is the set of its distinct five-word shingles. Documents of equal sets are one class
 from the start. Every class has 128 minimum hashes of 16 bits; four in a row make a band, and
-classes that agree on a band are candidates. A candidate pair is compared hash batch by hash
-batch: with m of n hashes equal and an even prior, the posterior chance that the similarity
-reaches the threshold is an incomplete beta integral, and the pair is dropped once this chance
-is below ``MISS``. What survives is verified on the full sets of both texts.
-
-All links of a group are not needed for its component, so no bucket is expanded into pairs:
-first every member of a bucket is compared with the bucket's smallest, then members of another
-component than a leader drawn anew for each bucket with that leader, and last, so that no link
-between components is lost, the members of different components that still share a bucket with
-each other. Two texts at the threshold share no band with probability (1 - 0.75**4)**32 = 5e-6.
+classes that agree on a band are candidates. Candidates are compared hash batch by hash batch:
+with m of n hashes equal and an even prior, the posterior chance that the similarity reaches
+the threshold is an incomplete beta integral, and a pair is dropped once this chance is below
+``MISS``. What survives is verified on the full sets of both texts.
+
+Pairs are compared where a bucket's members meet and never become rows: a task returns a
+spanning forest of the links it has verified, which has the same components. Buckets with the
+same members are compared once. A large bucket is cut at random into blocks of at most ``BLOCK``
+members (fewer where texts are long), and every two blocks of it are a task, so memory is bounded
+and a hot bucket is spread. Two texts at the threshold share no band with probability
+(1 - 0.75**4)**32 = 5e-6.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; a text of
 fewer than five words is one shingle; texts are read whole; equal texts are one class; rows
@@ -25,7 +26,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -36,6 +37,7 @@ from .shingles import shingle_sets
 HASHES, BAND, BATCH = 128, 4, 16
 SHARE = (75, 100)  # the threshold as a fraction
 MISS = 1e-6
+BLOCK, BLOCK_SHINGLES = 1024, 4_000_000  # most members of a block, and about how many shingles
 
 _random = np.random.default_rng(20240229)
 _FACTORS = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -78,17 +80,19 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """(key, node): a row for each band of each class."""
+    """(key, node, size): a row for each band of each class."""
 
     def run(batch: pa.RecordBatch):
         for a in range(0, batch.num_rows, 20_000):
             part = batch.slice(a, 20_000)
             keys = np.frombuffer(b"".join(part.column(1).to_pylist()), np.int64).reshape(-1, HASHES // BAND)
             places = np.arange(HASHES // BAND, dtype=np.int64) * np.int64(0x1D8E4E27C47D124F)
-            nodes = np.repeat(part.column(0).to_numpy(), HASHES // BAND)
-            yield pa.RecordBatch.from_arrays([pa.array((keys * np.int64(0x6A09E667F3BCC909) + places).ravel()), pa.array(nodes)], names=["key", "node"])
+            nodes, sizes = (np.repeat(part.column(k).to_numpy(), HASHES // BAND) for k in (0, 2))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((keys * np.int64(0x6A09E667F3BCC909) + places).ravel()), pa.array(nodes), pa.array(sizes)], names=["key", "node", "size"]
+            )
 
-    return map_arrow(classes.select("node", "signature"), run, "key long, node long")
+    return map_arrow(classes.select("node", "signature", "size"), run, "key long, node long, size long")
 
 
 def chance_at_least(share: float, equal: int, n: int) -> float:
@@ -105,53 +109,135 @@ def least_equal(share: float, miss: float) -> list[tuple[int, int]]:
 
 
 def promising(left: np.ndarray, right: np.ndarray, share: float, miss: float) -> np.ndarray:
-    """Which rows of two signature tables may reach the share."""
-    alive, equal = np.arange(len(left)), np.zeros(len(left), np.int64)
+    """Which pairs (row of ``left``, row of ``right``) of signatures may reach the share."""
+    rows, columns = np.indices((len(left), len(right))).reshape(2, -1)
+    equal = np.zeros(len(rows), np.int64)
+    out = np.zeros((len(left), len(right)), bool)
     for n, fewest in least_equal(share, miss):
         part = slice(n - BATCH, n)
-        equal[alive] += (left[alive, part] == right[alive, part]).sum(1)
-        alive = alive[equal[alive] >= fewest]
-    out = np.zeros(len(left), bool)
-    out[alive] = True
+        equal += (left[rows, part] == right[columns, part]).sum(1)
+        go_on = equal >= fewest
+        rows, columns, equal = rows[go_on], columns[go_on], equal[go_on]
+    out[rows, columns] = True
     return out
 
 
-def _pruned(pairs: DataFrame, share: float, miss: float) -> DataFrame:
-    def run(batch: pa.RecordBatch):
-        table = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, HASHES) for k in (2, 3)]
-        keep = pa.array(promising(*table, share, miss))
-        yield batch.select([0, 1]).filter(keep)
-
-    return map_arrow(pairs.select("a", "b", "sa", "sb"), run, "a long, b long")
-
-
-def _confirmed(pairs: DataFrame, share: tuple[int, int]) -> DataFrame:
-    def run(batch: pa.RecordBatch):
-        left, right = texts_of(batch.column(2)), texts_of(batch.column(3))
-        keep = []
-        for a, b in runs_by_size([len(x) + len(y) for x, y in zip(left, right, strict=True)], 1_000_000):
-            for s, t in zip(shingle_sets(left[a:b]), shingle_sets(right[a:b]), strict=True):
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                union = len(s) + len(t) - both
-                keep.append(union > 0 and share[1] * both >= share[0] * union)
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return map_arrow(pairs.select("a", "b", "ta", "tb"), run, "a long, b long")
-
-
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, share: tuple[int, int] = SHARE, miss: float = MISS) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the share."""
-    sides = [classes.select(F.col("node").alias(k), F.col("signature").alias(f"s{k}")) for k in ("a", "b")]
-    hopeful = materialize(_pruned(pairs.join(sides[0], "a").join(sides[1], "b"), share[0] / share[1], miss), "hopeful")
-    nodes = hopeful.select(F.col("a").alias("node")).unionByName(hopeful.select(F.col("b").alias("node"))).distinct()
-    # The texts concerned are written once; both joins then move only these.
-    needed = materialize(texts.join(nodes, "node", "left_semi"), "texts")
-    sides = [needed.select(F.col("node").alias(k), F.col("text").alias(f"t{k}")) for k in ("a", "b")]
-    return materialize(_confirmed(hopeful.join(sides[0], "a").join(sides[1], "b"), share).distinct(), "links")
-
-
-def _pair(x: Column, y: Column) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every two sets, from their incidence table in pieces."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    inside = shared[column]
+    owner, column = owner[inside], place[column[inside]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(column, [low, low + width])
+        table = np.zeros((len(sets), width), np.float32)
+        table[owner[a:b], column[a:b] - low] = 1
+        out += table @ table.T
+    return out.astype(np.int64)
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what a symmetric table of links connects."""
+    fresh, edges = np.ones(len(linked), bool), []
+    for start in range(len(linked)):
+        if not fresh[start]:
+            continue
+        fresh[start], queue = False, [start]
+        while queue:
+            at = queue.pop()
+            found = np.flatnonzero(linked[at] & fresh)
+            fresh[found] = False
+            edges += [(at, k) for k in found.tolist()]
+            queue += found.tolist()
+    return edges
+
+
+def links_in(nodes: np.ndarray, sides: np.ndarray, signed: np.ndarray, sets: list[np.ndarray], share: tuple[int, int], miss: float) -> list[tuple[int, int]]:
+    """A forest of the verified links of one bucket (all sides 0), or between its two blocks."""
+    one = np.flatnonzero(sides == 0)
+    two = np.flatnonzero(sides == 1)
+    if not len(two):
+        two = one
+    hopeful = np.zeros((len(nodes), len(nodes)), bool)
+    for a in range(0, len(one), 256):  # bounds the table of pairs
+        some = one[a : a + 256]
+        hopeful[np.ix_(some, two)] = promising(signed[some], signed[two], share[0] / share[1], miss)
+    hopeful |= hopeful.T
+    np.fill_diagonal(hopeful, False)
+    which = np.flatnonzero(hopeful.any(1))
+    if not len(which):
+        return []
+    sizes = np.array([len(sets[k]) for k in which])
+    both = overlaps([sets[k] for k in which])
+    sure = share[1] * both >= share[0] * (sizes[:, None] + sizes[None, :] - both)
+    return [(int(nodes[which[a]]), int(nodes[which[b]])) for a, b in forest(sure & hopeful[np.ix_(which, which)])]
+
+
+def _compared(share: tuple[int, int], miss: float):
+    """Over a partition sorted by task: the links of every task."""
+
+    def flush(held: list[dict]):
+        sets = []
+        for a, b in runs_by_size([len(r["text"]) for r in held], 1_000_000):
+            sets += shingle_sets([r["text"] for r in held[a:b]])
+        signed = np.frombuffer(b"".join(r["signature"] for r in held), np.uint16).reshape(-1, HASHES)
+        nodes, sides = np.array([r["node"] for r in held]), np.array([r["side"] for r in held])
+        names = [(r["key"], r["low"], r["high"]) for r in held]
+        edges = [k for k in range(len(held)) if not k or names[k] != names[k - 1]] + [len(held)]
+        out = []
+        for a, b in zip(edges, edges[1:], strict=False):
+            if names[a][1] == names[a][2] or 0 < sides[a:b].sum() < b - a:  # two blocks, and one has no members
+                out += links_in(nodes[a:b], sides[a:b], signed[a:b], sets[a:b], share, miss)
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def run(batches):
+        held: list[dict] = []
+        size, last = 0, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                name = (row["key"], row["low"], row["high"])
+                if name != last and size > 2_000_000:
+                    yield flush(held)
+                    held, size = [], 0
+                held.append(row)
+                size, last = size + len(row["text"]), name
+        if held:
+            yield flush(held)
+
+    return run
+
+
+def verified_links(classes: DataFrame, texts: DataFrame, share: tuple[int, int] = SHARE, miss: float = MISS) -> DataFrame:
+    """(a, b): links that connect the classes as all links do."""
+    partitions = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = bands(classes)
+    member = F.xxhash64("node")
+    buckets = rows.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(member).alias("h"), F.bit_xor(F.xxhash64(member, F.lit(1))).alias("g"), F.sum("size").alias("size")
+    ).where("n > 1")
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int")
+    distinct = buckets.groupBy("n", "h", "g", "size").agg(F.min("key").alias("key")).select("key", parts.alias("parts"))
+    keys = rows.join(distinct, "key").groupBy("node").agg(F.collect_list(F.struct("key", "parts")).alias("keys"))  # at most one per band
+    # Texts of candidates are written once, with all their buckets.
+    candidates = materialize(
+        keys.join(classes.select("node", "signature"), "node").join(texts.dropDuplicates(["node"]), "node"), "candidates"
+    )
+    part = F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")
+    dealt = (
+        candidates.select("node", "signature", "text", F.inline("keys")).withColumn("part", part)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select(
+            "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"),
+            (F.col("part") > F.col("other")).cast("int").alias("side"), "node", "signature", "text",
+        )
+    )
+    together = dealt.repartition(partitions, "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return materialize(together.mapInArrow(_compared(share, miss), "a long, b long").distinct(), "links")
 
 
 def near_duplicates(
@@ -162,42 +248,10 @@ def near_duplicates(
     sketched = materialize(sketches(docs, doc_id, text), "sketches")
     linkable = sketched.where("set_id is not null and doc_id is not null")
     classes = materialize(
-        linkable.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature")), "classes"
+        linkable.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature"), F.min("n_shingles").alias("size")), "classes"
     )
-    texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text"))
-
-    rows = bands(classes)
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1")
-    members = materialize(rows.join(shared.select("key", "leader"), "key"), "members")
-
-    stars = members.where("node <> leader").select(*_pair(F.col("leader"), F.col("node"))).distinct()
-    links = verified(stars, classes, texts, share, miss)
-    tested = stars
-    found = components(links)
-
-    def mixed_buckets() -> DataFrame:
-        labelled = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        spans = labelled.groupBy("key").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"),
-            F.min(F.struct(F.xxhash64("node", "key"), "node", "component")).alias("pick"),
-        )
-        return labelled.join(spans.where("low <> high").select("key", "pick"), "key")
-
-    # A leader drawn by hash for each bucket, against the members of other components.
-    drawn = mixed_buckets().where(F.col("component") != F.col("pick.component")).select(*_pair(F.col("pick.node"), F.col("node"))).distinct()
-    drawn = materialize(drawn.join(tested, ["a", "b"], "left_anti"), "drawn")
-    links = links.unionByName(verified(drawn, classes, texts, share, miss))
-    tested = tested.unionByName(drawn)
-    found = components(links)
-
-    # What is left: members of different components in one bucket, each with each.
-    left = materialize(mixed_buckets().select("key", "node", "component"), "mixed")
-    other = left.select("key", F.col("node").alias("other"), F.col("component").alias("far"))
-    cross = left.join(other, "key").where("component < far").select(*_pair(F.col("node"), F.col("other"))).distinct()
-    cross = cross.join(tested, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(cross, classes, texts, share, miss))
-    found = components(links)
-
+    texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text")).where("node is not null and text is not null")
+    found = components(verified_links(classes, texts, share, miss))
     roots = classes.join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
     placed = sketched.join(roots, "set_id", "left").withColumn(
         "component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
