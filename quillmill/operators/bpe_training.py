@@ -35,20 +35,21 @@ Change = tuple[int, int, int]
 
 
 class PairLedger:
-    """Counts of the frequent pairs. Pairs it does not hold have at most ``floor``."""
+    """Counts of the frequent pairs. Pairs it does not hold have fewer than ``floor``, or
+    just as many and do not come before ``edge``."""
 
-    def __init__(self, counts: dict[Pair, int], floor: int):
-        self.counts, self.floor = counts, floor
+    def __init__(self, counts: dict[Pair, int], floor: int, edge: Pair = (0, 0)):
+        self.counts, self.floor, self.edge = counts, floor, edge
         self.heap = [(-n, pair) for pair, n in counts.items()]
         heapify(self.heap)
 
     def best(self) -> Pair | None:
         """The most frequent pair, the smallest ids on ties; None when a pair that is
-        not held could be as frequent."""
+        not held could come before it."""
         while self.heap:
             negative, pair = self.heap[0]
             if self.counts.get(pair) == -negative:
-                return pair if -negative > self.floor else None
+                return pair if -negative > self.floor or (-negative == self.floor and pair < self.edge) else None
             heappop(self.heap)
         return None
 
@@ -66,16 +67,23 @@ class PairLedger:
 
     def copy(self) -> PairLedger:
         other = PairLedger.__new__(PairLedger)
-        other.counts, other.floor, other.heap = dict(self.counts), self.floor, list(self.heap)
+        other.counts, other.floor, other.edge, other.heap = dict(self.counts), self.floor, self.edge, list(self.heap)
         return other
 
     def trim(self, limit: int) -> PairLedger:
         """Forget the rarer half once there are more than ``limit`` pairs."""
         if len(self.counts) <= limit and len(self.heap) <= 4 * limit:
             return self
-        ranked = sorted(self.counts.items(), key=lambda entry: -entry[1])
+        ranked = sorted(self.counts.items(), key=lambda entry: (-entry[1], entry[0]))
         kept, dropped = ranked[: limit // 2], ranked[limit // 2:]
-        return PairLedger(dict(kept), max([self.floor] + [n for _, n in dropped[:1]]))
+        floor, edge = self.floor, self.edge
+        if dropped:
+            pair, n = dropped[0]
+            if n > floor:
+                floor, edge = n, pair
+            elif n == floor:
+                edge = min(edge, pair)
+        return PairLedger(dict(kept), floor, edge)
 
 
 def _flatten(words: pa.Array, counts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -175,9 +183,11 @@ CHANGE_ARROW = pa.schema([
 ])
 
 
-def step_changes(table: DataFrame, pending: list[Merge], ahead: list[Merge]) -> list[list[Change]]:
+def step_changes(table: DataFrame, pending: list[Merge], ahead: list[Merge], floor: int = 0) -> list[list[Change]]:
     """How each merge of ``ahead``, applied in order after ``pending``, changes the
-    pair counts. Changes are summed per task before they are shuffled."""
+    pair counts. Changes are summed per task before they are shuffled. A pair with a new
+    symbol never grows after the step that made it, so those that start below ``floor``
+    stay on the executors."""
     merges, skip, keys = [*pending, *ahead], len(pending), _border_keys(pending, ahead)
 
     def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +214,7 @@ def step_changes(table: DataFrame, pending: list[Merge], ahead: list[Merge]) ->
         .mapInArrow(changes, CHANGE_SCHEMA)
         .groupBy("step", "left_id", "right_id")
         .agg(F.sum("delta").alias("delta"))
-        .filter(F.col("delta") != 0)
+        .filter((F.col("delta") < 0) | (F.col("delta") >= max(1, floor)))
         .toArrow()
     )
     out: list[list[Change]] = [[] for _ in ahead]
@@ -227,8 +237,9 @@ def _count(table: DataFrame, max_pairs: int) -> PairLedger:
     """Count all pairs and hold the most frequent ones."""
     top = pair_totals(table).orderBy(F.desc("n"), "left_id", "right_id").limit(max_pairs // 2).toArrow()
     left, right, n = (top.column(c).to_pylist() for c in ("left_id", "right_id", "n"))
-    floor = n[-1] if len(n) == max_pairs // 2 else 0
-    return PairLedger(dict(zip(zip(left, right), n)), floor)
+    if len(n) < max_pairs // 2:
+        return PairLedger(dict(zip(zip(left, right), n)), 0)
+    return PairLedger(dict(zip(zip(left, right), n)), n[-1], (left[-1], right[-1] + 1))
 
 
 class _Tokens:
@@ -275,6 +286,8 @@ def bpe_train(
     the smallest ids first on ties. ``forecast=1`` trains one merge at a time."""
     if vocab_size < BASE_SIZE:
         raise ValueError(f"vocab_size must be at least {BASE_SIZE}")
+    if max_pairs < 2:
+        raise ValueError("max_pairs must be at least 2")
     spark = words.sparkSession
     path = scratch_path(spark, "bpe-words")
     table = materialize_at(word_symbols(words), path)
@@ -304,10 +317,8 @@ def bpe_train(
                 break
             rewrite()
             ledger = _count(table, max_pairs)
-            if ledger.best() is None:
-                ledger.floor = 0  # what is left ties throughout; the held pairs come first
             continue
-        reports = step_changes(table, pending, ahead)
+        reports = step_changes(table, pending, ahead, ledger.floor)
         accepted, recount = 0, False
         for (left, right, new), changes in zip(ahead, reports):
             if ledger.best() != (left, right):

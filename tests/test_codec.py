@@ -81,6 +81,15 @@ def test_training_does_not_depend_on_batching(words, vocab, options):
     assert bpe_train(words, n, **options).merges == vocab.merges[:60]
 
 
+@pytest.mark.parametrize("max_pairs", [8, 16, 64, 400])
+def test_training_does_not_depend_on_the_pairs_held(spark, max_pairs):
+    """Ties everywhere: sixty words of six letters, each once, merged until nothing is left."""
+    r = random.Random(7)
+    rows = sorted({"".join(r.choice("abcdef") for _ in range(6)) for _ in range(60)})
+    words = spark.createDataFrame([(w, 1) for w in rows], "token string, n bigint")
+    assert bpe_train(words, 330, max_pairs=max_pairs).merges == bpe_train(words, 330).merges
+
+
 def test_training_reuses_tokens_with_equal_bytes_and_stops_when_nothing_is_left(spark):
     # "abc" arises from (ab, c) and from (a, bc)
     words = spark.createDataFrame([("ab", 50), ("bc", 40), ("abc", 9), ("zabcz", 3), ("qbcabc", 2)], "token string, n bigint")
