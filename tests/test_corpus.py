@@ -164,3 +164,17 @@ def test_next_token_targets(spark):
     df = spark.createDataFrame([(1, [5, 6, 7]), (2, [5]), (3, [])], "k int, ids array<int>")
     rows = [tuple(r) for r in next_token_targets(df).orderBy("k", "pos").collect()]
     assert rows == [(1, 0, 5, 6), (1, 1, 6, 7)]
+
+
+def test_no_epochs_are_an_error(spark):
+    with pytest.raises(ValueError):
+        repeat_epochs(spark.createDataFrame([("a", 0)], "shard string, row bigint"), 0)
+
+
+def test_budget_stops_reading(spark):
+    """Lengths past the shard that crosses the budget are never computed."""
+    rows = [(f"s{k:02d}", r, "x" * 10) for k in range(32) for r in range(3)]
+    df = spark.createDataFrame(rows, "shard string, row bigint, text string")
+    guarded = F.when(F.col("shard") < "s07", F.length("text")).otherwise(F.raise_error(F.lit("read too far")).cast("int"))
+    kept = char_budget(df, 75, guarded).collect()  # groups of 1, 2 and 4 shards
+    assert [(r.shard, r.row) for r in sorted(kept)][-1] == ("s02", 1) and len(kept) == 8

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 from pyspark.errors import PySparkException
@@ -229,3 +230,37 @@ def test_draws_follow_the_weights(spark):
     assert 0.72 < share < 0.78
     assert df.repartition(7).select("id", lg.weighted_draw(lg.topk(F.col("l"), 2), F.col("id"), 42).alias("t")).exceptAll(
         df.select("id", lg.weighted_draw(lg.topk(F.col("l"), 2), F.col("id"), 42).alias("t"))).count() == 0
+
+
+def test_a_task_without_one_baseline_is_an_error(spark):
+    results = spark.createDataFrame([("a", 0.5, 4), ("b", 0.25, 4)], "task string, accuracy double, n_items int")
+    for rows in ([("a", 25.0)], [("a", 25.0), ("b", 25.0), ("b", 50.0)]):
+        base = spark.createDataFrame(rows, "task string, baseline double")
+        with pytest.raises(PySparkException, match="baseline for task b"):
+            ev.core_metric(ev.centered_accuracy(results, base)).collect()
+
+
+def test_an_item_without_scores_is_an_error(spark):
+    items = spark.createDataFrame([("t", 0, ev.LM, None), ("t", 1, ev.LM, None)], "task string, idx int, task_type string, gold int")
+    scores = spark.createDataFrame([("t", 0, 0, 1.0, 5, 5)], "task string, idx int, option int, nats double, pred_id int, target_id int")
+    with pytest.raises(PySparkException, match="no scores for item t 1"):
+        ev.decide_items(scores, items, ["task", "idx"]).collect()
+
+
+def test_logits_of_a_whole_vocabulary_are_linear(spark):
+    """32,768 logits a row: seconds for all rows, where evaluating a part anew for each
+    element would take hours."""
+    rows = spark.range(20).select("id", F.transform(F.sequence(F.lit(0), F.lit(32767)), lambda i: F.sin(i * (F.col("id") + 1))).alias("v")).persist()
+    rows.count()
+    started = time.perf_counter()
+    capped = lg.softcap(F.col("v"))
+    best = lg.topk(F.col("v"), 20, keep_ties=True)
+    out = rows.select(
+        lg.cross_entropy(capped, F.lit(7)).alias("nats"), F.size(lg.softmax(best)).alias("k"),
+        F.aggregate(lg.softmax(best), F.lit(0.0), lambda a, r: a + r["prob"]).alias("mass"),
+    ).collect()
+    assert (time.perf_counter() - started) / 20 < 0.5
+    assert all(r.k >= 20 and abs(r.mass - 1) < 1e-9 and 0 < r.nats < 40 for r in out)
+    mean = rows.select(lg.mean_cross_entropy(F.col("v"), F.when(F.col("id") < 5, 3).otherwise(-1)).alias("m")).first().m
+    each = rows.where("id < 5").select(lg.cross_entropy(F.col("v"), F.lit(3)).alias("n")).collect()
+    assert math.isclose(mean, sum(r.n for r in each) / 5)

@@ -52,3 +52,12 @@ def test_shuffled_position_is_a_permutation_in_hash_order(spark):
     import hashlib
     want = sorted(range(300), key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))
     assert [item for _, item in rows] == want and [idx for idx, _ in rows] == list(range(300))
+
+
+def test_rows_with_null_keys_stay(spark):
+    rows = [("a", "s", 0, 1), (None, "s", 1, 2), (None, "s", 2, 3)]
+    df = spark.createDataFrame(rows, "g string, s string, row bigint, v bigint")
+    got = {r.row: r.out for r in running_total(df, F.col("v"), "out", by=["g"], major="s").collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+    shuffled = shuffled_position(df, F.md5(F.col("row").cast("string")), "p", ["g"], "row").collect()
+    assert sorted((r.g or "", r.p) for r in shuffled) == [("", 0), ("", 1), ("a", 0)]
