@@ -28,45 +28,50 @@ from pyspark.sql import types as T
 from .arrow import map_arrow, runs_by_size, texts_of
 from .columns import labelled_sample
 
-SAMPLE = 4_000
-FIT_CHARS = 200_000
+SAMPLE = 3_000
+FIT_CHARS = 50_000
 OWN = 13  # numbers about a line
-_SYMBOLS = "#*$%&|<>"
-_DROP_SYMBOLS = str.maketrans("", "", _SYMBOLS)
-_DROP_MARKS = str.maketrans("", "", "!?")
-_DROP_DIGITS = str.maketrans("", "", "0123456789")
-_DROP_POINTS = str.maketrans("", "", ".,;:")
+_KINDS = {1: "#*$%&|<>", 2: "!?", 4: "0123456789", 8: ".,;:", 16: "".join(c for c in map(chr, range(0x10000)) if c.isupper())}
+_KIND = np.zeros(0x110000, np.uint8)
+for _bit, _chars in _KINDS.items():
+    _KIND[[ord(c) for c in _chars]] |= _bit
 
 
-def line_features(line: str, seen: set[int]) -> list[float]:
-    size = len(line)
-    if not size:
-        return [0.0] * (OWN - 1) + [1.0]
+def word_numbers(line: str) -> tuple[int, int, int]:
+    """Words, distinct words, and words equal to the one before."""
     words = line.split()
-    n = len(words) or 1
-    lowered = line.lower()
-    distinct = len(set(words))
-    key = hash(line)
-    again = key in seen
-    seen.add(key)
-    return [
-        np.log1p(size), np.log1p(n), (size - len(line.translate(_DROP_SYMBOLS))) / n,
-        (size - len(line.translate(_DROP_MARKS))) / n, (size - len(line.translate(_DROP_DIGITS))) / size,
-        (size - len(line.translate(_DROP_POINTS))) / n, sum(map(str.__ne__, line, lowered)) / size if len(lowered) == size else 0.5,
-        distinct / n, sum(map(str.__eq__, words, words[1:])) / n, size / n, float(again), float(line[:1].isupper()), 0.0,
-    ]
-
-
-def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Features (own, of the line before, of the line after, a one) and length of every line."""
-    seen: set[int] = set()
-    lines = text.split("\n")
-    own = np.array([line_features(line, seen) for line in lines], np.float64)
-    none = np.zeros((1, OWN))
-    return (
-        np.hstack([own, np.vstack([none, own[:-1]]), np.vstack([own[1:], none]), np.ones((len(own), 1))]),
-        np.array([max(1, len(line)) for line in lines], np.float64),
-    )
+    return len(words), len(set(words)), sum(map(str.__eq__, words, words[1:]))
+
+
+def text_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every line the features (own, of the line before, of the line after, a one) and the
+    length, and of every text the number of lines."""
+    split = [t.split("\n") for t in texts]
+    counts = np.array([len(lines) for lines in split])
+    again = []
+    for lines in split:
+        seen: set[str] = set()
+        for line in lines:
+            again.append(line in seen)
+            seen.add(line)
+    lines = [line for part in split for line in part]
+    points = np.frombuffer(("\n".join(lines) + "\n").encode("utf-32-le"), np.uint32)
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    starts = np.cumsum(sizes + 1) - (sizes + 1)
+    kind = _KIND[points]
+    symbols, marks, digits, stops, upper = (np.add.reduceat((kind & bit) > 0, starts, dtype=np.int64) for bit in _KINDS)
+    words, distinct, doubled = np.array([word_numbers(line) for line in lines], np.float64).reshape(-1, 3).T
+    n, size = np.maximum(1, words), np.maximum(1, sizes)
+    empty = sizes == 0
+    own = np.stack([
+        np.log1p(sizes), np.log1p(words), symbols / n, marks / n, digits / size, stops / n, upper / size,
+        distinct / n, doubled / n, sizes / n, np.array(again) & ~empty, (kind[starts] & 16) > 0, empty,
+    ], 1).astype(np.float64)
+    before, after = np.zeros_like(own), np.zeros_like(own)
+    before[1:], after[:-1] = own[:-1], own[1:]
+    ends = np.cumsum(counts)
+    before[ends - counts], after[ends - 1] = 0, 0
+    return np.hstack([own, before, after, np.ones((len(own), 1))]), size.astype(np.float64), counts
 
 
 @dataclass
@@ -174,8 +179,8 @@ def feature_rows(docs: DataFrame) -> DataFrame:
     """(label, values): the features and lengths of each document's lines."""
 
     def run(batch: pa.RecordBatch):
-        found = [document_features(t) for t in texts_of(batch.column(1))]
-        values = [np.hstack([x, n[:, None]]).astype("<f4").tobytes() for x, n in found]
+        x, lengths, counts = text_features(texts_of(batch.column(1)))
+        values = [v.tobytes() for v in np.split(np.hstack([x, lengths[:, None]]).astype("<f4"), np.cumsum(counts)[:-1])]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], names=["label", "values"])
 
     return map_arrow(docs, run, "label int, values binary")
@@ -205,9 +210,7 @@ def score(docs: DataFrame, field: Field | None, text: str = "text", out: str = "
             if field is None:
                 scores = np.full(b - a, 0.5)
             else:
-                found = [document_features(t) for t in texts[a:b]]
-                counts = np.array([len(x) for x, _ in found])
-                scores = field.score(np.vstack([x for x, _ in found]), np.concatenate([n for _, n in found]), counts)
+                scores = field.score(*text_features(texts[a:b]))
             part = batch.slice(a, b - a)
             columns = [part.column(part.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[*names, out])
