@@ -26,7 +26,7 @@ def fewshot_candidates(shuffled: DataFrame, task: str = "task") -> DataFrame:
     return shuffled.join(sizes, task)
 
 
-def _draws(idx: Column, n: Column, k: int, seed: int) -> Column:
+def _draws(idx: Column, n: Column, k: Column, seed: int) -> Column:
     """k distinct numbers below ``n``, every set equally likely: step i draws from
     the first ``n-k+i+1`` numbers and takes the newest one if the draw repeats."""
     def step(taken: Column, i: Column) -> Column:
@@ -34,16 +34,18 @@ def _draws(idx: Column, n: Column, k: int, seed: int) -> Column:
         drawn = F.pmod(hash32(idx + seed, i), top + 1)
         return F.array_append(taken, F.when(F.array_contains(taken, drawn), top).otherwise(drawn))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.array().cast("array<bigint>"), step)
+    none = F.array().cast("array<bigint>")
+    return F.when(k > 0, F.aggregate(F.sequence(F.lit(0), k - 1), none, step)).otherwise(none)
 
 
-def fewshot_sample(shuffled: DataFrame, k: int, seed: int = FEWSHOT_SEED, task: str = "task") -> DataFrame:
-    """For each item k other items of its task, as ``(task, idx, draw, other_idx)``.
+def fewshot_sample(shuffled: DataFrame, k: int | Column, seed: int = FEWSHOT_SEED, task: str = "task") -> DataFrame:
+    """For each item k other items of its task, as ``(task, idx, draw, other_idx)``. ``k``
+    may be a column of the items, so that each task has its own number; zero draws none.
     Positions are drawn, so no pairs are formed. Too few others is an error."""
-    pool = fewshot_candidates(shuffled.select(task, "idx"), task)
-    if k <= 0:
-        return pool.limit(0).select(task, "idx", F.lit(0).alias("draw"), F.col("idx").alias("other_idx"))
-    enough = F.when(F.col("n_candidates") >= k, _draws(F.col("idx"), F.col("n_candidates"), k, seed)).otherwise(
+    wanted = (F.lit(k) if isinstance(k, int) else k).cast("int")
+    pool = fewshot_candidates(shuffled.select(task, "idx", wanted.alias("_k")), task)
+    drawn_ids = _draws(F.col("idx"), F.col("n_candidates"), F.col("_k"), seed)
+    enough = F.when(F.col("n_candidates") >= F.col("_k"), drawn_ids).otherwise(
         F.raise_error(F.concat(F.lit("too few items to sample from in task "), F.col(task).cast("string")))
     )
     drawn = pool.select(task, "idx", F.posexplode(enough).alias("draw", "pick"))

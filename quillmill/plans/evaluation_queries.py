@@ -211,16 +211,17 @@ def candidates_query(spark, sf_dir):
 
 @query(f"WITH {sql.ITEMS}\nSELECT task, idx, draw, other_idx FROM shot_draws", name="fewshot_sample")
 def sample_query(spark, sf_dir):
-    return sampling.fewshot_sample(fixtures.eval_items(spark, sf_dir), fixtures.N_SHOTS)
+    return sampling.fewshot_sample(fixtures.eval_items(spark, sf_dir), fixtures.n_shots())
 
 
 @query(f"""
 WITH {sql.ITEMS}
-SELECT task, idx, string_agg(item_id::VARCHAR, ',' ORDER BY draw) AS shot_items FROM shots GROUP BY task, idx
+SELECT i.task, i.idx, coalesce(string_agg(s.item_id::VARCHAR, ',' ORDER BY s.draw), '') AS shot_items
+FROM items i LEFT JOIN shots s ON s.task = i.task AND s.idx = i.idx GROUP BY i.task, i.idx
 """, name="fewshot_gather")
 def gather_query(spark, sf_dir):
     items = fixtures.eval_items(spark, sf_dir)
-    drawn = sampling.fewshot_sample(items, fixtures.N_SHOTS)
+    drawn = sampling.fewshot_sample(items, fixtures.n_shots())
     shots = sampling.fewshot_gather(items, drawn, ["item_id"])
     return shots.select("task", "idx", joined(F.transform("shots", lambda s: s["item_id"])).alias("shot_items"))
 
@@ -294,10 +295,12 @@ def pad_query(spark, sf_dir):
 
 # --- scores and decisions ---------------------------------------------------------
 
+MAX_PROMPT = 512  # prompts with several examples are longer and lose their beginning
+
 
 def scored(spark, sf_dir, items=None):
     counts, heads = _bigrams(spark, sf_dir)
-    targets = ev.span_targets(spanned(spark, sf_dir, items), KEYS)
+    targets = ev.span_targets(ev.crop_spans(spanned(spark, sf_dir, items), MAX_PROMPT), KEYS)
     return scoring.ngram_scores(targets, counts, heads, V)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codec import bpe_encode
@@ -19,7 +19,7 @@ ROWS_PER_GROUP = 8
 WORLD = 3
 CHOICE_SEED = 99
 N_CHOICES = 4
-N_SHOTS = 2
+SHOTS = {"task0": 2, "task1": 0, "task2": 3, "task3": 1}  # examples before the items of each task
 N_TASKS = 4
 
 
@@ -87,8 +87,12 @@ def eval_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(items, "items")  # a bundle is prepared once and then read by all tasks
 
 
-def with_shots(items: DataFrame, k: int = N_SHOTS) -> DataFrame:
-    return fewshot_gather(items, fewshot_sample(items, k), SHOT_FIELDS)
+def n_shots() -> Column:
+    return F.element_at(F.create_map(*[F.lit(v) for pair in SHOTS.items() for v in pair]), F.col("task"))
+
+
+def with_shots(items: DataFrame) -> DataFrame:
+    return fewshot_gather(items, fewshot_sample(items, n_shots()), SHOT_FIELDS)
 
 
 def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .fixtures import SHOTS
+
 # The form of SPLIT_PATTERN that DuckDB can run: RE2 has neither possessive quantifiers nor lookahead. This form splits the given
 # tables alike; it is not equivalent in general.
 RE2_SPLIT = (
@@ -72,6 +74,13 @@ def draws(k: int, seed: int, source: str) -> str:
     return f"WITH base AS ({steps}) {rows}"
 
 
+def task_draws(seed: int) -> str:
+    """Draws of as many others as each task has examples."""
+    return " UNION ALL ".join(
+        f"SELECT * FROM ({draws(k, seed, f'(SELECT * FROM items WHERE task = {chr(39)}{task}{chr(39)})')})" for task, k in SHOTS.items() if k
+    )
+
+
 ITEMS = f"""
 words AS (SELECT item_id, 'task' || (item_id % 4) AS task, string_split(text, ' ') AS w FROM benchmark),
 halves AS (
@@ -98,7 +107,7 @@ items AS (
          heads[1:g] || [head] || heads[g + 1:] AS options
   FROM placed
 ),
-shot_draws AS ({draws(2, 1234, "items")}),
+shot_draws AS ({task_draws(1234)}),
 shots AS (
   SELECT d.task, d.idx, d.draw, o.item_id,
          CASE o.task_type WHEN 'multiple_choice' THEN o.head || ' ' || o.choices[o.g + 1]
@@ -106,7 +115,10 @@ shots AS (
               ELSE trim(o.head) || ' ' || o.tail END || chr(10) || chr(10) AS solved
   FROM shot_draws d JOIN items o ON o.task = d.task AND o.idx = d.other_idx
 ),
-heads AS (SELECT task, idx, string_agg(solved, '' ORDER BY draw) AS lead FROM shots GROUP BY task, idx),
+heads AS (
+  SELECT i.task, i.idx, coalesce(string_agg(solved, '' ORDER BY draw), '') AS lead
+  FROM items i LEFT JOIN shots s ON s.task = i.task AND s.idx = i.idx GROUP BY i.task, i.idx
+),
 prompts AS (
   SELECT i.*, lead,
     CASE task_type WHEN 'multiple_choice' THEN list_transform(choices, lambda c: lead || head || ' ' || c)
