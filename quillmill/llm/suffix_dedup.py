@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize
 from .arrow import map_arrow, ranges, runs_by_size
@@ -39,6 +40,7 @@ from .words import mixed, span_hashes
 
 LENGTH, ANCHOR, SMALL = 50, 28, 5
 BATCH_BYTES = 2_000_000
+FINER = 8  # buckets of surroundings for each partition; one at a time is in memory
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -157,38 +159,56 @@ def shared_places(packed: DataFrame, partitions: int) -> DataFrame:
 
 
 def surroundings(texts: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
-    """(bucket, docs, classes, froms, sizes, bytes): what lies around the shared anchors of each text."""
+    """(bucket, docs, classes, froms, kinds, sizes, bytes): what lies around the shared anchors
+    of each text. Within a batch equal surroundings of a bucket are sent once; ``kinds`` tells
+    which one each place has."""
     back = length - ANCHOR
 
     def run(batch: pa.RecordBatch):
         doc_ids, classes, lists = batch.column(0).to_numpy(), batch.column(3).to_numpy(), batch.column(2).to_pylist()
+        found: list[tuple] = []
         for a, b, data, starts, sizes in _batches(batch.column(1)):
-            counts, at = [], []
-            for k, parts in enumerate(lists[a:b]):
-                found = np.unique(np.concatenate([np.frombuffer(p, "<u4") for p in parts])).astype(np.int64)
-                counts.append(len(found))
-                at.append(found + starts[k])
-            place, owner = np.concatenate(at), np.repeat(np.arange(b - a), counts)
-            hashes = span_hashes(_BYTES[data], place, place + ANCHOR)
-            low = np.maximum(place - back, starts[owner])
-            high = np.minimum(place + length, (starts + sizes)[owner])
-            bucket = (hashes >> np.uint64(40)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            edges = _runs(bucket[order])
-            rows = []
-            for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
-                part = order[s:e]
-                n = high[part] - low[part]
-                rows.append((
-                    int(bucket[part[0]]), doc_ids[a:b][owner[part]].astype("<i8").tobytes(), classes[a:b][owner[part]].astype("<i8").tobytes(), (low[part] - starts[owner[part]]).astype("<u4").tobytes(),
-                    n.astype("<u4").tobytes(), data[ranges(low[part], n)].tobytes(),
-                ))
-            if rows:
-                names = ["bucket", "docs", "classes", "froms", "sizes", "bytes"]
-                kinds = [pa.int32()] + [pa.binary()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    return map_arrow(texts.select("doc_id", "text", "lists", "class"), run, "bucket int, docs binary, classes binary, froms binary, sizes binary, bytes binary")
+            each = [np.unique(np.concatenate([np.frombuffer(p, "<u4") for p in parts])).astype(np.int64) for parts in lists[a:b]]
+            owner = np.repeat(np.arange(b - a), [len(e) for e in each])
+            place = np.concatenate(each) + starts[owner]
+            values = _BYTES[data]
+            low, high = np.maximum(place - back, starts[owner]), np.minimum(place + length, (starts + sizes)[owner])
+            bucket = (span_hashes(values, place, place + ANCHOR) >> np.uint64(24)) % np.uint64(buckets)
+            names = span_hashes(values, low, high) ^ bucket  # equal surroundings of one bucket
+            _, first, kind = np.unique(names, return_index=True, return_inverse=True)
+            n = (high - low)[first]
+            found.append((bucket, doc_ids[a:b][owner], classes[a:b][owner], low - starts[owner], names, names[first], n, data[ranges(low[first], n)], bucket[first]))
+        bucket, docs, owners, froms, names = (np.concatenate([f[k] for f in found]) for k in range(5))
+        kept_names, first = np.unique(np.concatenate([f[5] for f in found]), return_index=True)
+        n = np.concatenate([f[6] for f in found])
+        at, data = np.cumsum(n) - n, np.concatenate([f[7] for f in found])
+        home = np.concatenate([f[8] for f in found])[first]
+        of_bucket = np.argsort(home, kind="stable")
+        rank = np.empty(len(first), np.int64)
+        rank[of_bucket] = np.arange(len(first))
+        kind = rank[np.searchsorted(kept_names, names)]
+        first, home = first[of_bucket], home[of_bucket]
+        order = np.argsort(bucket, kind="stable")
+        edges = _runs(bucket[order])
+        rows = []
+        for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
+            part = order[s:e]
+            number = bucket[part[0]]
+            low, high = np.searchsorted(home, [number, number + np.uint64(1)])
+            some = first[low:high]
+            rows.append((
+                int(number), docs[part].astype("<i8").tobytes(), owners[part].astype("<i8").tobytes(), froms[part].astype("<u4").tobytes(),
+                (kind[part] - low).astype("<u4").tobytes(), n[some].astype("<u4").tobytes(), data[ranges(at[some], n[some])].tobytes(),
+            ))
+        columns = ["bucket", "docs", "classes", "froms", "kinds", "sizes", "bytes"]
+        types = [pa.int32()] + [pa.binary()] * 6
+        for k in range(0, len(rows), 512):
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows[k : k + 512], strict=True), types, strict=True)], names=columns)
+
+    return map_arrow(
+        texts.select("doc_id", "text", "lists", "class"), run,
+        "bucket int, docs binary, classes binary, froms binary, kinds binary, sizes binary, bytes binary",
+    )
 
 
 def first_owners(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, owners: np.ndarray, length: int = LENGTH):
@@ -217,9 +237,13 @@ def repeated_intervals(packed: DataFrame, partitions: int, length: int = LENGTH)
         for rows in _by_bucket(batches):
             docs, froms, sizes = _joined(rows, "docs", "<i8"), _joined(rows, "froms", "<u4"), _joined(rows, "sizes", "<u4").astype(np.int64)
             data, classes = _joined(rows, "bytes", "u1"), _joined(rows, "classes", "<i8")
+            # Numbers of surroundings in each row, as numbers in the bucket, then among distinct ones.
+            ahead = np.cumsum([0] + [len(r["sizes"]) // 4 for r in rows[:-1]])
+            sent = _joined(rows, "kinds", "<u4").astype(np.int64) + np.repeat(ahead, [len(r["kinds"]) // 4 for r in rows])
             starts = np.cumsum(sizes) - sizes
             names = span_hashes(_BYTES[data], starts, starts + sizes)
             _, one, kind = np.unique(names, return_index=True, return_inverse=True)
+            kind = kind[sent]
             least = np.full(len(one), np.iinfo(np.int64).max)
             np.minimum.at(least, kind, docs)
             piece, place, first = first_owners(data, starts[one], sizes[one], least, length)
@@ -253,15 +277,33 @@ def united(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[opens], high[np.append(opens[1:], len(low)) - 1]
 
 
-def _cut(rows: DataFrame) -> DataFrame:
+SPANS = T.ArrayType(T.StructType([T.StructField("low", T.LongType()), T.StructField("high", T.LongType())]))
+
+
+def _cut(rows: DataFrame, carried: list[str]) -> DataFrame:
+    """Rows (doc_id, n_bytes, digest, whole, text, intervals, carried): the text may be left
+    out where nothing of it goes."""
+    made = [("n_removed", T.LongType()), ("spans", SPANS), ("kept", T.BinaryType()), ("kept_text", T.StringType())]
+    kept_fields = [rows.schema[c] for c in ["doc_id", "n_bytes", "digest", *carried]]
+    schema = T.StructType(kept_fields + [T.StructField(n, t) for n, t in made])
+    names = [f.name for f in kept_fields]
+
     def run(batch: pa.RecordBatch):
-        removed, spans, kept, texts = [], [], [], []
-        lists = batch.column(3)
+        column = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+        lists = column["intervals"]
         flat = lists.flatten()
         lows, highs = (flat.field(k).to_numpy() for k in (0, 1))
         edges_of = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        for k, text in enumerate(batch.column(2).to_pylist()):
-            data, part = text.encode(), slice(edges_of[k], edges_of[k + 1])
+        removed, spans, kept, texts = [], [], [], []
+        for k, (text, whole, n) in enumerate(zip(column["text"].to_pylist(), column["whole"].to_pylist(), column["n_bytes"].to_pylist(), strict=True)):
+            part = slice(edges_of[k], edges_of[k + 1])
+            if part.start == part.stop:
+                removed.append(n if whole else 0)
+                spans.append([{"low": 0, "high": n}] if whole else [])
+                kept.append(b"" if whole else None)
+                texts.append("" if whole else text)
+                continue
+            data = text.encode()
             low, high = united(lows[part], highs[part])
             removed.append(int((high - low).sum()))
             spans.append([{"low": int(x), "high": int(y)} for x, y in zip(low, high, strict=True)])
@@ -269,54 +311,48 @@ def _cut(rows: DataFrame) -> DataFrame:
             kept.append(b"".join(data[edges[j] : edges[j + 1]] for j in range(0, len(edges), 2)))
             texts.append(kept[-1].decode("utf-8", "ignore"))
         kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(texts, pa.string())],
-            names=["doc_id", "class", "n_removed", "spans", "kept", "kept_text"],
-        )
+        values = [pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(texts, pa.string())]
+        yield pa.RecordBatch.from_arrays([column[n] for n in names] + values, names=schema.names)
 
-    return map_arrow(rows, run, "doc_id long, class long, n_removed long, spans array<struct<low: long, high: long>>, kept binary, kept_text string")
+    return map_arrow(rows, run, schema)
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+def repeats(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, carried: list[str] | None = None,
+    all_texts: bool = False,
+) -> DataFrame:
     """A row per document: ``doc_id``, ``n_bytes``, ``n_removed``, ``spans`` (removed runs),
     ``kept``, the remaining bytes, and ``kept_text``, the whole characters among them, which are
-    null where nothing was removed; ``digest`` is the SHA-256 of the whole text."""
-    spark = docs.sparkSession
+    null where nothing was removed; ``digest`` is the SHA-256 of the whole text. ``carried``
+    columns come along. With ``all_texts``, ``kept_text`` also has the unchanged texts."""
+    spark, carried = docs.sparkSession, carried or []
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("class", F.xxhash64("text"))
+    rows = docs.select(*carried, F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("class", F.xxhash64("text"))
     keys = materialize(rows.select("doc_id", "class", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")), "keys")
-    firsts = keys.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("class").alias("class"), F.min("n_bytes").alias("size"))
+    long_keys = keys.where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= length))
+    firsts = long_keys.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("class").alias("class"))
 
-    searched = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
+    searched = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select("doc_id", "class", "text")
     shared = shared_places(anchor_rows(searched, partitions, length), partitions).groupBy("class").agg(F.collect_list("places").alias("lists"))
-    wanted = firsts.where((F.col("size") >= length) & F.col("first").isNotNull()).join(shared, "class").select(F.col("first").alias("doc_id"), "class", "lists")
-    texts = materialize(searched.join(wanted, ["doc_id", "class"]).dropDuplicates(["doc_id", "class"]), "texts")
-
-    found = repeated_intervals(surroundings(texts, partitions, length), partitions, length)
-    intervals = found.groupBy("doc_id", "class").agg(F.collect_list(F.struct("low", "high")).alias("intervals"))
-    cut = _cut(texts.select("doc_id", "class", "text").join(intervals, ["doc_id", "class"]))
-
-    own = F.col("doc_id") == F.col("first")
-    whole = ~own & (F.col("n_bytes") >= length)
-    span = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("n_bytes").alias("high")))
-    none = F.array().cast("array<struct<low: long, high: long>>")
-    return (
-        keys.join(firsts.select("digest", "first"), "digest", "left").join(cut, ["doc_id", "class"], "left")
-        .select(
-            "doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-            F.when(whole, span).otherwise(F.coalesce("spans", none)).alias("spans"),
-            F.when(whole, F.lit("").cast("binary")).otherwise(F.col("kept")).alias("kept"),
-            F.when(whole, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"), "digest",
-        )
+    wanted = firsts.join(shared, "class").select(F.col("first").alias("doc_id"), "class", "lists")
+    around = surroundings(searched.join(wanted, ["doc_id", "class"]), partitions * FINER, length)
+    intervals = materialize(repeated_intervals(around, partitions, length).groupBy("doc_id", "class").agg(F.collect_list(F.struct("low", "high")).alias("intervals")), "intervals")
+
+    copies = long_keys.join(firsts.select("digest", "first"), "digest").where("doc_id > first").select("doc_id", "class").distinct()
+    none = F.lit(None).cast(intervals.schema["intervals"].dataType)
+    fate = intervals.withColumn("whole", F.lit(False)).unionByName(copies.withColumn("whole", F.lit(True)).withColumn("intervals", none))
+    judged = rows.join(fate, ["doc_id", "class"], "left").select(
+        *carried, "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("digest"),
+        F.coalesce("whole", F.lit(False)).alias("whole"), F.when(F.col("intervals").isNotNull() | F.lit(all_texts), F.col("text")).alias("text"), "intervals",
     )
+    return _cut(judged, carried)
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """The documents with their repeated passages taken out of ``text``; all rows and columns
-    stay. Only changed texts take part in the join."""
-    changed = repeats(docs, doc_id, text, length).where("kept is not null").select(
-        F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("kept_text").alias("_text")
-    ).dropDuplicates(["_id", "_digest"])
-    same = (F.col(doc_id) == F.col("_id")) & (F.sha2(F.coalesce(F.col(text), F.lit("")), 256) == F.col("_digest"))
-    joined = docs.join(changed, same, "left")
-    return joined.select(*[F.coalesce("_text", text).alias(text) if c == text else F.col(c) for c in docs.columns])
+    stay, and a null text stays null."""
+    others = [c for c in docs.columns if c != text]
+    rows = docs.select(F.struct(*others).alias("_row"), F.col(text).isNull().alias("_null"), doc_id, text)
+    cut = repeats(rows, doc_id, text, length, ["_row", "_null"], all_texts=True)
+    new = F.when(~F.col("_null"), F.col("kept_text"))
+    return cut.select(*[new.alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])

@@ -122,6 +122,7 @@ def test_each_stage_decides_on_its_own_input(spark, stages):
     assert ids(stages[3]) == ids(found.where("kept"))
     again = suffix_dedup.repeats(stages[3]).select("doc_id", "kept_text").collect()
     changed = {r["doc_id"]: r["kept_text"] for r in again if r["kept_text"] is not None}
+    assert changed
     before = {r["doc_id"]: r["text"] for r in stages[3].collect()}
     assert {r["doc_id"]: r["text"] for r in stages[4].collect()} == before | changed
     assert ids(stages[5]) == ids(stages[4])
