@@ -39,8 +39,9 @@ from .suffix_array import adjacent_common, suffix_array
 from .words import mixed, span_hashes
 
 LENGTH, ANCHOR, SMALL = 50, 28, 5
+HASH_BYTES = 6  # of an anchor's hash, which is compared inside its bucket only
 BATCH_BYTES = 2_000_000
-FINER = 8  # buckets of surroundings for each partition; one at a time is in memory
+FINER = 4  # buckets of surroundings for each partition; one at a time is in memory
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -107,8 +108,8 @@ def anchor_rows(docs: DataFrame, buckets: int, length: int = LENGTH) -> DataFram
                 firsts = _runs(own)
                 counts = np.diff(np.append(firsts, len(own)))
                 rows.append((
-                    int(bucket[part[0]]), classes[a:b][own[firsts]].astype("<i8").tobytes(), counts.astype("<u4").tobytes(),
-                    hashes[part].astype("<u8").tobytes(), (at[part] - starts[own]).astype("<u4").tobytes(),
+                    int(bucket[part[0]]), planes(classes[a:b][own[firsts]], "<i8"), planes(counts, "<u4"),
+                    planes(hashes[part], "<u8", HASH_BYTES), planes(at[part] - starts[own], "<u4"),
                 ))
             names = ["bucket", "classes", "counts", "hashes", "places"]
             kinds = [pa.int32()] + [pa.binary()] * 4
@@ -130,8 +131,22 @@ def _by_bucket(batches):
         yield held
 
 
-def _joined(rows: list[dict], name: str, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(r[name] for r in rows), kind)
+def planes(values: np.ndarray, kind: str, width: int | None = None) -> bytes:
+    """Numbers byte by byte (all lowest bytes first), which shuffles in less space; only the
+    lowest ``width`` bytes of each if given."""
+    size = np.dtype(kind).itemsize
+    return values.astype(kind).view(np.uint8).reshape(-1, size)[:, :width].T.tobytes()
+
+
+def _joined(rows: list[dict], name: str, kind: str, width: int | None = None) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    parts = []
+    for row in rows:
+        table = np.frombuffer(row[name], np.uint8).reshape(width or size, -1)
+        wide = np.zeros((table.shape[1], size), np.uint8)
+        wide[:, : width or size] = table.T
+        parts.append(wide.view(kind).ravel())
+    return np.concatenate(parts)
 
 
 def shared_places(packed: DataFrame, partitions: int) -> DataFrame:
@@ -139,7 +154,7 @@ def shared_places(packed: DataFrame, partitions: int) -> DataFrame:
 
     def run(batches):
         for rows in _by_bucket(batches):
-            hashes, places = _joined(rows, "hashes", "<u8"), _joined(rows, "places", "<u4")
+            hashes, places = _joined(rows, "hashes", "<u8", HASH_BYTES), _joined(rows, "places", "<u4")
             classes = np.repeat(_joined(rows, "classes", "<i8"), _joined(rows, "counts", "<u4"))
             order = np.argsort(hashes, kind="stable")
             edges = _runs(hashes[order])
@@ -159,13 +174,16 @@ def shared_places(packed: DataFrame, partitions: int) -> DataFrame:
 
 
 def surroundings(texts: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
-    """(bucket, docs, classes, froms, kinds, sizes, bytes): what lies around the shared anchors
+    """(bucket, docs, tags, froms, kinds, sizes, bytes): what lies around the shared anchors
     of each text. Within a batch equal surroundings of a bucket are sent once; ``kinds`` tells
     which one each place has."""
     back = length - ANCHOR
 
     def run(batch: pa.RecordBatch):
-        doc_ids, classes, lists = batch.column(0).to_numpy(), batch.column(3).to_numpy(), batch.column(2).to_pylist()
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=1)
+        doc_ids, own_tags, lists = batch.column(0).to_numpy(), batch.column(3).to_numpy(), batch.column(2).to_pylist()
         found: list[tuple] = []
         for a, b, data, starts, sizes in _batches(batch.column(1)):
             each = [np.unique(np.concatenate([np.frombuffer(p, "<u4") for p in parts])).astype(np.int64) for parts in lists[a:b]]
@@ -177,8 +195,8 @@ def surroundings(texts: DataFrame, buckets: int, length: int = LENGTH) -> DataFr
             names = span_hashes(values, low, high) ^ bucket  # equal surroundings of one bucket
             _, first, kind = np.unique(names, return_index=True, return_inverse=True)
             n = (high - low)[first]
-            found.append((bucket, doc_ids[a:b][owner], classes[a:b][owner], low - starts[owner], names, names[first], n, data[ranges(low[first], n)], bucket[first]))
-        bucket, docs, owners, froms, names = (np.concatenate([f[k] for f in found]) for k in range(5))
+            found.append((bucket, doc_ids[a:b][owner], own_tags[a:b][owner], low - starts[owner], names, names[first], n, data[ranges(low[first], n)], bucket[first]))
+        bucket, docs, tags, froms, names = (np.concatenate([f[k] for f in found]) for k in range(5))
         kept_names, first = np.unique(np.concatenate([f[5] for f in found]), return_index=True)
         n = np.concatenate([f[6] for f in found])
         at, data = np.cumsum(n) - n, np.concatenate([f[7] for f in found])
@@ -197,17 +215,17 @@ def surroundings(texts: DataFrame, buckets: int, length: int = LENGTH) -> DataFr
             low, high = np.searchsorted(home, [number, number + np.uint64(1)])
             some = first[low:high]
             rows.append((
-                int(number), docs[part].astype("<i8").tobytes(), owners[part].astype("<i8").tobytes(), froms[part].astype("<u4").tobytes(),
-                (kind[part] - low).astype("<u4").tobytes(), n[some].astype("<u4").tobytes(), data[ranges(at[some], n[some])].tobytes(),
+                int(number), planes(docs[part], "<i8"), planes(tags[part], "<u4"), planes(froms[part], "<u4"),
+                planes(kind[part] - low, "<u4"), planes(n[some], "<u4"), packer.compress(data[ranges(at[some], n[some])].tobytes()),
             ))
-        columns = ["bucket", "docs", "classes", "froms", "kinds", "sizes", "bytes"]
+        columns = ["bucket", "docs", "tags", "froms", "kinds", "sizes", "bytes"]
         types = [pa.int32()] + [pa.binary()] * 6
         for k in range(0, len(rows), 512):
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows[k : k + 512], strict=True), types, strict=True)], names=columns)
 
     return map_arrow(
-        texts.select("doc_id", "text", "lists", "class"), run,
-        "bucket int, docs binary, classes binary, froms binary, kinds binary, sizes binary, bytes binary",
+        texts.select("doc_id", "text", "lists", "tag"), run,
+        "bucket int, docs binary, tags binary, froms binary, kinds binary, sizes binary, bytes binary",
     )
 
 
@@ -231,12 +249,16 @@ def first_owners(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, owners
 
 
 def repeated_intervals(packed: DataFrame, partitions: int, length: int = LENGTH) -> DataFrame:
-    """(doc_id, class, low, high): bytes covered by strings that a smaller document has."""
+    """(doc_id, tag, low, high): bytes covered by strings that a smaller document has."""
 
     def run(batches):
+        import zstandard
+
         for rows in _by_bucket(batches):
             docs, froms, sizes = _joined(rows, "docs", "<i8"), _joined(rows, "froms", "<u4"), _joined(rows, "sizes", "<u4").astype(np.int64)
-            data, classes = _joined(rows, "bytes", "u1"), _joined(rows, "classes", "<i8")
+            opener = zstandard.ZstdDecompressor()
+            data = np.frombuffer(b"".join(opener.decompress(r["bytes"]) for r in rows), np.uint8)
+            tags = _joined(rows, "tags", "<u4").astype(np.int64)
             # Numbers of surroundings in each row, as numbers in the bucket, then among distinct ones.
             ahead = np.cumsum([0] + [len(r["sizes"]) // 4 for r in rows[:-1]])
             sent = _joined(rows, "kinds", "<u4").astype(np.int64) + np.repeat(ahead, [len(r["kinds"]) // 4 for r in rows])
@@ -261,12 +283,12 @@ def repeated_intervals(packed: DataFrame, partitions: int, length: int = LENGTH)
             ends = np.append(edges[1:], len(at)) - 1
             base = froms[owner[edges]].astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs[owner[edges]]), pa.array(classes[owner[edges]]), pa.array(base + at[edges]), pa.array(base + at[ends] + length)],
-                names=["doc_id", "class", "low", "high"],
+                [pa.array(docs[owner[edges]]), pa.array(tags[owner[edges]]), pa.array(base + at[edges]), pa.array(base + at[ends] + length)],
+                names=["doc_id", "tag", "low", "high"],
             )
 
     dealt = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "doc_id long, class long, low long, high long")
+    return dealt.mapInArrow(run, "doc_id long, tag long, low long, high long")
 
 
 def united(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -327,21 +349,27 @@ def repeats(
     columns come along. With ``all_texts``, ``kept_text`` also has the unchanged texts."""
     spark, carried = docs.sparkSession, carried or []
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(*carried, F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("class", F.xxhash64("text"))
-    keys = materialize(rows.select("doc_id", "class", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")), "keys")
+    plain = doc_id == "doc_id" and docs.schema[doc_id].dataType == T.LongType()  # an alias would hide that both joins shuffle alike
+    rows = docs.select(*carried, F.col(doc_id) if plain else F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumn("class", F.xxhash64("text")).withColumn("tag", F.col("class").bitwiseAND(F.lit(0xFFFFFFFF)))  # tells rows of one id apart
+    keys = materialize(rows.select("doc_id", "class", "tag", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")), "keys")
     long_keys = keys.where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= length))
-    firsts = long_keys.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("class").alias("class"))
+    firsts = long_keys.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("class").alias("class"), F.min("tag").alias("tag"))
 
-    searched = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select("doc_id", "class", "text")
+    searchable = F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)
+    searched = rows.where(searchable).select(*carried, "doc_id", "class", "tag", "text")
     shared = shared_places(anchor_rows(searched, partitions, length), partitions).groupBy("class").agg(F.collect_list("places").alias("lists"))
-    wanted = firsts.join(shared, "class").select(F.col("first").alias("doc_id"), "class", "lists")
-    around = surroundings(searched.join(wanted, ["doc_id", "class"]), partitions * FINER, length)
-    intervals = materialize(repeated_intervals(around, partitions, length).groupBy("doc_id", "class").agg(F.collect_list(F.struct("low", "high")).alias("intervals")), "intervals")
-
-    copies = long_keys.join(firsts.select("digest", "first"), "digest").where("doc_id > first").select("doc_id", "class").distinct()
-    none = F.lit(None).cast(intervals.schema["intervals"].dataType)
-    fate = intervals.withColumn("whole", F.lit(False)).unionByName(copies.withColumn("whole", F.lit(True)).withColumn("intervals", none))
-    judged = rows.join(fate, ["doc_id", "class"], "left").select(
+    wanted = firsts.join(shared, "class").select(F.col("first").alias("doc_id"), "tag", "lists")
+    # Both joins with texts ask for the same shuffle of them, which is done once.
+    dealt = searched.select(*carried, "doc_id", "tag", "text")
+    around = surroundings(dealt.join(wanted, ["doc_id", "tag"]), partitions * FINER, length)
+    intervals = repeated_intervals(around, partitions, length).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("low", "high")).alias("intervals"))
+
+    copies = long_keys.join(firsts.select("digest", "first"), "digest").where("doc_id > first").select("doc_id", "tag").distinct()
+    kind = intervals.schema["intervals"].dataType
+    fate = intervals.withColumn("whole", F.lit(False)).unionByName(copies.withColumn("whole", F.lit(True)).withColumn("intervals", F.lit(None).cast(kind)))
+    other = rows.where(~searchable | F.col("doc_id").isNull()).select(*carried, "doc_id", "tag", "text").withColumn("intervals", F.lit(None).cast(kind)).withColumn("whole", F.lit(False))
+    judged = dealt.join(fate, ["doc_id", "tag"], "left").unionByName(other).select(
         *carried, "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("digest"),
         F.coalesce("whole", F.lit(False)).alias("whole"), F.when(F.col("intervals").isNotNull() | F.lit(all_texts), F.col("text")).alias("text"), "intervals",
     )
