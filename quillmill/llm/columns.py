@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLANK = r"[\x20\x09-\x0D]+"
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` over a value that is computed once, also where a lambda inside repeats it."""
-    return F.transform(F.array(value), body)[0]
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def words(text: Column) -> Column:
-    """The runs of other than white space."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK, -1), lambda w: w != "")
-
-
-def chars_left(text: Column, removed: str) -> Column:
-    return F.length(F.regexp_replace(text, removed, "")).cast("long")
+    """The runs of other than white space. Plain replacing and splitting at one character is
+    several times as fast as a pattern."""
+    spaced = F.coalesce(text, F.lit(""))
+    for blank in BLANKS[1:]:
+        spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
+    return F.filter(F.split(spaced, " ", -1), lambda w: w != "")
+
+
+def count_chars(text: Column, chars: str) -> Column:
+    """How many characters of the text are one of some ASCII characters."""
+    counts = [F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in chars]
+    return reduce(Column.__add__, counts).cast("long")
 
 
 def labelled_sample(labels: DataFrame, label: Column, bound: int, key: str = "doc_id") -> DataFrame:

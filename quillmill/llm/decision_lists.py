@@ -24,56 +24,66 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import BLANK, chars_left, labelled_sample, let, words
+from ..functions.binding import let
+from .columns import BLANKS, count_chars, labelled_sample, words
 
 SAMPLE = 20_000
 MIN_WORDS = 50
+FEW = 32  # repeated windows that are looked up one by one
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-RATES = ["symbol_rate", "dup_line_rate", "repeat_rate", "word_length", "upper_rate", "mark_rate", "digit_rate", "distinct_rate"]
+RATES = ["symbol_rate", "dup_line_rate", "repeat_rate", "word_length", "mark_rate", "distinct_rate"]
 
 
-def repeated_words(w: Column) -> Column:
-    """Words that lie in a three-word window found twice or more: windows are sorted by hash
-    with their places, equal neighbours give the places, and places cover three words each."""
-
-    def windows(v):
-        hashed = F.transform(
-            F.sequence(F.lit(0), F.size(v) - 3),
-            lambda i: F.struct(F.xxhash64(F.get(v, i), F.get(v, i + 1), F.get(v, i + 2)).alias("h"), i.alias("at")),
-        )
-        return F.array_sort(hashed)
+def _sorted_places(w: Column) -> Column:
+    """Places of repeated windows by sorting all windows by hash: equal neighbours."""
+    windows = F.array_sort(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
 
     def repeated(s):
         hit = F.filter(s, lambda x, i: (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"]))
         return F.sort_array(F.transform(hit, lambda x: x["at"]))
 
+    return let(windows, repeated)
+
+
+def _covered_words(places: Column) -> Column:
+    """Words that windows of three at sorted places cover."""
     start = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last"))
-    covered = let(
-        let(let(w, windows), repeated),
-        lambda places: F.aggregate(
-            places, start,
-            lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")),
-            lambda a: a["n"],
-        ),
+    return F.aggregate(
+        places, start, lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"]
     )
-    return F.when(F.size(w) < 3, F.lit(0)).otherwise(covered).cast("long")
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Replace the text by its statistics; they also replace columns of their names."""
+    """Replace the text by its statistics; they also replace columns of their names.
+
+    Words in repeated windows: windows of three words are hashed, and equal neighbours
+    among the sorted hashes are repeated ones. Where they are few, their places are looked up,
+    otherwise all windows are sorted with their places, so the work stays near linear in any
+    text."""
     kept = [c for c in docs.columns if c != text and c not in [*BASE, *RATES]]
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    lines = F.filter(F.split(t, "\n", -1), lambda x: F.ltrim(x, F.lit(BLANKS)) != "")
     first = docs.select(*kept, t.alias("_t"), words(F.col(text)).alias("_w"), lines.alias("_l"))
+    hashes = F.transform(
+        F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))
+    )
+    none = F.array().cast("array<bigint>")
     second = first.select(
-        *kept, F.size("_w").cast("long").alias("n_words"), chars_left(F.col("_t"), BLANK).alias("word_chars"),
-        chars_left(F.col("_t"), r"[^#*$%&|<>]+").alias("n_symbols"),
+        *kept, F.size("_w").cast("long").alias("n_words"), (F.length("_t") - count_chars(F.col("_t"), BLANKS)).alias("word_chars"),
+        count_chars(F.col("_t"), "#*$%&|<>").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_w")).alias("n_repeat_words"),
+        F.when(F.size("_w") < 3, none).otherwise(hashes).alias("_h"),
         F.size("_l").alias("_lines"), F.size(F.array_distinct("_w")).alias("_distinct"),
-        chars_left(F.col("_t"), r"[^\p{Lu}]+").alias("_upper"),
-        chars_left(F.col("_t"), r"[^!?]+").alias("_marks"), chars_left(F.col("_t"), r"[^0-9]+").alias("_digits"),
+        count_chars(F.col("_t"), "!?").alias("_marks"),
+    )
+    third = second.withColumn("_s", F.sort_array("_h")).withColumn(
+        "_d", F.array_distinct(F.filter("_s", lambda x, i: x == F.get("_s", i + 1)))
+    )
+    found = F.filter(F.transform("_h", lambda h, i: F.when(F.array_contains("_d", h), i)), lambda i: i.isNotNull())
+    repeats = (
+        F.when(F.size("_d") == 0, F.lit(0)).when(F.size("_d") <= FEW, _covered_words(found)).otherwise(_covered_words(_sorted_places(F.col("_h"))))
     )
+    fourth = third.withColumn("n_repeat_words", repeats.cast("long"))
 
     def rate(part: str, whole: str) -> Column:
         return F.round(F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0), 6)
@@ -81,10 +91,9 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     rates = {
         "symbol_rate": rate("n_symbols", "word_chars"), "dup_line_rate": rate("n_dup_lines", "_lines"),
         "repeat_rate": rate("n_repeat_words", "n_words"), "word_length": rate("word_chars", "n_words"),
-        "upper_rate": rate("_upper", "word_chars"), "mark_rate": rate("_marks", "word_chars"),
-        "digit_rate": rate("_digits", "word_chars"), "distinct_rate": rate("_distinct", "n_words"),
+        "mark_rate": rate("_marks", "word_chars"), "distinct_rate": rate("_distinct", "n_words"),
     }
-    return second.select(*kept, *BASE, *(value.alias(name) for name, value in rates.items()))
+    return fourth.select(*kept, *BASE, *(value.alias(name) for name, value in rates.items()))
 
 
 def base_failed() -> Column:
