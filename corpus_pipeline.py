@@ -40,7 +40,8 @@ def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the base rule or the learned list is against."""
     rules = decision_lists.fit(_documents(spark, sf_dir), _labels(spark, sf_dir))
     rows = docs.select(F.struct("*").alias("_row"), "text")
-    return decision_lists.judge(rows, rules).where("kept").select("_row.*")
+    judged = decision_lists.judge(rows, rules).withColumn("_place", F.monotonically_increasing_id())  # keeps the filter above
+    return judged.where("kept").select("_row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

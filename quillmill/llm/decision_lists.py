@@ -200,11 +200,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
     """Learn the list from documents that pass the base rule."""
     known = labelled_sample(labels.select(F.col(doc_id).alias("_id"), quality), F.col(quality), sample, "_id")
     chosen = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(known), "_id")
-    rows = statistics(chosen).where(~base_failed()).orderBy(F.xxhash64("_id"), "_id", *RATES).select("label", *RATES).collect()
-    if not rows:
-        return []
-    numbers = np.array(rows, float)
-    return learn(numbers[:, 1:], numbers[:, 0] == 0, RATES)
+    # No filter here: it would be pushed below the statistics and repeat their expressions.
+    rows = statistics(chosen).select(F.xxhash64("_id"), "_id", base_failed(), "label", *RATES).collect()
+    numbers = np.array([r[3:] for r in sorted(rows, key=tuple) if not r[2]], float)
+    return learn(numbers[:, 1:], numbers[:, 0] == 0, RATES) if len(numbers) else []
 
 
 def judge(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
