@@ -57,8 +57,8 @@ encoded AS (
 )"""
 
 
-def encoded_documents(spark, sf_dir):
-    vocab = small_vocab(spark, sf_dir)
+def encoded_documents(spark, sf_dir, vocab=None):
+    vocab = vocab or small_vocab(spark, sf_dir)
     return fixtures.corpus(spark, sf_dir).select("row", bpe_encode(F.col("text"), vocab).alias("ids"))
 
 
@@ -73,8 +73,8 @@ def encode_query(spark, sf_dir):
     )
 
 
-def decoded_documents(spark, sf_dir):
-    vocab = small_vocab(spark, sf_dir)
+def decoded_documents(spark, sf_dir, vocab=None):
+    vocab = vocab or small_vocab(spark, sf_dir)
     return fixtures.corpus(spark, sf_dir).select(
         "row", bpe_decode(bpe_encode(F.col("text"), vocab), vocab).alias("text")
     )
@@ -169,9 +169,12 @@ def special_query(spark, sf_dir):
     return roles.select("role", "n", F.try_element_at(ids, marker).alias("start_id"))
 
 
-def packed_documents(spark, sf_dir):
-    docs = materialize(fixtures.with_ids(fixtures.ranked_corpus(spark, sf_dir)), "pack-ids")
-    return pack_sequences(docs, BATCH, SEQ)
+def stored_ids(spark, sf_dir):
+    return materialize(fixtures.with_ids(fixtures.ranked_corpus(spark, sf_dir)), "pack-ids")
+
+
+def packed_documents(spark, sf_dir, docs=None):
+    return pack_sequences(stored_ids(spark, sf_dir) if docs is None else docs, BATCH, SEQ)
 
 
 @query(f"""
