@@ -212,3 +212,13 @@ def symbols_query(spark, sf_dir):
     from ..functions.codec import byte_symbols
 
     return train_words(spark, sf_dir).select("token", joined(byte_symbols(F.col("token"))).alias("symbols"))
+
+
+# The statement of byte_symbols reads what tokenizer training reads. This query has no statement
+# and reads every document, whole.
+@query(name="byte_symbols_whole")
+def whole_symbols_query(spark, sf_dir):
+    from ..functions.codec import byte_symbols
+
+    words = pretoken_counts(fixtures.corpus(spark, sf_dir))
+    return words.select("token", joined(byte_symbols(F.col("token"))).alias("symbols"))
