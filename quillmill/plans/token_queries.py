@@ -17,6 +17,7 @@ from .registry import joined, query, rounded
 
 N_MERGES = 24
 SMALL_VOCAB = 265 + N_MERGES
+LONG_MERGES = 512  # enough for larger forecasts and a rewrite of the words
 BATCH, SEQ = 4, 256
 BPE = sql.bpe(
     N_MERGES,
@@ -36,6 +37,12 @@ def bpe_train(spark, sf_dir):
     return vocabulary.merges_table(spark, small_vocab(spark, sf_dir))
 
 
+@query()
+def bpe_train_512(spark, sf_dir):
+    """As bpe_train, but with more merges than its statement has a CTE for."""
+    return vocabulary.merges_table(spark, bpe_training.bpe_train(train_words(spark, sf_dir), 265 + LONG_MERGES))
+
+
 # Documents encoded with the learned merges: the distinct pieces are merged, then
 # put back in place. Pieces that training never saw replay the merges in order.
 ENCODED = f"""
