@@ -45,12 +45,17 @@ def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each group, and one row of each id; documents
-    without an id stay."""
-    kept = minhash_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("_nth", one).where("_nth = 1").drop("_nth")
-    return named.unionByName(docs.where("doc_id is null"))
+    """Keep one row of the smallest id of each group. A row that is in no group goes only if one of
+    the same id and text stays; documents without an id stay."""
+    found = minhash_dedup.grouped(docs).where("kept and doc_id is not null")
+    # What is in no group is its own text.
+    kept = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("group").alias("_group")).distinct()
+    own = F.when(F.col("_group").isNull(), F.col("_hash"))
+    one = F.row_number().over(Window.partitionBy("doc_id", "_group", own).orderBy("_hash", "text"))
+    named = docs.where("doc_id is not null").withColumn("_text", F.xxhash64("text"))
+    met = named.join(kept, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_text") == F.col("_hash")))
+    rows = met.withColumn("_nth", one).where("_nth = 1").select(*docs.columns)
+    return rows.unionByName(docs.where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

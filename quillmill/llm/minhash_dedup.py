@@ -16,8 +16,8 @@ and a hot bucket is spread. Two texts at the threshold share no band with probab
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; a text of
 fewer than five words is one shingle; texts are read whole; equal texts are one class; rows
-with equal ids count as one document; a null id is linked with nothing and kept; an empty table
-gives an empty one; other columns are not read.
+with equal ids and different texts are documents of their own; a null id is linked with nothing
+and kept; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -59,24 +59,24 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_id, signature); the last two are null for empty sets."""
+    """(doc_id, text_hash, n_shingles, set_id, signature); the last two are null for empty sets."""
 
     def run(batch: pa.RecordBatch):
         import xxhash
 
-        texts = texts_of(batch.column(1))
+        texts = texts_of(batch.column(2))
         for a, b in runs_by_size([len(t) for t in texts], 1_000_000):
             sets = shingle_sets(texts[a:b])
             rows = iter(signatures(sets))
             made = [next(rows).tobytes() if len(s) else None for s in sets]
             names = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(made, pa.binary())],
-                names=["doc_id", "n_shingles", "set_id", "signature"],
+                [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(made, pa.binary())],
+                names=["doc_id", "text_hash", "n_shingles", "set_id", "signature"],
             )
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text)
-    return map_arrow(rows, run, "doc_id long, n_shingles long, set_id binary, signature binary")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text)
+    return map_arrow(rows, run, "doc_id long, text_hash long, n_shingles long, set_id binary, signature binary")
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -224,8 +224,9 @@ def verified_links(classes: DataFrame, texts: DataFrame, share: tuple[int, int]
     distinct = buckets.groupBy("n", "h", "g", "size").agg(F.min("key").alias("key")).select("key", parts.alias("parts"))
     keys = rows.join(distinct, "key").groupBy("node").agg(F.collect_list(F.struct("key", "parts")).alias("keys"))  # at most one per band
     # Texts of candidates are written once, with all their buckets.
+    source = ["doc_id", "text_hash"]
     candidates = materialize(
-        keys.join(classes.select("node", "signature"), "node").join(texts.dropDuplicates(["node"]), "node"), "candidates"
+        keys.join(classes.select("node", "signature", "first.*"), "node").join(texts.dropDuplicates(source), source), "candidates"
     )
     part = F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")
     dealt = (
@@ -240,20 +241,38 @@ def verified_links(classes: DataFrame, texts: DataFrame, share: tuple[int, int]
     return materialize(together.mapInArrow(_compared(share, miss), "a long, b long").distinct(), "links")
 
 
-def near_duplicates(
+def grouped(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: tuple[int, int] = SHARE, miss: float = MISS
 ) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable by links) and
-    ``kept`` (whether that is the document itself), a row per document."""
+    """The columns of ``near_duplicates``, the xxhash64 ``text_hash`` of the text and ``group``, the
+    component (null where nothing can be linked), a row per document."""
     sketched = materialize(sketches(docs, doc_id, text), "sketches")
     linkable = sketched.where("set_id is not null and doc_id is not null")
-    classes = materialize(
-        linkable.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature"), F.min("n_shingles").alias("size")), "classes"
+    # A class has a number of its own: its smallest id may also be that of another class.
+    made = linkable.groupBy("set_id").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("signature").alias("signature"), F.min("n_shingles").alias("size")
     )
-    texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text")).where("node is not null and text is not null")
+    classes = materialize(made.withColumn("node", F.monotonically_increasing_id()), "classes")
+    texts = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")
+    ).where("doc_id is not null and text is not null")
     found = components(verified_links(classes, texts, share, miss))
-    roots = classes.join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
-    placed = sketched.join(roots, "set_id", "left").withColumn(
-        "component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    linked = classes.select("set_id", "node", F.col("first.doc_id").alias("least")).join(found, "node", "left")
+    smallest = linked.where("component is not null").groupBy("component").agg(F.min("least").alias("smallest"))
+    roots = linked.join(smallest, "component", "left").select(
+        "set_id", F.coalesce("component", "node").alias("group"), F.coalesce("smallest", "least").alias("component_id")
     )
-    return placed.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    placed = sketched.join(roots, "set_id", "left").withColumns({
+        "group": F.when(F.col("doc_id").isNotNull(), F.col("group")),
+        "component_id": F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")),
+    })
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return placed.select("doc_id", "text_hash", "n_shingles", "group", "component_id", kept)
+
+
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: tuple[int, int] = SHARE, miss: float = MISS
+) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable by links) and
+    ``kept`` (whether that is the document's own), a row per document."""
+    return grouped(docs, doc_id, text, share, miss).select("doc_id", "n_shingles", "component_id", "kept")
