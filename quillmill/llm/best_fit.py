@@ -9,6 +9,11 @@ whatever the corpus; the filling found is the fullest for as long as its lengths
 taken as often as they do. The resulting plan (a few rows per length) is broadcast, and pieces
 find their place in it by their number within their length, which Spark counts in blocks.
 
+``write_sequences`` makes the training sequences themselves: pieces are written with their ids and with
+their number among those of their length and task; a small table of starts by task and length, joined as
+the planner finds best (by broadcast while it is small), completes the number, so ids are shuffled once, to
+their sequence. ``places`` reads the sequences back.
+
 Defined cases: a null or empty text is the end id alone; repeated rows and equal ids are packed
 as rows of their own; an empty table packs to an empty one; other columns are not used.
 """
@@ -62,6 +67,76 @@ def encode_pieces(
     return map_arrow(rows, run, PIECES + ", ids binary" if with_ids else PIECES)
 
 
+def _dealt_pieces(path: str, capacity: int, end_id: int):
+    """Over a partition: its pieces with their ids, narrow where the vocabulary allows, and ``nth``, their
+    number among the task's pieces of their length."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        seen = np.zeros(capacity + 1, np.int64)
+        for batch in batches:
+            doc_ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
+            for a, b in runs_by_size([len(t) for t in texts]):
+                coder = encoder(path)
+                rows: list[tuple] = []
+                for key, ids in zip(doc_ids[a:b], coder.encode(texts[a:b]).each(), strict=True):
+                    ids = np.append(ids, np.uint32(end_id)).astype(coder.kind)
+                    for k, (start, length) in enumerate(cut(len(ids), capacity)):
+                        rows.append((key, k, start, length, task, int(seen[length]), ids[start : start + length].tobytes()))
+                        seen[length] += 1
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v, kind) for v, kind in zip(zip(*rows, strict=True), kinds, strict=True)],
+                    names=["doc_id", "piece", "start", "length", "task", "nth", "ids"],
+                )
+
+    return run
+
+
+def write_sequences(
+    docs: DataFrame, path: str, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", end_id: int = 0
+) -> DataFrame:
+    """The training sequences, a written table: ``sequence_id``, ``ids`` (little-endian, two bytes an id for
+    vocabularies of up to 65,536, else four), ``pieces`` (doc_id, piece, start, length, offset) in order."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    schema = "doc_id long, piece int, start long, length long, task int, nth long, ids binary"
+    kept = materialize(rows.mapInArrow(_dealt_pieces(path, capacity, end_id), schema), "pieces")
+    sizes = kept.groupBy("length", "task").count()
+    before = F.sum("count").over(Window.partitionBy("length").orderBy("task")) - F.col("count")
+    starts = materialize(sizes.select("length", "task", before.alias("ahead")), "starts")
+    by_length = places_by_length(kept, capacity)
+    numbered_pieces = kept.join(starts, ["length", "task"]).withColumn("number", F.col("nth") + F.col("ahead"))
+    placed = with_places(numbered_pieces, by_length)
+    part = F.struct("offset", "doc_id", "piece", "start", "length", "ids")
+    sequences = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    joined = F.aggregate("parts", F.lit(b""), lambda all_ids, p: F.concat(all_ids, p["ids"]))
+    fields = ["doc_id", "piece", "start", "length", "offset"]
+    named = F.transform("parts", lambda p: F.struct(*(p[f].alias(f) for f in fields)))
+    return materialize(sequences.select("sequence_id", joined.alias("ids"), named.alias("pieces")), "sequences")
+
+
+def places(sequences: DataFrame) -> DataFrame:
+    """A row for each piece in the sequences, with the checksum of the ids that stand at its place."""
+
+    def run(batch: pa.RecordBatch):
+        rows: list[tuple] = []
+        for sequence, packed, pieces in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            total = sum(p["length"] for p in pieces)
+            ids = np.frombuffer(packed, f"<u{len(packed) // total}").astype("<u4")
+            for p in pieces:
+                crc = zlib.crc32(ids[p["offset"] : p["offset"] + p["length"]])
+                rows.append((p["doc_id"], p["piece"], p["start"], p["length"], crc, sequence, p["offset"]))
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(v, kind) for v, kind in zip(zip(*rows, strict=True), kinds, strict=True)],
+            names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+        )
+
+    return map_arrow(sequences.select("sequence_id", "ids", "pieces"), run, PIECES + ", sequence_id long, offset long")
+
+
 def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
     """(length, times) of a combination of available lengths with the largest sum up to
     ``room``. Bit s of a set tells whether sum s can be made; long lengths are used first."""
@@ -121,26 +196,34 @@ def numbered(pieces: DataFrame, key: Column) -> DataFrame:
     )
 
 
-def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
-    """Place pieces (a table with ``length``, at most ``capacity``): adds ``sequence_id`` and
-    ``offset``. The input is written once, so that row numbers stay the same in a rerun."""
-    spark = pieces.sparkSession
-    kept = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
-    histogram = {r["length"]: r["count"] for r in kept.groupBy("length").count().collect()}  # at most capacity rows
+def places_by_length(pieces: DataFrame, capacity: int) -> DataFrame:
+    """The plan, a row per length: ``places`` of its pieces in order of their numbers."""
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
     if histogram and not 0 < min(histogram) <= max(histogram) <= capacity:
         raise ValueError("lengths must lie between 1 and the capacity")
-    plan = spark.createDataFrame(
+    plan = pieces.sparkSession.createDataFrame(
         plan_bins(histogram, capacity), "length long, first long, last long, bin long, times long, at long"
     )
-    by_length = plan.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "last", "bin", "times", "at"))).alias("places"))
-    # Pieces carry only their keys through the shuffles; the plan has a few rows per length.
-    keys = numbered(kept.select("row", "length"), F.col("row"))
-    found = keys.join(F.broadcast(by_length), "length").withColumn(
+    return plan.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "last", "bin", "times", "at"))).alias("places"))
+
+
+def with_places(pieces: DataFrame, by_length: DataFrame) -> DataFrame:
+    """Add ``sequence_id`` and ``offset`` to pieces that have their ``number`` within their length."""
+    found = pieces.join(F.broadcast(by_length), "length").withColumn(
         "place", F.filter("places", lambda p: (p["first"] <= F.col("number")) & (F.col("number") < p["last"]))[0]
     )
     k = F.col("number") - F.col("place.first")
-    placed = found.select(
-        "row", (F.col("place.bin") + F.floor(k / F.col("place.times"))).cast("long").alias("sequence_id"),
-        (F.col("place.at") + (k % F.col("place.times")) * F.col("length")).cast("long").alias("offset"),
-    )
+    return found.withColumns({
+        "sequence_id": (F.col("place.bin") + F.floor(k / F.col("place.times"))).cast("long"),
+        "offset": (F.col("place.at") + (k % F.col("place.times")) * F.col("length")).cast("long"),
+    }).drop("places", "place")
+
+
+def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
+    """Place pieces (a table with ``length``, at most ``capacity``): adds ``sequence_id`` and
+    ``offset``. The input is written once, so that row numbers stay the same in a rerun."""
+    kept = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    by_length = places_by_length(kept, capacity)
+    # Pieces carry only their keys through the shuffles; the plan has a few rows per length.
+    placed = with_places(numbered(kept.select("row", "length"), F.col("row")), by_length).select("row", "sequence_id", "offset")
     return kept.join(placed, "row").drop("row")

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from .arrow import BATCH_CHARS, ranges, runs_by_size
-from .words import LETTER, NUMBER, OTHER, SPACE, Splitter, Words, safe_pieces
+from .words import LETTER, NUMBER, OTHER, SPACE, Growing, Splitter, Words, WordTable, safe_pieces
 
 KEPT_WORDS = 1_500_000
 
@@ -31,20 +31,6 @@ class Codes:
         return np.split(self.flat, np.cumsum(self.counts)[:-1]) if len(self.counts) else []
 
 
-class Growing:
-    """An array that is appended to."""
-
-    def __init__(self, dtype):
-        self.data, self.n = np.zeros(1 << 16, dtype), 0
-
-    def extend(self, values) -> None:
-        need = self.n + len(values)
-        if need > len(self.data):
-            self.data = np.concatenate([self.data[: self.n], np.zeros(need, self.data.dtype)])
-        self.data[self.n : need] = values
-        self.n = need
-
-
 def kind_by(pre_tokenizer, char: str) -> int:
     if char == " ":
         return SPACE
@@ -52,26 +38,6 @@ def kind_by(pre_tokenizer, char: str) -> int:
     return {2: LETTER if sizes[0] == 2 else NUMBER}.get(max(sizes), OTHER if max(sizes) == 3 else SPACE)
 
 
-class Known:
-    """Sorted hashes of the words seen so far, each with its number."""
-
-    def __init__(self):
-        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of sorted distinct hashes, -1 where new."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1, np.int64)
-        at = np.searchsorted(self.hashes, hashes)
-        at[at == len(self.hashes)] = 0
-        return np.where(self.hashes[at] == hashes, self.numbers[at], -1).astype(np.int64)
-
-    def add(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes = np.insert(self.hashes, at, hashes)
-        self.numbers = np.insert(self.numbers, at, numbers.astype(np.int32))
-
-
 def byte_symbols() -> np.ndarray:
     """The code point that stands for each byte: printable ones for themselves, the others
     from 256 on, in order."""
@@ -105,7 +71,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known = Known()
+        self.known = WordTable(KEPT_WORDS)
         self.ids, self.offsets, self.sizes = Growing(self.kind), Growing(np.int64), Growing(np.int32)
 
     def encode_words(self, words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,19 +89,15 @@ class Encoder:
 
     def slots_of(self, words: Words) -> np.ndarray:
         """Where the ids of each word are kept."""
-        hashes, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
-        if len(self.known.hashes) + len(hashes) > KEPT_WORDS:
+        if self.known.full(words):
             self.forget()
-        slots = self.known.find(hashes)
-        new = np.flatnonzero(slots < 0)
+        slots, new = self.known.numbers_of(words)
         if len(new):
-            ids, sizes = self.encode_words(words, first[new])
+            ids, sizes = self.encode_words(words, new)
             self.offsets.extend(self.ids.n + np.cumsum(sizes) - sizes)
             self.ids.extend(ids)
-            slots[new] = self.sizes.n + np.arange(len(new))
             self.sizes.extend(sizes)
-            self.known.add(hashes[new], slots[new])
-        return slots[back]
+        return slots
 
     def encode_plain(self, texts: list[str]) -> Codes:
         """Texts without strings of added tokens."""

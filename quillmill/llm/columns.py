@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+def quoted(name: str) -> str:
+    """A column's name as it has to be written where dots and spaces may be in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def words(text: Column) -> Column:
     """The runs of other than white space. Plain replacing and splitting at one character is
     several times as fast as a pattern."""

@@ -13,7 +13,8 @@ sample is joined by broadcast, and its statistics, a row of numbers per document
 Defined cases: null and empty texts have no words and fail the base rule; ties between
 conditions go to the first by name; repeated rows are judged alike; without labels, or with
 labels of one kind only, the list is empty and keeps all that passes the base rule; an empty
-table gives an empty one; other columns are kept where they do not clash.
+table gives an empty one; other columns are kept, whatever their names, but those that a
+statistic, ``base_failed``, ``rule`` or ``kept`` replaces.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
-from .columns import BLANKS, count_chars, labelled_sample, words
+from .columns import BLANKS, count_chars, labelled_sample, quoted, words
 
 SAMPLE = 20_000
 MIN_WORDS = 50
@@ -59,29 +60,33 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     Words in repeated windows: windows of three words are hashed, and equal neighbours
     among the sorted hashes are repeated ones. Where they are few, their places are looked up,
     otherwise all windows are sorted with their places, so the work stays near linear in any
-    text."""
+    text.
+
+    All statistics of a document leave as one generated row: a filter on what a generator makes
+    stays above it, so their expressions are evaluated once a document and never move into a
+    scan's filter or another expression's lambda."""
     kept = [c for c in docs.columns if c != text and c not in [*BASE, *RATES]]
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col(quoted(text)), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.ltrim(x, F.lit(BLANKS)) != "")
-    first = docs.select(*kept, t.alias("_t"), words(F.col(text)).alias("_w"), lines.alias("_l"))
-    hashes = F.transform(
-        F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))
-    )
+    # Columns of the input travel under numbers, so that none can clash with a name used here.
+    row = F.struct(F.lit(0).alias("c"), *(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(kept)))
+    first = docs.select(row.alias("row"), t.alias("t"), words(F.col(quoted(text))).alias("w"), lines.alias("l"))
+    hashes = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
     none = F.array().cast("array<bigint>")
     second = first.select(
-        *kept, F.size("_w").cast("long").alias("n_words"), (F.length("_t") - count_chars(F.col("_t"), BLANKS)).alias("word_chars"),
-        count_chars(F.col("_t"), "#*$%&|<>").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("_w") < 3, none).otherwise(hashes).alias("_h"),
-        F.size("_l").alias("_lines"), F.size(F.array_distinct("_w")).alias("_distinct"),
-        count_chars(F.col("_t"), "!?").alias("_marks"),
+        "row", F.size("w").cast("long").alias("n_words"), (F.length("t") - count_chars(F.col("t"), BLANKS)).alias("word_chars"),
+        count_chars(F.col("t"), "#*$%&|<>").alias("n_symbols"),
+        (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
+        F.when(F.size("w") < 3, none).otherwise(hashes).alias("h"),
+        F.size("l").alias("lines"), F.size(F.array_distinct("w")).alias("distinct"),
+        count_chars(F.col("t"), "!?").alias("marks"),
     )
-    third = second.withColumn("_s", F.sort_array("_h")).withColumn(
-        "_d", F.array_distinct(F.filter("_s", lambda x, i: x == F.get("_s", i + 1)))
+    third = second.withColumn("s", F.sort_array("h")).withColumn(
+        "d", F.array_distinct(F.filter("s", lambda x, i: x == F.get("s", i + 1)))
     )
-    found = F.filter(F.transform("_h", lambda h, i: F.when(F.array_contains("_d", h), i)), lambda i: i.isNotNull())
+    found = F.filter(F.transform("h", lambda h, i: F.when(F.array_contains("d", h), i)), lambda i: i.isNotNull())
     repeats = (
-        F.when(F.size("_d") == 0, F.lit(0)).when(F.size("_d") <= FEW, _covered_words(found)).otherwise(_covered_words(_sorted_places(F.col("_h"))))
+        F.when(F.size("d") == 0, F.lit(0)).when(F.size("d") <= FEW, _covered_words(found)).otherwise(_covered_words(_sorted_places(F.col("h"))))
     )
     fourth = third.withColumn("n_repeat_words", repeats.cast("long"))
 
@@ -89,11 +94,13 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.round(F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0), 6)
 
     rates = {
-        "symbol_rate": rate("n_symbols", "word_chars"), "dup_line_rate": rate("n_dup_lines", "_lines"),
+        "symbol_rate": rate("n_symbols", "word_chars"), "dup_line_rate": rate("n_dup_lines", "lines"),
         "repeat_rate": rate("n_repeat_words", "n_words"), "word_length": rate("word_chars", "n_words"),
-        "mark_rate": rate("_marks", "word_chars"), "distinct_rate": rate("_distinct", "n_words"),
+        "mark_rate": rate("marks", "word_chars"), "distinct_rate": rate("distinct", "n_words"),
     }
-    return fourth.select(*kept, *BASE, *(value.alias(name) for name, value in rates.items()))
+    found = F.array(F.struct(*BASE, *(value.alias(name) for name, value in rates.items())))
+    fifth = fourth.select("row", F.inline(found))
+    return fifth.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(kept)), *BASE, *RATES)
 
 
 def base_failed() -> Column:
@@ -200,9 +207,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
     """Learn the list from documents that pass the base rule."""
     known = labelled_sample(labels.select(F.col(doc_id).alias("_id"), quality), F.col(quality), sample, "_id")
     chosen = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(known), "_id")
-    # No filter here: it would be pushed below the statistics and repeat their expressions.
-    rows = statistics(chosen).select(F.xxhash64("_id"), "_id", base_failed(), "label", *RATES).collect()
-    numbers = np.array([r[3:] for r in sorted(rows, key=tuple) if not r[2]], float)
+    rows = statistics(chosen).where(~base_failed()).select(F.xxhash64("_id"), "_id", "label", *RATES).collect()
+    numbers = np.array([r[2:] for r in sorted(rows, key=tuple)], float)
     return learn(numbers[:, 1:], numbers[:, 0] == 0, RATES) if len(numbers) else []
 
 

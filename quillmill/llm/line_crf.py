@@ -6,9 +6,10 @@ probability of each line, and their mean weighted by length, on the logit scale
 calibration, is the document's score.
 
 The field is fitted on at most ``sample`` labelled documents, taken by hash of the id, in which
-each line carries its document's label; documents of more than ``FIT_CHARS`` characters do not
-enter the sample (they are scored like all others). Both are documented bounds: the features of
-the sample fit in the driver's memory.
+each line carries its document's label. Of a sampled document of more than ``most_lines`` lines a run
+of that many neighbouring lines, at a place taken by hash of the id, enters the fit (features
+are those in the whole text). So the sample is bounded in rows, by two documented parameters, whatever
+the texts are; scoring has no bound.
 
 Defined cases: null and empty texts are one empty line; a text is scored whole, whatever its
 length; repeated rows get equal scores; an empty table gives an empty one; without labels of
@@ -29,7 +30,7 @@ from .arrow import map_arrow, runs_by_size, texts_of
 from .columns import labelled_sample
 
 SAMPLE = 3_000
-FIT_CHARS = 50_000
+MOST_LINES = 400
 OWN = 13  # numbers about a line
 _KINDS = {1: "#*$%&|<>", 2: "!?", 4: "0123456789", 8: ".,;:", 16: "".join(c for c in map(chr, range(0x10000)) if c.isupper())}
 _KIND = np.zeros(0x110000, np.uint8)
@@ -136,7 +137,7 @@ class Field:
 
 
 def fit_field(features: np.ndarray, lengths: np.ndarray, counts: np.ndarray, good: np.ndarray, steps: int = 150, decay: float = 1e-3) -> Field:
-    """Maximum conditional likelihood by Adam; documents of both kinds weigh alike in total."""
+    """Maximum conditional likelihood by Adam; every line weighs alike."""
     mean, spread = features.mean(0), features.std(0)
     mean[-1], spread[spread < 1e-9] = 0.0, 1.0
     field = Field(mean, spread, np.zeros(features.shape[1]), np.zeros((2, 2)), np.zeros(2))
@@ -175,22 +176,30 @@ def calibrated(z: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def feature_rows(docs: DataFrame) -> DataFrame:
-    """(label, values): the features and lengths of each document's lines."""
+def feature_rows(docs: DataFrame, most_lines: int = MOST_LINES) -> DataFrame:
+    """(label, values): features and lengths of the lines of documents (label, place, text)."""
 
     def run(batch: pa.RecordBatch):
-        x, lengths, counts = text_features(texts_of(batch.column(1)))
-        values = [v.tobytes() for v in np.split(np.hstack([x, lengths[:, None]]).astype("<f4"), np.cumsum(counts)[:-1])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], names=["label", "values"])
+        labels, places, texts = batch.column(0), batch.column(1).to_pylist(), texts_of(batch.column(2))
+        for a, b in runs_by_size([len(t) for t in texts]):
+            x, lengths, counts = text_features(texts[a:b])
+            tables = np.split(np.hstack([x, lengths[:, None]]).astype("<f4"), np.cumsum(counts)[:-1])
+            values = []
+            for table, place in zip(tables, places[a:b], strict=True):
+                first = place % (len(table) - most_lines + 1) if len(table) > most_lines else 0
+                values.append(table[first : first + most_lines].tobytes())
+            yield pa.RecordBatch.from_arrays([labels.slice(a, b - a), pa.array(values, pa.binary())], names=["label", "values"])
 
     return map_arrow(docs, run, "label int, values binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> Field | None:
+def fit(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", most_lines: int = MOST_LINES
+) -> Field | None:
     known = labelled_sample(labels.select(F.col(doc_id).alias("_id"), quality), F.col(quality), sample, "_id")
-    rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(text, F.lit("")).alias("text")).where(F.length("text") <= FIT_CHARS)
-    chosen = rows.join(F.broadcast(known), "_id").select("label", "text")
-    got = sorted((r["label"], bytes(r["values"])) for r in feature_rows(chosen).collect())
+    rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(text, F.lit("")).alias("text"))
+    chosen = rows.join(F.broadcast(known), "_id").select("label", F.pmod(F.xxhash64("_id"), F.lit(1 << 40)).alias("place"), "text")
+    got = sorted((r["label"], bytes(r["values"])) for r in feature_rows(chosen, most_lines).collect())
     good = np.array([label == 1 for label, _ in got])
     if not good.any() or good.all():
         return None

@@ -5,7 +5,8 @@ from the start. Every class has 128 minimum hashes of 16 bits; four in a row mak
 classes that agree on a band are candidates. Candidates are compared hash batch by hash batch:
 with m of n hashes equal and an even prior, the posterior chance that the similarity reaches
 the threshold is an incomplete beta integral, and a pair is dropped once this chance is below
-``MISS``. What survives is verified on the full sets of both texts.
+``MISS``. What survives is verified on the full sets of both texts, and the links
+that a task returns are confirmed on the words themselves.
 
 Pairs are compared where a bucket's members meet and never become rows: a task returns a
 spanning forest of the links it has verified, which has the same components. Buckets with the
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .arrow import map_arrow, runs_by_size, texts_of
 from .components import components
-from .shingles import shingle_sets
+from .shingles import shingle_sets, word_runs
 
 HASHES, BAND, BATCH = 128, 4, 16
 SHARE = (75, 100)  # the threshold as a fraction
@@ -132,7 +133,7 @@ def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
     owner, column = owner[inside], place[column[inside]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
+    out = np.zeros((len(sets), len(sets)), np.float64)  # a piece is exact in single precision, their sum is not
     for low in range(0, int(shared.sum()), width):
         a, b = np.searchsorted(column, [low, low + width])
         table = np.zeros((len(sets), width), np.float32)
@@ -157,7 +158,38 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def links_in(nodes: np.ndarray, sides: np.ndarray, signed: np.ndarray, sets: list[np.ndarray], share: tuple[int, int], miss: float) -> list[tuple[int, int]]:
+def confirmed(linked: np.ndarray, texts: list[str], share: tuple[int, int]) -> list[tuple[int, int]]:
+    """A forest of the links, every edge of it confirmed on the words of both texts; an edge that
+    only equal hashes made is taken out, and the forest is made anew."""
+    runs: dict[int, set[bytes]] = {}
+    held = 0
+    sure: set[tuple[int, int]] = set()
+    while True:
+        edges, wrong = forest(linked), []
+        for a, b in edges:
+            if (a, b) in sure:
+                continue
+            if held > BLOCK_SHINGLES:
+                runs, held = {}, 0
+            for k in (a, b):
+                if k not in runs:
+                    runs[k] = word_runs(texts[k])
+                    held += len(runs[k])
+            one, two = runs[a], runs[b]
+            both = len(one & two)
+            if share[1] * both >= share[0] * (len(one) + len(two) - both):
+                sure.add((a, b))
+            else:
+                wrong.append((a, b))
+        if not wrong:
+            return edges
+        for a, b in wrong:
+            linked[a, b] = linked[b, a] = False
+
+
+def links_in(
+    nodes: np.ndarray, sides: np.ndarray, signed: np.ndarray, sets: list[np.ndarray], texts: list[str], share: tuple[int, int], miss: float
+) -> list[tuple[int, int]]:
     """A forest of the verified links of one bucket (all sides 0), or between its two blocks."""
     one = np.flatnonzero(sides == 0)
     two = np.flatnonzero(sides == 1)
@@ -175,7 +207,8 @@ def links_in(nodes: np.ndarray, sides: np.ndarray, signed: np.ndarray, sets: lis
     sizes = np.array([len(sets[k]) for k in which])
     both = overlaps([sets[k] for k in which])
     sure = share[1] * both >= share[0] * (sizes[:, None] + sizes[None, :] - both)
-    return [(int(nodes[which[a]]), int(nodes[which[b]])) for a, b in forest(sure & hopeful[np.ix_(which, which)])]
+    edges = confirmed(sure & hopeful[np.ix_(which, which)], [texts[k] for k in which], share)
+    return [(int(nodes[which[a]]), int(nodes[which[b]])) for a, b in edges]
 
 
 def _compared(share: tuple[int, int], miss: float):
@@ -192,7 +225,7 @@ def _compared(share: tuple[int, int], miss: float):
         out = []
         for a, b in zip(edges, edges[1:], strict=False):
             if names[a][1] == names[a][2] or 0 < sides[a:b].sum() < b - a:  # two blocks, and one has no members
-                out += links_in(nodes[a:b], sides[a:b], signed[a:b], sets[a:b], share, miss)
+                out += links_in(nodes[a:b], sides[a:b], signed[a:b], sets[a:b], [r["text"] for r in held[a:b]], share, miss)
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def run(batches):

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .arrow import BATCH_CHARS, list_array, map_arrow, runs_by_size, texts_of
-from .codes import Growing, Known, byte_symbols, kind_by
-from .words import Splitter, safe_pieces
+from .codes import byte_symbols, kind_by
+from .words import Growing, Splitter, WordTable, safe_pieces
 
 KEPT_STATES = 800_000
 KEPT_WORDS = 1_500_000
@@ -58,7 +58,7 @@ class PrefixCounter:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.totals = Known(), Growing(np.int32)
+        self.known, self.totals = WordTable(KEPT_WORDS), Growing(np.int32)
 
     def encode(self, word: bytes) -> list[int]:
         """Merge by rank; used on the bytes of one or two tokens."""
@@ -120,18 +120,13 @@ class PrefixCounter:
             self.pairs = {}
 
     def word_totals(self, words) -> np.ndarray:
-        hashes, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
-        if len(self.known.hashes) + len(hashes) > KEPT_WORDS:
+        if self.known.full(words):
             self.forget()
-        slots = self.known.find(hashes)
-        new = np.flatnonzero(slots < 0)
+        slots, new = self.known.numbers_of(words)
         if len(new):
-            fresh = [self.table(words.word(i).encode())[-1] for i in first[new].tolist()]
-            slots[new] = self.totals.n + np.arange(len(new))
-            self.totals.extend(fresh)
-            self.known.add(hashes[new], slots[new])
+            self.totals.extend([self.table(words.word(i).encode())[-1] for i in new.tolist()])
             self.trim()
-        return self.totals.data[slots[back]].astype(np.int64)
+        return self.totals.data[slots].astype(np.int64)
 
     def chars(self, word: str) -> list[int]:
         """Counts of the prefixes of one pre-token at its characters, the empty one left out."""

@@ -107,8 +107,8 @@ def op5_seekable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = best_fit.encode_pieces(table(spark, sf_dir, "documents"), VOCABULARY, CAPACITY, with_ids=False)
-    return best_fit.pack(pieces, CAPACITY)
+    sequences = best_fit.write_sequences(table(spark, sf_dir, "documents"), VOCABULARY, CAPACITY)
+    return best_fit.places(sequences)
 
 
 @query()

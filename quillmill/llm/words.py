@@ -3,8 +3,9 @@
 The pattern is the one of the public rank files: contractions, runs of letters, numbers or
 other characters with a space before them, and white space. Which kind a code point is, the
 tokenizer library itself says (the first time it is met), so library and cut agree on every
-Unicode version. A pre-token is known by a 64-bit hash of its code points; only the distinct
-ones of a batch become Python strings.
+Unicode version. A pre-token is looked up by a 64-bit hash of its code points, and its code
+points are compared wherever a hash is met again (``WordTable``), so no hash decides what a word
+is. Only the distinct ones of a batch become Python strings.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from .arrow import ranges
+
 OTHER, LETTER, NUMBER, SPACE, UNKNOWN = 0, 1, 2, 3, 255
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -55,6 +58,36 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mixed((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+class Growing:
+    """An array that is appended to."""
+
+    def __init__(self, dtype):
+        self.data, self.n = np.zeros(1 << 16, dtype), 0
+
+    def extend(self, values) -> None:
+        need = self.n + len(values)
+        if need > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.zeros(need, self.data.dtype)])
+        self.data[self.n : need] = values
+        self.n = need
+
+
+def differ(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, lengths: np.ndarray, chunk: int = 1 << 19) -> np.ndarray:
+    """Which of the spans of two arrays, of given lengths from 1 on, are not equal."""
+    out = np.zeros(len(lengths), bool)
+    ends = np.cumsum(lengths)
+    low = 0
+    while low < len(lengths):
+        done = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, done + chunk, side="right")))
+        n = lengths[low:high]
+        unequal = a[ranges(a_starts[low:high], n)] != b[ranges(b_starts[low:high], n)]
+        if unequal.any():
+            out[low:high] = np.logical_or.reduceat(unequal, np.cumsum(n) - n)
+        low = high
+    return out
+
+
 @dataclass
 class Words:
     text: str
@@ -123,6 +156,75 @@ class Splitter:
         return Words(text, starts, ends, hashes, np.diff(bounds), points)
 
 
+class WordTable:
+    """The distinct words a worker has met, by number. A hash leads to a word, its code points
+    decide: where they are others the word gets another hash until it is told apart."""
+
+    def __init__(self, most_words: int, most_points: int = 16_000_000):
+        self.most_words, self.most_points = most_words, most_points
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.points, self.starts, self.lengths = Growing(np.uint32), Growing(np.int64), Growing(np.int32)
+
+    def full(self, words: Words) -> bool:
+        """Whether the table may not take all of some words."""
+        return self.starts.n + len(words.starts) > self.most_words or self.points.n + len(words.points) > self.most_points
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of sorted distinct hashes, -1 where new."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, np.int64)
+        at = np.searchsorted(self.hashes, hashes)
+        at[at == len(self.hashes)] = 0
+        return np.where(self.hashes[at] == hashes, self.numbers[at], -1).astype(np.int64)
+
+    def unlike(self, words: Words, first: np.ndarray, back: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Which words differ from the first of their hash, or that one from the word kept."""
+        lengths = words.ends - words.starts
+        out = lengths != lengths[first][back]
+        again = np.flatnonzero(~out & (first[back] != np.arange(len(back))))
+        out[again] = differ(words.points, words.starts[again], words.points, words.starts[first[back[again]]], lengths[again])
+        known = np.flatnonzero(numbers >= 0)
+        kept, mine = numbers[known], first[known]
+        wrong = self.lengths.data[kept] != lengths[mine]
+        same = np.flatnonzero(~wrong)
+        wrong[same] = differ(words.points, words.starts[mine[same]], self.points.data, self.starts.data[kept[same]], lengths[mine[same]])
+        if wrong.any():
+            bad = np.zeros(len(first), bool)
+            bad[known[wrong]] = True
+            out |= bad[back]
+        return out
+
+    def numbers_of(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """The number of every word, and the places of the first of each new one, which take the
+        next numbers in that order."""
+        import xxhash
+
+        hashes, seed = words.hashes, 0
+        while True:
+            distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+            numbers = self.find(distinct)
+            wrong = np.flatnonzero(self.unlike(words, first, back, numbers))
+            if not len(wrong):
+                break
+            seed += 1
+            hashes = hashes.copy()
+            hashes[wrong] = [xxhash.xxh3_64_intdigest(words.word(i).encode(), seed) for i in wrong.tolist()]
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            numbers[new] = self.starts.n + np.arange(len(new))
+            at = np.searchsorted(self.hashes, distinct[new])
+            self.hashes = np.insert(self.hashes, at, distinct[new])
+            self.numbers = np.insert(self.numbers, at, numbers[new].astype(np.int32))
+            starts, lengths = words.starts[first[new]], words.ends[first[new]] - words.starts[first[new]]
+            self.starts.extend(self.points.n + np.cumsum(lengths) - lengths)
+            self.lengths.extend(lengths)
+            self.points.extend(words.points[ranges(starts, lengths)])
+        return numbers[back], first[new]
+
+
 def safe_pieces(text: str, limit: int) -> list[str]:
     """Cut a long text where white space follows other text: no pre-token crosses there, and
     none looks back. A stretch without such a place stays whole."""

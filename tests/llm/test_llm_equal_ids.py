@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-import corpus_pipeline
+from quillmill.llm import stages as corpus_pipeline
 from quillmill.llm import minhash_dedup
 
 

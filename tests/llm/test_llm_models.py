@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from quillmill.llm import line_crf, toxicity_chain
+from quillmill.llm import stages as corpus_pipeline
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -130,10 +130,12 @@ def test_each_stage_decides_on_its_own_input(spark, stages):
 
 def test_pipeline_on_edge_cases(spark, tmp_path):
     rows = [(1, None), (2, ""), (None, "word " * 60), (3, "a b " * 40), (4, None), (4, None)]
+    extra = ["row", "text_hash", "group", "_text", "_nth", "h", "w", "found"]
     clean = " ".join(f"word{k}" for k in range(200))
     rows += [(k, clean) for k in range(10, 14)] + [(20, clean + " and one more"), (21, "x " + "y" * 200_000)]
-    table = spark.createDataFrame([(i, t, "en", "src0", 1, "kept", 0.5) for i, t in rows],
-                                  "doc_id long, text string, lang string, source string, n_chars long, score string, rule double")
+    table = spark.createDataFrame([(i, t, "en", "src0", 1, "kept", 0.5, *extra) for i, t in rows],
+                                  "doc_id long, text string, lang string, source string, n_chars long, score string, rule double, "
+                                  + ", ".join(f"{name} string" for name in extra))
     for part in (table, table.limit(0)):
         folder = str(tmp_path / f"in{part.count()}")
         part.write.parquet(f"{folder}/documents.parquet")
@@ -142,4 +144,5 @@ def test_pipeline_on_edge_cases(spark, tmp_path):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             docs = corpus_pipeline.materialize(stage(spark, docs, folder), name)
             assert docs.columns == table.columns
+            assert docs.select("score", "rule", *extra).distinct().collect() in ([], [("kept", 0.5, *extra)])
         assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == corpus_pipeline.run(spark, folder).count()
