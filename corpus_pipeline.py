@@ -1,83 +1,15 @@
 """The corpus pipeline: classify, judge, drop near copies, cut repeated passages, pack.
 
 Every stage takes (session, documents, folder of the tables) and returns a table, which is
-written as Parquet and read again as the documents of the next. Stages keep all columns of
-their input, also extra ones, and decide on all of its rows; null and empty texts, ties, repeated
-rows and empty tables are treated as the operators' modules say.
+written as Parquet and read again as the documents of the next.
 """
 
 from __future__ import annotations
 
-import public_tokenizers as tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from quillmill.llm import stages
 
-from quillmill.llm import best_fit, decision_lists, line_crf, minhash_dedup, suffix_dedup
-from quillmill.session import materialize
-
-CAPACITY = 2048
-VOCABULARY = tokenizers.path("byte_bpe_50k.json")
-
-
-def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-
-
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-
-
-def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the line classifier scores below one half."""
-    learned = _labels(spark, sf_dir).where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    field = line_crf.fit(_documents(spark, sf_dir), learned)
-    rows = docs.select(F.struct("*").alias("_row"), "text")
-    return line_crf.score(rows, field).where("score >= 0.5").select("_row.*")
-
-
-def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the base rule or the learned list is against."""
-    rules = decision_lists.fit(_documents(spark, sf_dir), _labels(spark, sf_dir))
-    rows = docs.select(F.struct("*").alias("_row"), "text")
-    judged = decision_lists.judge(rows, rules).withColumn("_place", F.monotonically_increasing_id())  # keeps the filter above
-    return judged.where("kept").select("_row.*")
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of the smallest id of each group. A row that is in no group goes only if one of
-    the same id and text stays; documents without an id stay."""
-    found = minhash_dedup.grouped(docs).where("kept and doc_id is not null")
-    # What is in no group is its own text.
-    kept = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("group").alias("_group")).distinct()
-    own = F.when(F.col("_group").isNull(), F.col("_hash"))
-    one = F.row_number().over(Window.partitionBy("doc_id", "_group", own).orderBy("_hash", "text"))
-    named = docs.where("doc_id is not null").withColumn("_text", F.xxhash64("text"))
-    met = named.join(kept, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_text") == F.col("_hash")))
-    rows = met.withColumn("_nth", one).where("_nth = 1").select(*docs.columns)
-    return rows.unionByName(docs.where("doc_id is null"))
-
-
-def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take passages that an earlier document has out of the texts."""
-    return suffix_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place the documents' token pieces into training sequences."""
-    return best_fit.pack(best_fit.encode_pieces(docs, VOCABULARY, CAPACITY, with_ids=False), CAPACITY)
-
-
-STAGES = [
-    ("quality_classifier", classify), ("quality_rules", judge), ("minhash_near_dedup", drop_near_copies),
-    ("suffix_array_dedup", cut_repeats), ("best_fit_packing", pack),
-]
+STAGES = stages.STAGES
 
 ORACLE_SQL = None  # learned stages and the packing cannot be said in SQL
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+run = stages.run
