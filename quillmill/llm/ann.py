@@ -4,8 +4,8 @@ Every vector is projected on many Gaussian directions, and each direction is one
 query opens a window around its own projection in every array; vectors inside it collide there. For
 a search radius R the windows are ``WINDOW`` deviations of a vector at distance R wide, so such a
 vector reaches ``least_collisions()`` collisions with probability 1 - ``MISS``, and what reaches it is
-verified by its cosine in double precision. Radii grow by ``GROWTH``; a larger one only widens the
-windows (virtual rehashing), so counts are extended, never made anew. The search ends once ``k`` verified
+verified by its cosine in double precision. Radii grow by equal steps of cosine; a larger one only widens
+the windows over the same arrays (virtual rehashing), no vector is hashed again. The search ends once ``k`` verified
 vectors lie within R: whatever is nearer has been verified, each with probability 1 - ``MISS``. There is
 no cap on candidates.
 
@@ -32,9 +32,10 @@ from pyspark.sql.window import Window
 from ..session import materialize
 from .arrow import map_arrow, ranges
 
-DIRECTIONS, WINDOW, INSIDE, MISS = 40, 1.645, 0.9, 1e-3
-FIRST_RADIUS, GROWTH = 0.05, 1.35
-BLOCK, QUERIES = 4096, 1024
+DIRECTIONS, WINDOW, INSIDE, MISS = 48, 1.1503, 0.75, 4e-3
+FIRST_SQUARE, NEXT_SQUARE = 0.01, 0.2  # of the radius; a square is 2 - 2 cos
+BLOCK, QUERIES = 16384, 1024
+TOGETHER = 1 << 20  # counts that are held at once
 
 
 def least_collisions(directions: int = DIRECTIONS, inside: float = INSIDE, miss: float = MISS) -> int:
@@ -90,52 +91,67 @@ class Index:
 
     def __init__(self, ids: np.ndarray, v: np.ndarray):
         self.ids, self.v, self.directions = ids, v, directions_of(v.shape[1])
-        projected = (unit(v) @ self.directions).T
-        self.order = np.argsort(projected, axis=1, kind="stable").astype(np.int32)
-        self.values = np.take_along_axis(projected, self.order, 1)
-        self.flat = self.order.ravel()
-
-    def windows(self, centres: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and end of the window around each query (row) in each array."""
-        low, high = np.empty(centres.shape, np.int64), np.empty(centres.shape, np.int64)
-        for j, values in enumerate(self.values):
-            low[:, j] = np.searchsorted(values, centres[:, j] - half, side="left")
-            high[:, j] = np.searchsorted(values, centres[:, j] + half, side="right")
-        return low, high
+        self.unit = unit(v)
+        projected = (self.unit @ self.directions).T
+        order = np.argsort(projected, axis=1, kind="stable")
+        self.values = np.take_along_axis(projected, order, 1)
+        self.places = np.empty(order.shape, np.uint16 if len(ids) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.places, order, np.arange(len(ids), dtype=self.places.dtype)[None, :], 1)
 
     def search(self, ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, float]]:
         """(row of the query, id, cosine): the nearest ``k`` found for each query."""
-        n, base = len(self.ids), np.arange(DIRECTIONS) * len(self.ids)
-        centres = unit(q) @ self.directions
-        fewest = least_collisions()
-        counts = np.zeros((len(q), n), np.uint8)
+        out, size = [], max(1, TOGETHER // max(1, len(self.ids)))
+        for a in range(0, len(q), size):
+            out += [(a + i, key, score) for i, key, score in self._search(ids[a : a + size], q[a : a + size], k)]
+        return out
+
+    def _windows(self, centres: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and size of the window around each query (column) in each array (row)."""
+        kind = self.places.dtype
+        low = np.stack([np.searchsorted(v, c, side="left") for v, c in zip(self.values, centres.T - half, strict=True)])
+        high = np.stack([np.searchsorted(v, c, side="right") for v, c in zip(self.values, centres.T + half, strict=True)])
+        return low.astype(kind), (high - low).astype(kind)
+
+    def _counted(self, low: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """In how many windows each vector lies: a window is a run of places in an array, and a vector is in
+        it by its place. Places before it wrap around to large numbers."""
+        inside = self.places - low[:, None] < size[:, None]
+        return np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8)
+
+    def _search(self, ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+        n, unit_q = len(self.ids), unit(q)
+        centres, fewest = unit_q @ self.directions, least_collisions()
         tried = self.ids[None, :] == ids[:, None]  # the query's own id is no candidate
         left = n - tried.sum(1)
-        found: list[list[tuple[float, int]]] = [[] for _ in q]
-        low, high = np.zeros((2, len(q), DIRECTIONS), np.int64)
-        radius, live, opened = FIRST_RADIUS, np.arange(len(q)), False
+        found = [(np.zeros(0, np.int64), np.zeros(0)) for _ in q]
+        live, step = np.arange(len(q)), 0
         while len(live):
-            last = radius >= 2  # no two directions are farther apart
-            new_low, new_high = self.windows(centres[live], WINDOW * radius)
-            old_low, old_high = (low[live], high[live]) if opened else (new_low, new_low)
-            low[live], high[live] = new_low, new_high
+            radius = np.sqrt(FIRST_SQUARE + step * NEXT_SQUARE)
+            if radius < 2:
+                low, size = self._windows(centres[live], WINDOW * radius)
             go_on = []
             for r, i in enumerate(live.tolist()):
-                starts = np.concatenate([new_low[r] + base, old_high[r] + base])
-                sizes = np.concatenate([old_low[r] - new_low[r], new_high[r] - old_high[r]])
-                counts[i] += np.bincount(self.flat[ranges(starts, sizes)], minlength=n).astype(np.uint8)
-                fresh = np.flatnonzero(~tried[i] if last else (counts[i] >= fewest) & ~tried[i])
-                if len(fresh):
-                    tried[i, fresh] = True
-                    near = found[i] + list(zip((-cosines(self.v[fresh], q[i])).tolist(), self.ids[fresh].tolist(), strict=True))
-                    found[i] = sorted(near)[:k]
-                    left[i] -= len(fresh)
+                hit = ~tried[i]
+                if radius < 2:  # no two directions are farther apart
+                    hit &= self._counted(low[:, r], size[:, r]) >= fewest
+                fresh = np.flatnonzero(hit)
+                tried[i] |= hit
+                left[i] -= len(fresh)
+                near, score = np.append(found[i][0], fresh), np.append(found[i][1], self.unit[fresh] @ unit_q[i])
+                if len(near) > k:  # ties, to rounding, stay for the exact measure
+                    best = np.flatnonzero(score >= np.partition(score, -k)[-k] - 1e-9)
+                    near, score = near[best], score[best]
+                found[i] = near, score
                 # A cosine is a distance: 2 - 2 cos = distance ** 2.
-                done = len(found[i]) == k and 2 + 2 * found[i][-1][0] <= radius * radius
-                if left[i] and not done:
+                if left[i] and (len(near) < k or 2 - 2 * np.partition(score, -k)[-k] > radius * radius):
                     go_on.append(i)
-            live, opened, radius = np.array(go_on, np.int64), True, radius * GROWTH
-        return [(i, key, -score) for i, best in enumerate(found) for score, key in best]
+            live, step = np.array(go_on, np.int64), step + 1
+        out = []
+        for i, (near, _) in enumerate(found):
+            if len(near):
+                exact = sorted(zip((-cosines(self.v[near], q[i])).tolist(), self.ids[near].tolist(), strict=True))[:k]
+                out += [(i, key, -score) for score, key in exact]
+        return out
 
 
 def _searched(table: pa.Table, k: int) -> pa.Table:
