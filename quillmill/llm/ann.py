@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 from ..session import materialize
 from .arrow import map_arrow, ranges
 
-DIRECTIONS, WINDOW, INSIDE, MISS = 48, 1.1503, 0.75, 4e-3
+DIRECTIONS, WINDOW, INSIDE, MISS = 48, 1.1503, 0.75, 2e-4
 FIRST_SQUARE, NEXT_SQUARE = 0.01, 0.2  # of the radius; a square is 2 - 2 cos
 BLOCK, QUERIES = 16384, 1024
 TOGETHER = 1 << 20  # counts that are held at once
