@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import inputs_of, targets_of
-from .prefix import int_div, running_total
+from ..session import materialize
+from .prefix import int_div, null_safe, renamed, running_total
 
 
 def repeat_epochs(docs: DataFrame, epochs: int = 1) -> DataFrame:
@@ -28,10 +29,15 @@ def token_offsets(
     docs: DataFrame, by: Sequence[str] = ("rank",), major: str = "shard", row: str = "row", ids: str = "ids"
 ) -> DataFrame:
     """Add ``off``, the stream position of each document's first token, and ``total``,
-    the length of its stream. Lengths are taken from ``n_ids`` where the table has it,
-    so that they can be summed without reading the tokens."""
+    the length of its stream. Offsets are computed on keys and lengths alone (``n_ids`` where the table
+    has it), stored, and joined to the documents: while they are small enough to broadcast, which the planner
+    sees by the size of the stored table, the tokens are not shuffled for them."""
     size = F.col("n_ids") if "n_ids" in docs.columns else F.size(ids)
-    return running_total(docs, size.cast("bigint"), "off", by=by, major=major, row=row, group_total="total")
+    keys = [*by, major, row]
+    lengths = docs.select(*keys, size.cast("bigint").alias("_n"))
+    offsets = running_total(lengths, F.col("_n"), "off", by=by, major=major, row=row, group_total="total").drop("_n")
+    stored = materialize(offsets, "offsets")
+    return docs.join(renamed(stored, keys), null_safe(keys)).select(*docs.columns, "off", "total")
 
 
 class BatchShape:
@@ -68,7 +74,7 @@ def _part(ids: str, begin: Column, end: Column) -> Column:
 
 
 def _in_order(parts: str) -> Column:
-    return F.flatten(F.transform(F.sort_array(parts), lambda p: p["seg"]))
+    return F.flatten(F.transform(parts, lambda p: p["seg"]))
 
 
 TAIL = -1
@@ -76,9 +82,10 @@ TAIL = -1
 
 def pack_rows(
     placed: DataFrame, shape: BatchShape, by: Sequence[str] = ("rank",), ids: str = "ids",
-    limit_batches: int | None = None, tail: bool = False,
+    limit_batches: int | None = None, tail: bool = False, state: Sequence[str] = (),
 ) -> DataFrame:
-    """Batch rows ``(by, r, tokens)`` of documents that carry ``off`` and ``total``.
+    """Batch rows ``(by, r, tokens)`` of documents that carry ``off`` and ``total``, and the columns
+    ``state`` of the document that gave the last token of the row.
     Each document gives one segment per batch row it reaches, and a group is one batch
     row of at most ``T+1`` tokens, whatever the number of ranks. Unfilled batches are
     not formed; ``tail`` puts what is left, less than a batch, into row ``TAIL``."""
@@ -99,14 +106,14 @@ def pack_rows(
     return (
         placed.filter(F.size(ids) > 0)
         .withColumn("r", F.explode(reached))
-        .select(*by, "r", F.struct(F.greatest("off", begin).alias("at"), _part(ids, begin, end).alias("seg")).alias("part"))
+        .select(*by, "r", F.struct(F.greatest("off", begin).alias("at"), _part(ids, begin, end).alias("seg"), *state).alias("part"))
         .groupBy(*by, "r")
-        .agg(F.collect_list("part").alias("parts"))
-        .select(*by, "r", _in_order("parts").alias("tokens"))
+        .agg(F.array_sort(F.collect_list("part")).alias("parts"))
+        .select(*by, "r", _in_order("parts").alias("tokens"), *(F.element_at("parts", -1)[c].alias(c) for c in state))
     )
 
 
-def batch_rows(rows: DataFrame, shape: BatchShape, by: Sequence[str] = ("rank",)) -> DataFrame:
+def batch_rows(rows: DataFrame, shape: BatchShape, by: Sequence[str] = ("rank",), state: Sequence[str] = ()) -> DataFrame:
     """Batch rows as inputs and targets."""
     return rows.select(
         *by,
@@ -114,6 +121,7 @@ def batch_rows(rows: DataFrame, shape: BatchShape, by: Sequence[str] = ("rank",)
         (F.col("r") % shape.rows).cast("int").alias("row_in_batch"),
         F.slice("tokens", 1, shape.seq_len).alias("inputs"),
         F.slice("tokens", 2, shape.seq_len).alias("targets"),
+        *state,
     )
 
 
@@ -132,11 +140,22 @@ def pack_sequences(
     tail is not emitted. By default the last token of a batch is only a target;
     ``overlap`` also makes it the first input of the next one.
 
+    Where the documents have a ``row_group``, every row also says from which ``(major, row_group)`` its last
+    token came. That of a batch's last row is the loader's state after the batch: see ``loader_state``.
+
     ``docs`` is read twice, for lengths and for tokens, so pass a stored table with
     ``n_ids`` when its ids are costly to compute."""
     shape = BatchShape(batch_size, seq_len, overlap)
+    state = [major, "row_group"] if "row_group" in docs.columns else []
     placed = token_offsets(docs, by, major, row, ids)
-    return batch_rows(pack_rows(placed, shape, by, ids, limit_batches), shape, by)
+    return batch_rows(pack_rows(placed, shape, by, ids, limit_batches, state=state), shape, by, state)
+
+
+def loader_state(batches: DataFrame, batch_size: int, by: Sequence[str] = ("rank",), major: str = "shard") -> DataFrame:
+    """``(by, batch, major, row_group)``: where the tokens of each batch end. Reading goes on after such a
+    position with ``after_row_group``; what a row group has left beyond the batch is skipped, and nothing is
+    read again."""
+    return batches.filter(F.col("row_in_batch") == batch_size - 1).select(*by, "batch", major, "row_group")
 
 
 def next_token_targets(df: DataFrame, ids: str = "ids") -> DataFrame:

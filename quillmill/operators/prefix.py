@@ -1,8 +1,9 @@
 """Ordered running totals without a window over an unbounded group.
 
-Rows are ordered by ``(major, row)`` inside each ``by`` group. Windows run over
-blocks of at most ``BLOCK`` row numbers and then over one row per block, so the rows
-of a hot group are spread over many tasks and only their block totals meet."""
+Rows are ordered by ``(major, row)`` inside each ``by`` group. Their keys and values alone are dealt
+into ranges of that order which hold about as many rows each, whatever the values of ``row`` are and however
+large one group is. A window runs over each range, another over one row per range and group, and the two are
+added up. Other columns of the table are joined to the result by key."""
 
 from __future__ import annotations
 
@@ -12,7 +13,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 BLOCK = 16384
+MOST_RANGES = 4096  # beyond BLOCK * MOST_RANGES rows the ranges grow
 
 _JOIN_OP = {
     "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
@@ -36,6 +40,16 @@ def null_safe(keys: Sequence[str]) -> Column:
     return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
 
 
+def ranged(df: DataFrame, order: Sequence[str], block: int = BLOCK, most: int = MOST_RANGES) -> DataFrame:
+    """Write the rows in ranges of ``order`` (nulls first) of about ``block`` rows: adds ``_range``, which
+    ascends with the order, and ``_at``, the place of a row among all. The order-preserving exchange is
+    Spark's range partitioning; it is written because a second run could sample other bounds."""
+    n = min(most, max(1, -(-df.count() // block)))
+    by = [F.asc_nulls_first(c) for c in order]
+    placed = df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    return materialize(placed.withColumn("_range", F.shiftright("_at", 33).cast("int")), "ranges")
+
+
 def running_total(
     df: DataFrame,
     value: Column,
@@ -50,31 +64,32 @@ def running_total(
 ) -> DataFrame:
     """Add ``out``: ``op`` of ``value`` over all earlier rows (and this one when
     ``inclusive``), and ``group_total`` over the whole ``by`` group if named.
-    ``(by, major, row)`` must be unique and ``row`` non-negative; it may have gaps.
+    ``(by, major, row)`` must be unique; ``row`` may have gaps of any size.
 
-    ``df`` is read twice: for block totals, where only the keys and the value are
-    needed, and for its rows."""
+    ``df`` is read for its keys and values, and once more if it has other columns."""
     agg, join_op = _AGG[op], _JOIN_OP[op]
-    order = ([major] if major else []) + ["_b"]
-    keys = [*by, *order]
-    source = df.withColumns({"_v": value, "_b": int_div(F.col(row), block)})
-
+    keys = [*by, *([major] if major else []), row]
+    rows = ranged(df.select(*keys, value.alias("_v")), keys, block)
     group = Window.partitionBy(*by)
-    before = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    starts = source.groupBy(*keys).agg(agg("_v").alias("_t")).select(
-        *keys,
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*by, "_range").agg(agg("_v").alias("_t")).select(
+        *by, "_range",
         agg("_t").over(before).alias("_start"),
         *([agg("_t").over(group).alias(group_total)] if group_total else []),
     )
-    frame = Window.partitionBy(*keys).orderBy(row).rowsBetween(
+    frame = Window.partitionBy(*by, "_range").orderBy("_at").rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1
     )
-    return (
-        source.withColumn("_local", agg("_v").over(frame))
-        .join(renamed(starts, keys), null_safe(keys))
+    near = [*by, "_range"]
+    totals = (
+        rows.withColumn("_local", agg("_v").over(frame))
+        .join(renamed(starts, near), null_safe(near))
         .withColumn(out, join_op(F.col("_local"), F.col("_start")))
-        .select(*df.columns, out, *([group_total] if group_total else []))
     )
+    added = [out, *([group_total] if group_total else [])]
+    if set(df.columns) <= set(keys):
+        return totals.select(*df.columns, *added)
+    return df.join(renamed(totals.select(*keys, *added), keys), null_safe(keys)).select(*df.columns, *added)
 
 
 def dense_index(

@@ -15,11 +15,14 @@ from ..operators.corpus import (
     train_val_split,
     with_row_group,
 )
+from ..operators.prefix import int_div
 from ..operators.vocabulary import adjacent_pair_counts, pretoken_counts
+from ..session import scratch_path
 from ..sources.corpus import corpus_scan as scan_folder
 from ..sources.corpus import download_summary as summarize_downloads
 from ..sources.corpus import missing_shards as find_missing
 from ..sources.corpus import shard_manifest
+from ..sources.row_groups import row_group_scan
 from . import fixtures, sql
 from .registry import joined, query
 
@@ -60,6 +63,34 @@ def stride_query(spark, sf_dir):
     )
 
 
+GROUP_ROWS, SHARD_DOCS = 64, 2500
+
+
+def row_group_corpus(spark, sf_dir):
+    """``documents`` as files of ``SHARD_DOCS`` ids with real row groups of ``GROUP_ROWS`` rows."""
+    path = scratch_path(spark, "row-groups")
+    docs = fixtures.table(spark, sf_dir, "documents").select("doc_id", "text").withColumn(
+        "shard", F.format_string("%09d", int_div(F.col("doc_id"), SHARD_DOCS))
+    )
+    sorted_docs = docs.repartition("shard").sortWithinPartitions("shard", "doc_id")
+    sorted_docs.write.option("parquet.block.row.count.limit", GROUP_ROWS).partitionBy("shard").parquet(path)
+    return path
+
+
+@query(f"""
+WITH placed AS (
+  SELECT doc_id, doc_id // {SHARD_DOCS} AS shard, row_number() OVER (PARTITION BY doc_id // {SHARD_DOCS} ORDER BY doc_id) - 1 AS row, text FROM documents
+)
+SELECT shard, (row // {GROUP_ROWS})::INT AS row_group, count(*) AS n_docs, min(row) AS first_row, min(doc_id) AS first_doc, sum(length(text))::BIGINT AS n_chars
+FROM placed WHERE row // {GROUP_ROWS} % {fixtures.WORLD} = 1 GROUP BY ALL
+""", name="row_group_stride")
+def row_group_query(spark, sf_dir):
+    rows = row_group_scan(spark, row_group_corpus(spark, sf_dir), "doc_id bigint, text string", rank=1, world=fixtures.WORLD)
+    return rows.groupBy(F.regexp_extract("shard", "shard=([0-9]+)", 1).cast("bigint").alias("shard"), "row_group").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.min("row").alias("first_row"), F.min("doc_id").alias("first_doc"), F.sum(F.length("text")).alias("n_chars")
+    )
+
+
 def _present(spark, sf_dir):
     """Documents as downloaded shards: every id not divisible by three."""
     docs = fixtures.table(spark, sf_dir, "documents").filter("doc_id % 3 <> 0")
@@ -205,19 +236,11 @@ def pairs_query(spark, sf_dir):
 
 
 @query(f"""
-WITH words AS ({TRAIN_PIECES})
+WITH words AS (SELECT DISTINCT unnest({sql.pieces("text")}) AS token FROM documents)
 SELECT token, array_to_string({sql.byte_ids("token")}, ',') AS symbols FROM words
 """, name="byte_symbols")
 def symbols_query(spark, sf_dir):
-    from ..functions.codec import byte_symbols
-
-    return train_words(spark, sf_dir).select("token", joined(byte_symbols(F.col("token"))).alias("symbols"))
-
-
-# The statement of byte_symbols reads what tokenizer training reads. This query has no statement
-# and reads every document, whole.
-@query(name="byte_symbols_whole")
-def whole_symbols_query(spark, sf_dir):
+    """Symbols of the distinct pieces of all documents, whole texts."""
     from ..functions.codec import byte_symbols
 
     words = pretoken_counts(fixtures.corpus(spark, sf_dir))

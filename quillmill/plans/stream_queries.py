@@ -8,7 +8,7 @@ from ..functions.vocabulary import BYTE_LEVEL
 from ..operators import scoring
 from ..operators.corpus import train_val_split
 from ..operators.vocabulary import token_bytes_table
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..streaming import chat
 from ..streaming import corpus as streams
 from . import fixtures, sql
@@ -102,14 +102,27 @@ def resume_query(spark, sf_dir):
 
 
 @query(f"""
-WITH {sql.RANKED}
-SELECT source AS shard, row_group, rank, count(*) AS n_docs FROM dealt
-WHERE source > 'src12' OR (source = 'src12' AND row_group >= (2 // 3 + 1) * 3) GROUP BY ALL
+WITH {sql.DOC_IDS},
+{sql.RANKED},
+ends AS (
+  SELECT i.shard, d.row_group, len(i.ids) AS n, sum(len(i.ids)) OVER (ORDER BY i.shard, i.doc_id) AS stop
+  FROM doc_ids i JOIN dealt d USING (doc_id) WHERE d.rank = 0
+),
+last AS (SELECT ((max(stop) // 1025 - 1) // 2) * 1025 + 1024 AS place FROM ends),
+state AS (SELECT shard, row_group FROM ends, last WHERE stop - n <= place AND place < stop)
+SELECT d.source AS shard, d.row_group, d.rank, count(*) AS n_docs FROM dealt d, state s
+WHERE d.source > s.shard OR (d.source = s.shard AND d.row_group >= (s.row_group // 3 + 1) * 3) GROUP BY ALL
 """, name="resume_after_row_group")
 def after_query(spark, sf_dir):
+    """What is left for the ranks after the middle batch of rank 0, by the state that came with it."""
     from ..operators.corpus import after_row_group
+    from ..operators.packing import loader_state
+    from .token_queries import packed_documents
 
-    rest = after_row_group(fixtures.ranked_corpus(spark, sf_dir), "src12", 2, fixtures.WORLD)
+    states = materialize(loader_state(packed_documents(spark, sf_dir), BATCH).filter("rank = 0"), "states")
+    middle = states.agg(F.expr("max(batch) div 2")).first()[0]
+    state = states.filter(F.col("batch") == middle).first()
+    rest = after_row_group(fixtures.ranked_corpus(spark, sf_dir), state["shard"], state["row_group"], fixtures.WORLD)
     return rest.groupBy("shard", "row_group", "rank").agg(F.count(F.lit(1)).alias("n_docs"))
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.operators.prefix import dense_index, running_total, shuffled_position
+from quillmill.operators.prefix import BLOCK, dense_index, ranged, running_total, shuffled_position
 
 
 def hot_rows(seed=0, n=400):
@@ -61,3 +61,14 @@ def test_rows_with_null_keys_stay(spark):
     assert got == {0: 0, 1: 0, 2: 2}
     shuffled = shuffled_position(df, F.md5(F.col("row").cast("string")), "p", ["g"], "row").collect()
     assert sorted((r.g or "", r.p) for r in shuffled) == [("", 0), ("", 1), ("a", 0)]
+
+
+def test_ranges_follow_the_number_of_rows_not_their_values(spark):
+    n, gap = 100_000, 10_000
+    df = spark.range(n).select(F.lit("s").alias("s"), (F.col("id") * gap).alias("row"), F.lit("x").alias("payload"))
+    rows = ranged(df.select("s", "row"), ["s", "row"])
+    sizes = sorted(r["count"] for r in rows.groupBy("_range").count().collect())
+    assert -(-n // BLOCK) / 2 <= len(sizes) <= 2 * -(-n // BLOCK) and sizes[-1] <= 2 * BLOCK
+    got = dense_index(df, "i", major="s")
+    assert got.columns == ["s", "row", "payload", "i"]
+    assert got.where(F.col("i") * gap != F.col("row")).count() == 0 and got.count() == n
