@@ -54,7 +54,7 @@ def main() -> None:
         "bpe_encode": lambda s, d: token_queries.encoded_documents(s, d, vocab),
         "bpe_decode": lambda s, d: token_queries.decoded_documents(s, d, vocab),
         "pack_sequences": lambda s, d: token_queries.packed_documents(s, d, stored),
-        "bpe_train_24": lambda s, d: merges_table(s, token_queries.small_vocab(s, d)),
+        "bpe_train_256": lambda s, d: merges_table(s, token_queries.small_vocab(s, d)),
         "byte_ids": lambda s, d: token_queries.stored_ids(s, d),
     }
     timed = {name: catalog.QUERIES[name] for name in HEADLINE} | OPERATORS | apart

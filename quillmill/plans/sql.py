@@ -187,32 +187,39 @@ decisions AS (
 )"""
 
 
-def bpe(n_merges: int, source: str = "documents WHERE source <> (SELECT max(source) FROM documents)") -> str:
-    """CTEs that learn merges one at a time: ``best1..bestN`` and ``words{N}``.
-
-    A word is text of five characters per symbol, ``|`` and the id in four digits,
-    so a merge is a text replacement."""
+def symbols(token: str) -> str:
+    """A word as text of five characters per symbol, ``|`` and the id in four digits, so that a
+    merge is a text replacement."""
     symbol = f"'|' || lpad(({byte_id(chr(40) + chr(39) + '0x' + chr(39) + ' || x)::INT')})::VARCHAR, 4, '0')"
-    ctes = [
-        f"pre AS MATERIALIZED (SELECT unnest({pieces('text')}) AS token FROM {source})",
-        "words0 AS MATERIALIZED (SELECT token, n, array_to_string(list_transform("
-        f"regexp_extract_all(hex(encode(token)), '..'), lambda x: {symbol}), '') AS s "
-        "FROM (SELECT token, count(*) AS n FROM pre GROUP BY token))",
-    ]
-    for i in range(1, n_merges + 1):
-        new = 264 + i
-        ctes.append(
-            f"best{i} AS MATERIALIZED (SELECT pair, sum(n) AS n FROM (SELECT n, substr(s, 5 * unnest(range(0, len(s) // 5 - 1)) + 1, 10) "
-            f"AS pair FROM words{i - 1}) GROUP BY pair ORDER BY n DESC, pair LIMIT 1)"
-        )
-        ctes.append(
-            f"words{i} AS MATERIALIZED (SELECT token, n, replace(s, (SELECT pair FROM best{i}), '|{new:04d}') AS s FROM words{i - 1})"
-        )
-    return ",\n".join(ctes)
-
-
-def bpe_apply(n_merges: int, symbols: str) -> str:
-    """Apply the learned merges to symbol text, in order."""
-    for i in range(1, n_merges + 1):
-        symbols = f"replace({symbols}, (SELECT pair FROM best{i}), '|{264 + i:04d}')"
-    return symbols
+    return f"array_to_string(list_transform(regexp_extract_all(hex(encode({token})), '..'), lambda x: {symbol}), '')"
+
+
+def bpe(n_merges: int, source: str, others: str | None = None) -> str:
+    """CTEs that learn merges one at a time, to follow WITH RECURSIVE: ``merges(i, left_id, right_id)`` from 1 on, and
+    ``learned(token, s)``, the distinct words after all merges. ``others`` selects the texts of further words, which do not
+    count in training but are merged with the others."""
+    more = f" UNION ALL SELECT unnest({pieces('text')}), 0 FROM {others}" if others else ""
+    return f"""pre AS MATERIALIZED (SELECT unnest({pieces('text')}) AS token, 1 AS n FROM {source}{more}),
+steps(i, pair, token, n, s) AS (
+  SELECT 0, NULL::VARCHAR, token, n, {symbols("token")} FROM (SELECT token, sum(n) AS n FROM pre GROUP BY token)
+  UNION ALL
+  SELECT i + 1, b.pair, token, n, replace(s, b.pair, '|' || lpad((265 + i)::VARCHAR, 4, '0')) FROM steps, (
+    SELECT pair FROM (SELECT n, substr(s, 5 * unnest(range(0, len(s) // 5 - 1)) + 1, 10) AS pair FROM steps WHERE n > 0)
+    GROUP BY pair ORDER BY sum(n) DESC, pair LIMIT 1) b
+  WHERE i < {n_merges}
+),
+merges AS MATERIALIZED (SELECT DISTINCT i, substr(pair, 2, 4)::INT AS left_id, substr(pair, 7, 4)::INT AS right_id FROM steps WHERE i > 0),
+learned AS (SELECT token, s FROM steps WHERE i = {n_merges})"""
+
+
+TOKEN_HEX = """bytes AS (SELECT b, {byte_id} AS token_id FROM range(256) t(b)),
+spelled(i, h) AS (
+  SELECT 0, list(lpad(upper(to_hex(b)), 2, '0') ORDER BY token_id) FROM bytes
+  UNION ALL SELECT p.i + 1, p.h || [p.h[m.left_id - 8] || p.h[m.right_id - 8]] FROM spelled p JOIN merges m ON m.i = p.i + 1
+),
+tokens AS (SELECT (k + 8)::INT AS token_id, h[k] AS h FROM (SELECT h FROM spelled ORDER BY i DESC LIMIT 1), range(1, 257 + {n_merges}) t(k))"""
+
+
+def token_hex(n_merges: int) -> str:
+    """CTEs after ``bpe``: ``tokens(token_id, h)``, the bytes of every plain token in hexadecimal."""
+    return TOKEN_HEX.format(byte_id=byte_id("b"), n_merges=n_merges)

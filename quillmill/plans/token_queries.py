@@ -15,52 +15,39 @@ from . import fixtures, sql
 from .corpus_queries import train_words
 from .registry import joined, query, rounded
 
-N_MERGES = 24
+N_MERGES = 256
 SMALL_VOCAB = 265 + N_MERGES
 LONG_MERGES = 512  # enough for larger forecasts and a rewrite of the words
 BATCH, SEQ = 4, 256
-BPE = sql.bpe(
-    N_MERGES,
-    "(SELECT substr(text, 1, 10000) AS text FROM documents WHERE source <> (SELECT max(source) FROM documents))",
-)
+TRAIN_TEXTS = "(SELECT substr(text, 1, 10000) AS text FROM documents WHERE source <> (SELECT max(source) FROM documents))"
+BPE = sql.bpe(N_MERGES, TRAIN_TEXTS)
+MERGES = "SELECT i - 1 AS rank, left_id, right_id, 264 + i AS new_id FROM merges"
 
 
 def small_vocab(spark, sf_dir):
     return bpe_training.bpe_train(train_words(spark, sf_dir), SMALL_VOCAB)
 
 
-@query(f"WITH {BPE}\n" + " UNION ALL ".join(
-    f"SELECT {i - 1} AS rank, substr(pair, 2, 4)::INT AS left_id, substr(pair, 7, 4)::INT AS right_id, {264 + i} AS new_id FROM best{i}"
-    for i in range(1, N_MERGES + 1)
-))
+@query(f"WITH RECURSIVE {BPE}\n{MERGES}")
 def bpe_train(spark, sf_dir):
     return vocabulary.merges_table(spark, small_vocab(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {sql.bpe(LONG_MERGES, TRAIN_TEXTS)}\n{MERGES}")
 def bpe_train_512(spark, sf_dir):
-    """As bpe_train, but with more merges than its statement has a CTE for."""
     return vocabulary.merges_table(spark, bpe_training.bpe_train(train_words(spark, sf_dir), 265 + LONG_MERGES))
 
 
-# Documents encoded with the learned merges: the distinct pieces are merged, then
-# put back in place. Pieces that training never saw replay the merges in order.
+# Documents encoded with the learned merges: the distinct pieces of all documents go through the
+# training's replacements, then they are put back in place.
 ENCODED = f"""
-WITH {BPE},
+WITH RECURSIVE {sql.bpe(N_MERGES, TRAIN_TEXTS, "documents")},
 doc_pieces AS (
   SELECT doc_id, unnest(p) AS token, generate_subscripts(p, 1) AS pos
   FROM (SELECT doc_id, {sql.pieces("text")} AS p FROM documents)
 ),
-unseen AS (
-  SELECT token, array_to_string(list_transform(regexp_extract_all(hex(encode(token)), '..'),
-    lambda x: '|' || lpad(({sql.byte_id("('0x' || x)::INT")})::VARCHAR, 4, '0')), '') AS s
-  FROM (SELECT DISTINCT token FROM doc_pieces WHERE token NOT IN (SELECT token FROM words0))
-),
-known AS (
-  SELECT token, s FROM words{N_MERGES} UNION ALL SELECT token, {sql.bpe_apply(N_MERGES, "s")} FROM unseen
-),
 encoded AS (
-  SELECT doc_id, string_agg(k.s, '' ORDER BY pos) AS s FROM doc_pieces JOIN known k USING (token) GROUP BY doc_id
+  SELECT doc_id, string_agg(k.s, '' ORDER BY pos) AS s FROM doc_pieces JOIN learned k USING (token) GROUP BY doc_id
 )"""
 
 
@@ -106,17 +93,12 @@ def tokenize_query(spark, sf_dir):
 
 
 # Tokens of the small vocabulary as hexadecimal bytes, one merge after another.
-TOKEN_HEX = f"WITH {BPE},\ntok0 AS (SELECT ({sql.byte_id('b')})::INT AS token_id, lpad(upper(to_hex(b)), 2, '0') AS h FROM range(256) t(b)),\n" + ",\n".join(
-    f"tok{i} AS MATERIALIZED (SELECT * FROM tok{i - 1} UNION ALL SELECT {264 + i}, "
-    f"(SELECT h FROM tok{i - 1}, best{i} WHERE token_id = substr(pair, 2, 4)::INT) || "
-    f"(SELECT h FROM tok{i - 1}, best{i} WHERE token_id = substr(pair, 7, 4)::INT))"
-    for i in range(1, N_MERGES + 1)
-)
+TOKEN_HEX = f"WITH RECURSIVE {BPE},\n{sql.token_hex(N_MERGES)}"
 SPECIAL_ROWS = ", ".join(f"({i}, '{name}')" for i, name in enumerate(SPECIAL_TOKENS))
 
 
 @query(f"""{TOKEN_HEX}
-SELECT token_id, h AS bytes_hex, false AS is_special, (len(h) // 2)::INT AS n_bytes FROM tok{N_MERGES}
+SELECT token_id, h AS bytes_hex, false AS is_special, (len(h) // 2)::INT AS n_bytes FROM tokens
 UNION ALL
 SELECT i, hex(encode(name)), true, 0 FROM (VALUES {SPECIAL_ROWS}) t(i, name)
 """, name="tokenizer_tables")
@@ -136,7 +118,7 @@ def tables_query(spark, sf_dir):
 lone AS (
   SELECT token_id, h, len(h) // 2 AS n,
          len(regexp_extract_all(regexp_replace(regexp_replace(h, '(..)', ',\\1', 'g'), ',(C[2-9A-F]|D.),[89AB].', '', 'g'), ',[89A-F].')) AS n_broken
-  FROM tok{N_MERGES}
+  FROM tokens
 )
 SELECT token_id, n::INT AS raw_bytes, (n + 2 * n_broken)::INT AS decoded_bytes FROM lone
 UNION ALL SELECT i, 0, 0 FROM range(9) t(i)
@@ -148,7 +130,7 @@ def byte_length_query(spark, sf_dir):
     return raw.join(decoded, "token_id")
 
 
-@query("SELECT i::INT AS token_id FROM range(9, 289) t(i)", name="vocab_minus_special")
+@query(f"{TOKEN_HEX}\nSELECT token_id FROM tokens", name="vocab_minus_special")
 def plain_vocab_query(spark, sf_dir):
     table = vocabulary.vocab_table(spark, small_vocab(spark, sf_dir))
     return vocabulary.vocab_minus_special(table).select("token_id")
