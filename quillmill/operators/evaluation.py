@@ -115,14 +115,30 @@ def join_prediction_target(preds: DataFrame, tokens: DataFrame, spans: DataFrame
     )
 
 
+def _sum_of(values: Column) -> Column:
+    """Sum of an array with the rounding error of every step carried along."""
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("e"))
+
+    def step(a: Column, x: Column) -> Column:
+        s = a["s"] + x
+        lost = F.when(F.abs(a["s"]) >= F.abs(x), (a["s"] - s) + x).otherwise((x - s) + a["s"])
+        return F.struct(s.alias("s"), (a["e"] + lost).alias("e"))
+
+    return F.aggregate(values, zero, step, lambda a: a["s"] + a["e"])
+
+
 def mean_loss(nats: str = "nats") -> Column:
-    """Mean of a loss column that does not depend on the order of its rows: options
-    with the same losses tie exactly, so the tie rule decides and not rounding.
-    Losses that are no finite number make the mean one too; no loss gives null."""
-    exact = F.col(nats).try_cast("decimal(20,12)")
-    return F.when(
-        F.count(nats) == F.count(exact), F.try_divide(F.sum(exact).cast("double"), F.count(exact))
-    ).otherwise(F.avg(nats))
+    """Mean of a loss column that does not depend on the order of its rows: losses are added in the
+    order of their size, with the rounding errors, so options with the same losses tie exactly and the
+    tie rule decides. Nothing is rounded before, whatever the size of the losses. Losses that are no finite number
+    make the mean one too; no loss gives null. A group is one option, at most a sequence long."""
+    x, n = F.col(nats).cast("double"), F.count(nats)
+    ordered = F.array_sort(F.collect_list(x))
+    finite = F.count_if(F.abs(x) < float("inf")) == n
+    small = F.max(F.abs(x)) < 1e290  # so that no sum overflows
+    return F.when(n == 0, F.lit(None)).when(
+        finite, F.when(small, _sum_of(ordered) / n).otherwise(_sum_of(F.transform(ordered, lambda v: v / n)))
+    ).otherwise(F.avg(x))
 
 
 def option_mean_loss(scores: DataFrame, keys: list[str]) -> DataFrame:

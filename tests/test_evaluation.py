@@ -264,3 +264,11 @@ def test_logits_of_a_whole_vocabulary_are_linear(spark):
     mean = rows.select(lg.mean_cross_entropy(F.col("v"), F.when(F.col("id") < 5, 3).otherwise(-1)).alias("m")).first().m
     each = rows.where("id < 5").select(lg.cross_entropy(F.col("v"), F.lit(3)).alias("n")).collect()
     assert math.isclose(mean, sum(r.n for r in each) / 5)
+
+
+def test_mean_loss_of_large_values_ties_in_any_order(spark):
+    values = [1e9 / 7, 3e8 / 11, 1e17, 0.1, 2e8 / 13, 1e-9, 5e11 / 3]
+    rows = [(k, v) for k in range(6) for v in values[k:] + values[:k]] + [(10, 1.7e308), (10, 1.7e308), (11, 1e17), (11, 1.0), (11, -1e17)]
+    got = {r["k"]: r["m"] for r in spark.createDataFrame(rows, "k int, nats double").groupBy("k").agg(ev.mean_loss().alias("m")).collect()}
+    assert len({got[k] for k in range(6)}) == 1
+    assert got[10] == 1.7e308 and got[11] == 1 / 3
