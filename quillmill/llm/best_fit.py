@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialize
-from .arrow import map_arrow, runs_by_size, texts_of
+from .arrow import giving_back, map_arrow, runs_by_size, texts_of
 from .codes import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -102,7 +102,7 @@ def write_sequences(
     vocabularies of up to 65,536, else four), ``pieces`` (doc_id, piece, start, length, offset) in order."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, piece int, start long, length long, task int, nth long, ids binary"
-    kept = materialize(rows.mapInArrow(_dealt_pieces(path, capacity, end_id), schema), "pieces")
+    kept = materialize(rows.mapInArrow(giving_back(_dealt_pieces(path, capacity, end_id)), schema), "pieces")
     sizes = kept.groupBy("length", "task").count()
     before = F.sum("count").over(Window.partitionBy("length").orderBy("task")) - F.col("count")
     starts = materialize(sizes.select("length", "task", before.alias("ahead")), "starts")

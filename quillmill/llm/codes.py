@@ -8,9 +8,9 @@ merge. A worker keeps what it has seen, at most ``KEPT_WORDS`` words; then it st
 
 from __future__ import annotations
 
-import json
 import os
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -53,23 +53,34 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import pre_tokenizers
 
-        self.tokenizer, self.merger = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        for t in (self.tokenizer, self.merger):
-            t.no_truncation()
-            t.no_padding()
+        self.path = path
+        self.merger = self.loaded()
+        cutter = self.merger.pre_tokenizer
         self.merger.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
-        with open(path, encoding="utf-8") as file:
-            self.added = [t["content"] for t in json.load(file)["added_tokens"]]
-        vocabulary = self.tokenizer.get_vocab()
+        self.added = [token.content for token in self.merger.get_added_tokens_decoder().values()]
+        vocabulary = self.merger.get_vocab()
         self.symbols = byte_symbols()
         self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.token_bytes[list(vocabulary.values())] = [len(token) for token in vocabulary]
         self.kind = np.uint16 if len(self.token_bytes) <= 1 << 16 else np.uint32
-        self.splitter = Splitter(lambda char: kind_by(self.tokenizer.pre_tokenizer, char))
+        self.splitter = Splitter(lambda char: kind_by(cutter, char))
         self.forget()
 
+    def loaded(self):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
+
+    @cached_property
+    def tokenizer(self):
+        """The library's tokenizer, for the few texts that hold strings of added tokens."""
+        return self.loaded()
+
     def forget(self) -> None:
         self.known = WordTable(KEPT_WORDS)
         self.ids, self.offsets, self.sizes = Growing(self.kind), Growing(np.int64), Growing(np.int32)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .arrow import map_arrow, runs_by_size, texts_of
+from .arrow import giving_back, map_arrow, runs_by_size, texts_of
 from .components import components
 from .shingles import shingle_sets, word_runs
 
@@ -271,7 +271,7 @@ def verified_links(classes: DataFrame, texts: DataFrame, share: tuple[int, int]
         )
     )
     together = dealt.repartition(partitions, "key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return materialize(together.mapInArrow(_compared(share, miss), "a long, b long").distinct(), "links")
+    return materialize(together.mapInArrow(giving_back(_compared(share, miss)), "a long, b long").distinct(), "links")
 
 
 def grouped(

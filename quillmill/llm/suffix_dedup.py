@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .arrow import map_arrow, ranges, runs_by_size
+from .arrow import giving_back, map_arrow, ranges, runs_by_size
 from .suffix_array import adjacent_common, suffix_array
 from .words import mixed, span_hashes
 
@@ -170,7 +170,7 @@ def shared_places(packed: DataFrame, partitions: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(own[edges]), pa.array(made, pa.binary())], names=["class", "places"])
 
     dealt = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "class long, places binary")
+    return dealt.mapInArrow(giving_back(run), "class long, places binary")
 
 
 def surroundings(texts: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
@@ -288,7 +288,7 @@ def repeated_intervals(packed: DataFrame, partitions: int, length: int = LENGTH)
             )
 
     dealt = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "doc_id long, tag long, low long, high long")
+    return dealt.mapInArrow(giving_back(run), "doc_id long, tag long, low long, high long")
 
 
 def united(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
