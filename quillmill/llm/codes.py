@@ -3,7 +3,7 @@
 Byte-level BPE treats every pre-token alone, so the library is asked for the distinct ones of
 a batch and the ids are laid out with array operations. The distinct words go to the library
 as one text in its byte symbols, one word a line, so that it has only to cut at lines and
-merge. A worker keeps what it has seen, at most ``KEPT_WORDS`` words; then it starts anew.
+merge. A worker keeps what it has seen, until it has ``KEPT_WORDS`` words; then it starts anew.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import numpy as np
 from .arrow import BATCH_CHARS, ranges, runs_by_size
 from .words import LETTER, NUMBER, OTHER, SPACE, Growing, Splitter, Words, WordTable, safe_pieces
 
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 500_000
 
 
 @dataclass
@@ -100,7 +100,7 @@ class Encoder:
 
     def slots_of(self, words: Words) -> np.ndarray:
         """Where the ids of each word are kept."""
-        if self.known.full(words):
+        if self.known.full():
             self.forget()
         slots, new = self.known.numbers_of(words)
         if len(new):

@@ -31,7 +31,7 @@ from .codes import byte_symbols, kind_by
 from .words import Growing, Splitter, WordTable, safe_pieces
 
 KEPT_STATES = 800_000
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 500_000
 SHARED_BYTES = 48  # longer prefixes are not kept
 
 
@@ -120,7 +120,7 @@ class PrefixCounter:
             self.pairs = {}
 
     def word_totals(self, words) -> np.ndarray:
-        if self.known.full(words):
+        if self.known.full():
             self.forget()
         slots, new = self.known.numbers_of(words)
         if len(new):

@@ -160,7 +160,7 @@ class WordTable:
     """The distinct words a worker has met, by number. A hash leads to a word, its code points
     decide: where they are others the word gets another hash until it is told apart."""
 
-    def __init__(self, most_words: int, most_points: int = 16_000_000):
+    def __init__(self, most_words: int, most_points: int = 5_000_000):
         self.most_words, self.most_points = most_words, most_points
         self.forget()
 
@@ -168,9 +168,9 @@ class WordTable:
         self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.points, self.starts, self.lengths = Growing(np.uint32), Growing(np.int64), Growing(np.int32)
 
-    def full(self, words: Words) -> bool:
-        """Whether the table may not take all of some words."""
-        return self.starts.n + len(words.starts) > self.most_words or self.points.n + len(words.points) > self.most_points
+    def full(self) -> bool:
+        """Whether it is time to start anew; a batch may be more than the table's bounds."""
+        return self.starts.n > self.most_words or self.points.n > self.most_points
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of sorted distinct hashes, -1 where new."""
