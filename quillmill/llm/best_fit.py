@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import materialize
+from ..session import discard, materialize, scratch_path
 from .arrow import giving_back, map_arrow, runs_by_size, texts_of
 from .codes import encoder
 
@@ -95,6 +95,14 @@ def _dealt_pieces(path: str, capacity: int, end_id: int):
     return run
 
 
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A table of ids written to the shared folder, and its path. Ids are what these tables weigh, and this
+    compression takes a quarter less of them than the usual one."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def write_sequences(
     docs: DataFrame, path: str, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", end_id: int = 0
 ) -> DataFrame:
@@ -102,7 +110,7 @@ def write_sequences(
     vocabularies of up to 65,536, else four), ``pieces`` (doc_id, piece, start, length, offset) in order."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, piece int, start long, length long, task int, nth long, ids binary"
-    kept = materialize(rows.mapInArrow(giving_back(_dealt_pieces(path, capacity, end_id)), schema), "pieces")
+    kept, pieces_path = _stored(rows.mapInArrow(giving_back(_dealt_pieces(path, capacity, end_id)), schema), "pieces")
     sizes = kept.groupBy("length", "task").count()
     before = F.sum("count").over(Window.partitionBy("length").orderBy("task")) - F.col("count")
     starts = materialize(sizes.select("length", "task", before.alias("ahead")), "starts")
@@ -114,7 +122,9 @@ def write_sequences(
     joined = F.aggregate("parts", F.lit(b""), lambda all_ids, p: F.concat(all_ids, p["ids"]))
     fields = ["doc_id", "piece", "start", "length", "offset"]
     named = F.transform("parts", lambda p: F.struct(*(p[f].alias(f) for f in fields)))
-    return materialize(sequences.select("sequence_id", joined.alias("ids"), named.alias("pieces")), "sequences")
+    written, _ = _stored(sequences.select("sequence_id", joined.alias("ids"), named.alias("pieces")), "sequences")
+    discard(docs.sparkSession, pieces_path)  # the sequences have all of it
+    return written
 
 
 def places(sequences: DataFrame) -> DataFrame:
