@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 from ..constants import BOS
 from ..functions.codec import bpe_encode
 from ..functions.vocabulary import BYTE_LEVEL, Vocabulary
-from ..operators.packing import TAIL, BatchShape, batch_rows, pack_rows, token_offsets
+from ..operators.packing import BatchShape
 from ..operators.scoring import bits_per_byte
 
 
@@ -32,89 +35,113 @@ def stream_tokenize(stream: DataFrame, vocab: Vocabulary = BYTE_LEVEL, text: str
     return stream.filter(F.col(text).isNotNull()).withColumn("ids", bpe_encode(F.col(text), vocab, prepend=BOS))
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which typed state needs. A query copies
+    the settings when it starts and records the store in its checkpoint."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def append_parquet(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write all that is available as Parquet and stop; the sink is exactly-once."""
-    return (
+    writer = (
         stream.writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)
-        .start()
     )
+    with state_store(stream.sparkSession):
+        return writer.start()
+
+
+# Tokens that are laid end to end at once when batches are cut.
+TOKENS_PER_CUT = 1 << 20
+FIRST = -(1 << 63)  # place of a row without number
+
+
+class _Packer(StatefulProcessor):
+    """Cuts the stream of one key into batches. Its state is what does not fill a batch, as 4-byte
+    ids, and the number of the next batch."""
+
+    def __init__(self, shape: BatchShape, keys: Sequence[str]):
+        self.shape, self.keys = shape, list(keys)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.carry = handle.getValueState("carry", "ids binary, next_batch bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        carried, batch = self.carry.get() if self.carry.exists() else (b"", 0)
+        left = np.frombuffer(carried, dtype="<i4")
+        light, tokens = [], []
+        for frame in rows:
+            tokens.extend(np.asarray(ids, dtype="<i4") for ids in frame["ids"])
+            light.append(frame[["shard", "row"]])
+        order = pd.concat(light, ignore_index=True).sort_values(["shard", "row"], kind="stable", na_position="first").index
+        parts, size = [left], len(left)
+        for n, place in enumerate(order, 1):
+            parts.append(tokens[place])
+            size += len(tokens[place])
+            if size >= TOKENS_PER_CUT or n == len(order):
+                frame, left = self._cut(key, np.concatenate(parts), batch)
+                batch += len(frame) // self.shape.rows
+                parts, size = [left], len(left)
+                if len(frame):
+                    yield frame
+        self.carry.update((left.astype("<i4").tobytes(), int(batch)))
+
+    def _cut(self, key, tokens, batch):
+        shape = self.shape
+        full = max(0, (len(tokens) - shape.batch_tokens + shape.stride) // shape.stride)
+        at = [b * shape.stride + r * shape.seq_len for b in range(full) for r in range(shape.rows)]
+        frame = {k: [v] * len(at) for k, v in zip(self.keys, key)}
+        frame["batch"] = [batch + b for b in range(full) for _ in range(shape.rows)]
+        frame["row_in_batch"] = list(range(shape.rows)) * full
+        frame["inputs"] = [tokens[a: a + shape.seq_len] for a in at]
+        frame["targets"] = [tokens[a + 1: a + 1 + shape.seq_len] for a in at]
+        return pd.DataFrame(frame), tokens[full * shape.stride:]
+
+    def close(self) -> None:
+        pass
+
+
+def stream_batches(
+    stream: DataFrame, batch_size: int, seq_len: int, by: Sequence[str] = ("rank",), overlap: bool = False
+) -> DataFrame:
+    """Training batches ``(by, batch, row_in_batch, inputs, targets)`` of a stream of ``(by, shard, row,
+    ids)``. Micro-batches follow each other; inside one, documents are ordered by ``(shard, row)``, nulls
+    first. Documents without ids add nothing.
 
-
-def _state_schema(stream: DataFrame, by: Sequence[str]) -> StructType:
-    keys = StructType([stream.schema[k] for k in by])
-    return keys.add("carry", ArrayType(IntegerType())).add("next_batch", LongType())
+    The carry of each ``by`` is value state of less than one batch, and batches go to any append sink. A
+    task takes the documents that one ``by`` got in one micro-batch, as 4-byte ids, so limit what a
+    micro-batch reads (``max_files``); ranks run side by side."""
+    shape, keys = BatchShape(batch_size, seq_len, overlap), list(by)
+    docs = stream.filter(F.col("ids").isNotNull()).select(
+        *keys, "shard", F.coalesce(F.col("row").cast("bigint"), F.lit(FIRST)).alias("row"), "ids"
+    )
+    schema = StructType([stream.schema[k] for k in keys])
+    schema = schema.add("batch", LongType()).add("row_in_batch", IntegerType())
+    schema = schema.add("inputs", ArrayType(IntegerType())).add("targets", ArrayType(IntegerType()))
+    return docs.groupBy(*keys).transformWithStateInPandas(_Packer(shape, keys), schema, "append", "none")
 
 
 def stream_pack(
     stream: DataFrame, path: str, checkpoint: str, batch_size: int, seq_len: int,
     by: Sequence[str] = ("rank",), overlap: bool = False,
 ) -> StreamingQuery:
-    """Pack a stream of ``(by, shard, row, ids)`` into training batches under ``path``.
-
-    Each micro-batch is packed like a table; what does not fill a bin is carried to
-    the next one, so the state is one partial bin and a batch number per rank and no
-    task ever holds a whole rank. State and output are written per micro-batch and
-    replaced when it is retried. The micro-batch number orders the stream."""
-    shape, keys = BatchShape(batch_size, seq_len, overlap), list(by)
-    state_schema = _state_schema(stream, keys)
-    states, batches = f"{checkpoint}/carry", path
-
-    def pack(docs: DataFrame, epoch: int) -> None:
-        spark = docs.sparkSession
-        if epoch == 0:
-            state = spark.createDataFrame([], state_schema)
-        else:
-            state = spark.read.schema(state_schema).parquet(f"{states}/epoch={epoch - 1}")
-        docs = docs.select(*keys, "shard", "row", "ids", F.size("ids").alias("n_ids")).persist()
-
-        # One row per rank: what it carries, where its batches go on, how much it has.
-        # It is stored so that its size is known when it is joined.
-        none = F.lit(None)
-        added = docs.groupBy(*keys).agg(F.sum("n_ids").alias("added")).select(
-            *keys, none.cast("array<int>").alias("carry"), none.cast("bigint").alias("next_batch"), "added"
-        )
-        status = state.withColumn("added", none.cast("bigint")).unionByName(added).groupBy(*keys).agg(
-            F.coalesce(F.first("carry", True), F.array().cast("array<int>")).alias("carry"),
-            F.coalesce(F.first("next_batch", True), F.lit(0).cast("bigint")).alias("next_batch"),
-            F.coalesce(F.sum("added"), F.lit(0)).alias("added"),
-        ).withColumn("total", F.size("carry") + F.col("added"))
-        status.write.mode("overwrite").parquet(f"{checkpoint}/status/epoch={epoch}")
-        status = spark.read.schema(status.schema).parquet(f"{checkpoint}/status/epoch={epoch}")
-
-        columns = [*keys, "next_batch", "off", "total", "ids"]
-        fresh = token_offsets(docs, keys).drop("total").join(status, keys)
-        fresh = fresh.withColumn("off", F.col("off") + F.size("carry")).select(*columns)
-        carried = status.select(*keys, "next_batch", F.lit(0).cast("bigint").alias("off"), "total", F.col("carry").alias("ids"))
-        rows = pack_rows(fresh.unionByName(carried), shape, [*keys, "next_batch"], tail=True).persist()
-
-        packed = batch_rows(rows.filter(F.col("r") != TAIL), shape, [*keys, "next_batch"])
-        packed = packed.withColumn("batch", F.col("batch") + F.col("next_batch")).drop("next_batch")
-        packed.write.mode("overwrite").parquet(f"{batches}/epoch={epoch}")
-
-        tails = rows.filter(F.col("r") == TAIL).select(*keys, F.col("tokens").alias("tail"))
-        status.join(tails, keys, "left").select(
-            *keys,
-            F.coalesce("tail", F.array().cast("array<int>")).alias("carry"),
-            (F.col("next_batch") + shape.full_batches(F.col("total"))).alias("next_batch"),
-        ).write.mode("overwrite").parquet(f"{states}/epoch={epoch}")
-        rows.unpersist()
-        docs.unpersist()
-
-    return (
-        stream.writeStream.foreachBatch(pack)
-        .option("checkpointLocation", f"{checkpoint}/source")
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Pack a stream into training batches under ``path``, exactly once: see ``stream_batches``."""
+    return append_parquet(stream_batches(stream, batch_size, seq_len, by, overlap), path, checkpoint)
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     """All batches a ``stream_pack`` has written."""
-    return spark.read.parquet(path).drop("epoch")
+    return spark.read.parquet(path)
 
 
 def stream_bpb(scores: DataFrame, token_bytes: DataFrame, by: Sequence[str]) -> DataFrame:

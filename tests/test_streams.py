@@ -1,3 +1,4 @@
+import datetime
 import random
 import time
 
@@ -87,3 +88,42 @@ def test_chat_context(spark, tmp_path):
     assert contexts[(1, 0)] == [0, 1, *ids("hi"), 2, 3, *ids("yo"), 4]
     assert contexts[(1, 1)] == [0, 1, *ids("new"), 2, 3, *ids("ok"), 4]
     assert contexts[(2, 0)] == [0, 1, *ids("a"), 2, 3, *ids("b"), 4, 1, *ids("exit now"), 2, 3]
+
+
+def chat_places(spark, tmp_path, rows, schema, sizes, **options):
+    path = str(tmp_path / "in")
+    drop_files(spark, rows, schema, path, sizes)
+    keep = [c for c in ("at",) if "at " in schema]
+    events = chat.chat_events(streams.corpus_stream(spark, path, schema, max_files=1), keep=keep)
+    places = chat.stream_chat_context(events, **options)
+    streams.append_parquet(places, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    return sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+
+def test_chat_turns_over_micro_batches_in_any_order(spark, tmp_path):
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    rows = [
+        (c, t, role, text) for c in range(4) for t, (role, text) in enumerate([
+            ("system", "s"), ("user", "one"), ("assistant", "two"), ("user", " "), ("user", "clear"), ("user", "three" * c),
+            ("assistant", "four"), ("user", "quit"), ("user", "late"),
+        ])
+    ]
+    in_order = chat_places(spark, tmp_path / "a", rows, schema, [36])
+    random.Random(3).shuffle(rows)
+    again = [rows[0], rows[9], (1, None, "user", "no turn")]  # two repeated, one without turn
+    assert chat_places(spark, tmp_path / "b", rows + again, schema, [7, 11, 1, 17, 3]) == in_order
+    assert {p[:2] for p in in_order if p[0] == 1} == {(1, 1), (1, 2), (1, 5), (1, 6)}
+
+
+def test_idle_chats_expire(spark, tmp_path):
+    schema = "conv_id bigint, turn bigint, role string, text string, at timestamp"
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    rows = [
+        (1, 0, "user", "a", at(0)), (1, 2, "user", "bc", at(1)),  # turn 1 never comes
+        (2, 0, "user", "quit", at(1)),
+        (3, 0, "user", "x", at(30)), (4, 0, "user", "x", at(50)),
+    ]
+    got = chat_places(spark, tmp_path, rows, schema, [2, 1, 1, 1], at="at", idle="5 minutes", late="0 seconds")
+    assert got == [(1, 0, 0, 1), (1, 2, 0, 5), (3, 0, 0, 1), (4, 0, 0, 1)]
+    held = spark.read.format("statestore").option("stateVarName", "place").load(str(tmp_path / "state"))
+    assert {r["key"]["conv_id"] for r in held.select("key").collect()} == {4}  # conversations 1, 2 and 3 are gone
