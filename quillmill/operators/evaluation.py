@@ -102,17 +102,26 @@ def span_targets(items: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def join_prediction_target(preds: DataFrame, tokens: DataFrame, spans: DataFrame, key: str = "seq_id") -> DataFrame:
-    """Predictions ``(key, pos, pred_id)`` against the next tokens ``(key, pos,
-    token_id)`` inside each sequence's ``[start_at - 1, end_at - 1)``."""
-    shifted = tokens.select(key, (F.col("pos") - 1).alias("pos"), F.col("token_id").alias("target_id"))
-    inside = (F.col("pos") >= F.col("start_at") - 1) & (F.col("pos") < F.col("end_at") - 1)
-    return (
-        preds.join(spans.select(key, "start_at", "end_at"), key)
-        .filter(inside)
-        .join(shifted, [key, "pos"])
-        .select(key, "pos", "pred_id", "target_id", (F.col("pred_id") == F.col("target_id")).alias("hit"))
+def join_prediction_target(
+    rows: DataFrame, preds: str = "pred_ids", ids: str = "ids", start: str = "start_at", end: str = "end_at"
+) -> DataFrame:
+    """Add ``steps``, an array of ``(pos, pred_id, target_id, hit)``: the predictions made at ``[start - 1, end - 1)``
+    against the tokens after them. ``preds`` holds one prediction for each token of ``ids``, or for all but the last.
+    Predictions and tokens of a sequence stay in its row, so nothing is exploded or shuffled. An empty span or a null
+    gives an empty array."""
+    first = F.greatest(F.col(start), F.lit(1))  # 1-based place of the first prediction
+    stop = F.least(F.col(end), F.size(ids), F.size(preds) + 1)
+    count = F.greatest(stop - first, F.lit(0))
+    none = F.array().cast("array<struct<pos:int,pred_id:int,target_id:int,hit:boolean>>")
+    pairs = F.zip_with(
+        F.slice(preds, first, count), F.slice(ids, first + 1, count),
+        lambda p, t: F.struct(p.alias("pred_id"), t.alias("target_id")),
     )
+    steps = F.transform(pairs, lambda x, i: F.struct(
+        (i + first - 1).cast("int").alias("pos"), x["pred_id"].cast("int").alias("pred_id"),
+        x["target_id"].cast("int").alias("target_id"), (x["pred_id"] == x["target_id"]).alias("hit"),
+    ))
+    return rows.withColumn("steps", F.coalesce(steps, none))
 
 
 def _sum_of(values: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
@@ -177,15 +178,14 @@ def score_query(spark, sf_dir):
     table = [r["nats"] for r in scoring.unigram_scorer(train, V).orderBy("target_id").collect()]
 
     def make_scorer():
-        def score(ids):
-            for pos in range(len(ids) - 1):
-                target = int(ids[pos + 1])
-                yield pos, target, table[target], 0
-        return score
+        nats = np.array(table)
+        return lambda ids, lengths: (nats[ids[:, 1:]], np.zeros_like(ids[:, 1:]))
 
     docs = fixtures.with_ids(train_val_split(fixtures.corpus(spark, sf_dir), "val"))
-    return scoring.score_with(docs, make_scorer, key="row").groupBy(F.col("row").alias("doc_id")).agg(
-        F.count(F.lit(1)).alias("n_scored"), F.round(F.sum("nats"), 4).alias("nats")
+    scored = scoring.score_with(docs, make_scorer, key="row").filter(F.size("nats") > 0)
+    return scored.select(
+        F.col("row").alias("doc_id"), F.size("nats").cast("bigint").alias("n_scored"),
+        F.round(F.aggregate("nats", F.lit(0.0), lambda a, x: a + x), 4).alias("nats"),
     )
 
 
@@ -211,7 +211,7 @@ def candidates_query(spark, sf_dir):
 
 @query(f"WITH {sql.ITEMS}\nSELECT task, idx, draw, other_idx FROM shot_draws", name="fewshot_sample")
 def sample_query(spark, sf_dir):
-    return sampling.fewshot_sample(fixtures.eval_items(spark, sf_dir), fixtures.n_shots())
+    return sampling.fewshot_sample(fixtures.eval_items(spark, sf_dir), F.col("num_fewshot"))
 
 
 @query(f"""
@@ -221,7 +221,7 @@ FROM items i LEFT JOIN shots s ON s.task = i.task AND s.idx = i.idx GROUP BY i.t
 """, name="fewshot_gather")
 def gather_query(spark, sf_dir):
     items = fixtures.eval_items(spark, sf_dir)
-    drawn = sampling.fewshot_sample(items, fixtures.n_shots())
+    drawn = sampling.fewshot_sample(items, F.col("num_fewshot"))
     shots = sampling.fewshot_gather(items, drawn, ["item_id"])
     return shots.select("task", "idx", joined(F.transform("shots", lambda s: s["item_id"])).alias("shot_items"))
 
@@ -380,12 +380,14 @@ hits AS (
 SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (WHERE hit) AS n_hits FROM hits GROUP BY doc_id
 """, name="join_prediction_target")
 def prediction_query(spark, sf_dir):
-    docs = fixtures.corpus(spark, sf_dir).select(F.col("row").alias("seq_id"), bpe_encode(F.col("text")).alias("ids"))
-    tokens = docs.select("seq_id", F.posexplode("ids").alias("pos", "token_id"))
-    copies = tokens.withColumnRenamed("token_id", "pred_id")  # predicts that every token repeats
-    spans = docs.select("seq_id", F.lit(10).alias("start_at"), F.size("ids").alias("end_at"))
-    return ev.join_prediction_target(copies, tokens, spans).groupBy(F.col("seq_id").alias("doc_id")).agg(
-        F.count(F.lit(1)).alias("n_tokens"), F.count_if("hit").alias("n_hits")
+    # predicts that every token repeats
+    rows = fixtures.corpus(spark, sf_dir).select(
+        F.col("row").alias("doc_id"), bpe_encode(F.col("text")).alias("ids")
+    ).withColumns({"pred_ids": F.col("ids"), "start_at": F.lit(10), "end_at": F.size("ids")})
+    compared = ev.join_prediction_target(rows).filter(F.size("steps") > 0)
+    return compared.select(
+        "doc_id", F.size("steps").cast("bigint").alias("n_tokens"),
+        F.size(F.filter("steps", lambda s: s["hit"])).cast("bigint").alias("n_hits"),
     )
 
 
@@ -454,23 +456,12 @@ def items_query(spark, sf_dir):
     )
 
 
-@query("""
-SELECT DISTINCT 'task' || (item_id % 4) AS task, CASE WHEN item_id % 2 = 0 THEN 'multiple_choice' ELSE 'schema' END AS task_type,
-       'items/' || (item_id % 4) AS dataset_uri, 2 AS num_fewshot, CASE WHEN item_id % 2 = 0 THEN ' ' ELSE chr(10) END AS delimiter
-FROM benchmark
+@query(f"""
+WITH {sql.TASKS}
+SELECT task, task_type, 'items/' || task AS dataset_uri, num_fewshot, delimiter FROM tasks
 """, name="task_table")
 def task_query(spark, sf_dir):
-    number = F.col("item_id") % 4
-    tasks = fixtures.table(spark, sf_dir, "benchmark").select(number.alias("n")).distinct().select(
-        F.concat(F.lit("task"), F.col("n").cast("string")).alias("label"),
-        F.when(F.col("n") % 2 == 0, ev.MC).otherwise(ev.SCHEMA).alias("icl_task_type"),
-        F.concat(F.lit("items/"), F.col("n").cast("string")).alias("dataset_uri"),
-        F.array(F.lit(2), F.lit(5)).alias("num_fewshot"),
-        F.when(F.col("n") % 2 == 1, "\n").alias("continuation_delimiter"),
-    )
-    path = scratch_path(spark, "tasks")
-    tasks.write.json(path)
-    return item_files.task_table(spark, path)
+    return fixtures.tasks(spark, sf_dir)
 
 
 @query("""

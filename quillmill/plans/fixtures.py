@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codec import bpe_encode
@@ -12,15 +12,17 @@ from ..operators.corpus import with_rank, with_row_group
 from ..operators.evaluation import LM, MC, SCHEMA, SHOT_FIELDS
 from ..operators.prefix import dense_index
 from ..operators.sampling import fewshot_gather, fewshot_sample, seeded_shuffle
-from ..session import materialize
+from ..session import materialize, scratch_path
 from ..sources.corpus import corpus_from_table
+from ..sources.items import task_table
 
 ROWS_PER_GROUP = 8
 WORLD = 3
 CHOICE_SEED = 99
 N_CHOICES = 4
-SHOTS = {"task0": 2, "task1": 0, "task2": 3, "task3": 1}  # examples before the items of each task
-N_TASKS = 4
+# The task file: type, number of examples before an item, delimiter (none: the default).
+TASKS = {"task0": (MC, 2, None), "task1": (MC, 0, "\n"), "task2": (SCHEMA, 3, None), "task3": (LM, 1, "\n\n")}
+N_TASKS = len(TASKS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,13 +59,28 @@ def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The task table of a task file that names the tasks which have items."""
+    number = F.col("item_id") % N_TASKS
+    present = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("task"), number.cast("string")).alias("label")).distinct()
+    config = spark.createDataFrame(
+        [(label, *values) for label, values in TASKS.items()],
+        "label string, icl_task_type string, shots int, continuation_delimiter string",
+    )
+    path = scratch_path(spark, "tasks")
+    present.join(F.broadcast(config), "label").select(
+        "label", "icl_task_type", F.concat(F.lit("items/"), "label").alias("dataset_uri"),
+        F.array("shots").alias("num_fewshot"), "continuation_delimiter",
+    ).write.json(path)
+    return task_table(spark, path)
+
+
 def eval_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items with ``idx``: tasks 0 and 1 are multiple choice, 2 schema, 3 language
-    modelling. Wrong options come from other items of the task."""
+    """Items with ``idx`` and what the task table says about their task: its type, ``num_fewshot`` and
+    ``delimiter``. Wrong options come from other items of the task."""
     shuffled = seeded_shuffle(halves(spark, sf_dir))
     drawn = fewshot_sample(shuffled, N_CHOICES - 1, seed=CHOICE_SEED)
     mixed = fewshot_gather(shuffled, drawn, ["head", "tail"], out="wrong")
-    kind = F.when(F.col("task").isin("task0", "task1"), MC).when(F.col("task") == "task2", SCHEMA).otherwise(LM)
     gold = F.pmod(hash32(7, F.col("item_id")), F.lit(N_CHOICES)).cast("int")
 
     def placed(field: str):
@@ -73,10 +90,11 @@ def eval_items(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.slice(others, F.col("gold") + 1, F.lit(N_CHOICES)),
         )
 
-    typed = mixed.withColumns({"task_type": kind, "gold": gold, "delimiter": F.lit(" ")})
+    config = tasks(spark, sf_dir).drop("dataset_uri")
+    typed = mixed.join(F.broadcast(config), "task").withColumn("gold", gold)  # one row per task
     is_lm = F.col("task_type") == LM
     items = typed.select(
-        "task", "idx", "item_id", "task_type", "delimiter",
+        "task", "idx", "item_id", "task_type", "num_fewshot", "delimiter",
         F.when(F.col("task_type") == MC, F.col("head")).alias("query"),
         F.when(F.col("task_type") == MC, placed("tail")).alias("choices"),
         F.when(~is_lm, F.col("gold")).alias("gold"),
@@ -87,12 +105,8 @@ def eval_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(items, "items")  # a bundle is prepared once and then read by all tasks
 
 
-def n_shots() -> Column:
-    return F.element_at(F.create_map(*[F.lit(v) for pair in SHOTS.items() for v in pair]), F.col("task"))
-
-
 def with_shots(items: DataFrame) -> DataFrame:
-    return fewshot_gather(items, fewshot_sample(items, n_shots()), SHOT_FIELDS)
+    return fewshot_gather(items, fewshot_sample(items, F.col("num_fewshot")), SHOT_FIELDS)
 
 
 def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .fixtures import SHOTS
+from ..constants import DEFAULT_DELIMITER
+from .fixtures import TASKS as TASK_FILE
 
 # The form of SPLIT_PATTERN that DuckDB can run: RE2 has neither possessive quantifiers nor lookahead. This form splits the given
 # tables alike; it is not equivalent in general.
@@ -77,11 +78,22 @@ def draws(k: int, seed: int, source: str) -> str:
 def task_draws(seed: int) -> str:
     """Draws of as many others as each task has examples."""
     return " UNION ALL ".join(
-        f"SELECT * FROM ({draws(k, seed, f'(SELECT * FROM items WHERE task = {chr(39)}{task}{chr(39)})')})" for task, k in SHOTS.items() if k
+        f"SELECT * FROM ({draws(k, seed, f'(SELECT * FROM items WHERE task = {chr(39)}{task}{chr(39)})')})" for task, (_, k, _) in TASK_FILE.items() if k
     )
 
 
-ITEMS = f"""
+def _text(value: str) -> str:
+    return " || ".join("chr(10)" if c == "\n" else f"'{c}'" for c in value)
+
+
+TASKS = f"""
+tasks AS (
+  SELECT * FROM (VALUES {", ".join(f"('{t}', '{kind}', {k}, {_text(d or DEFAULT_DELIMITER)})" for t, (kind, k, d) in TASK_FILE.items())})
+    AS t(task, task_type, num_fewshot, delimiter)
+  WHERE task IN (SELECT 'task' || (item_id % 4) FROM benchmark)
+)"""
+
+ITEMS = TASKS + f""",
 words AS (SELECT item_id, 'task' || (item_id % 4) AS task, string_split(text, ' ') AS w FROM benchmark),
 halves AS (
   SELECT item_id, task, array_to_string(w[1:len(w) // 2], ' ') AS head,
@@ -101,18 +113,17 @@ placed AS (
 ),
 items AS (
   SELECT task, idx, item_id, head, tail, g,
-         CASE WHEN task IN ('task0', 'task1') THEN 'multiple_choice' WHEN task = 'task2' THEN 'schema'
-              ELSE 'language_modeling' END AS task_type,
+         task_type, delimiter AS delim,
          tails[1:g] || [tail] || tails[g + 1:] AS choices,
          heads[1:g] || [head] || heads[g + 1:] AS options
-  FROM placed
+  FROM placed JOIN tasks USING (task)
 ),
 shot_draws AS ({task_draws(1234)}),
 shots AS (
   SELECT d.task, d.idx, d.draw, o.item_id,
-         CASE o.task_type WHEN 'multiple_choice' THEN o.head || ' ' || o.choices[o.g + 1]
-              WHEN 'schema' THEN o.options[o.g + 1] || ' ' || o.tail
-              ELSE trim(o.head) || ' ' || o.tail END || chr(10) || chr(10) AS solved
+         CASE o.task_type WHEN 'multiple_choice' THEN o.head || o.delim || o.choices[o.g + 1]
+              WHEN 'schema' THEN o.options[o.g + 1] || o.delim || o.tail
+              ELSE trim(o.head) || o.delim || o.tail END || chr(10) || chr(10) AS solved
   FROM shot_draws d JOIN items o ON o.task = d.task AND o.idx = d.other_idx
 ),
 heads AS (
@@ -121,9 +132,9 @@ heads AS (
 ),
 prompts AS (
   SELECT i.*, lead,
-    CASE task_type WHEN 'multiple_choice' THEN list_transform(choices, lambda c: lead || head || ' ' || c)
-      WHEN 'schema' THEN list_transform(options, lambda o: lead || o || ' ' || tail)
-      ELSE [regexp_replace(lead || head || ' ', '^\\s+|\\s+$', '', 'g'), lead || head || ' ' || tail] END AS prompts
+    CASE task_type WHEN 'multiple_choice' THEN list_transform(choices, lambda c: lead || head || delim || c)
+      WHEN 'schema' THEN list_transform(options, lambda o: lead || o || delim || tail)
+      ELSE [regexp_replace(lead || head || delim, '^\\s+|\\s+$', '', 'g'), lead || head || delim || tail] END AS prompts
   FROM items i JOIN heads USING (task, idx)
 )"""
 

@@ -1,6 +1,7 @@
 import math
 import random
 import time
+from collections import Counter
 
 import pytest
 from pyspark.errors import PySparkException
@@ -198,14 +199,56 @@ def test_bigram_scores(spark):
     assert heads.filter("prev_id = 2").first().pred_id == 0
 
 
-def test_score_with_any_model(spark):
-    df = spark.createDataFrame([(1, [5, 6, 7]), (2, [5])], "seq_id bigint, ids array<int>")
+@pytest.mark.parametrize("heavy_share", [0.0, 0.02, 2.0])
+def test_heavy_pairs_do_not_change_scores(spark, heavy_share):
+    rng = random.Random(4)
+    draw = lambda: min(int(rng.paretovariate(0.5)), 32_000)
+    pairs = spark.createDataFrame([(draw(), draw()) for _ in range(3000)], "token_id int, target_id int")
+    counts, heads = scoring.bigram_scorer(pairs)
+    targets = spark.createDataFrame([(i, draw(), draw()) for i in range(3000)], "i int, prev_id int, target_id int")
+    got = scoring.ngram_scores(targets, counts, heads, 32_768, heavy_share).select("i", "nats", "pred_id").orderBy("i").collect()
+    n, total, best = Counter(map(tuple, pairs.collect())), Counter(), {}
+    for (prev, target), k in n.items():
+        total[prev] += k
+        best[prev] = max(best.get(prev, (0, 0)), (k, -target))
+    for row, (i, prev, target) in zip(got, targets.collect(), strict=True):
+        assert row.nats == pytest.approx(-math.log((n[prev, target] + 1) / (total[prev] + 32_768)))
+        assert row.pred_id == -best.get(prev, (0, 0))[1]
+
+
+@pytest.mark.parametrize("max_tokens", [1, 8, 1000])
+def test_score_with_any_model(spark, max_tokens):
+    rng = random.Random(2)
+    seqs = [(1, [5, 6, 7]), (2, [5]), (3, None), (4, []), (5, [9] * 40)]
+    seqs += [(i, [rng.randrange(50) for _ in range(rng.randrange(9))]) for i in range(6, 60)]
+    df = spark.createDataFrame(seqs, "seq_id bigint, ids array<int>").coalesce(2)
 
     def make():
-        return lambda ids: ((i, int(ids[i + 1]), float(ids[i]), 0) for i in range(len(ids) - 1))
+        def score(ids, lengths):
+            assert ids.shape[0] == len(lengths) and ids.shape[1] == lengths.max() > 1
+            assert ids.size <= max_tokens or len(lengths) == 1
+            assert all((row[n:] == 99).all() for row, n in zip(ids, lengths))
+            return ids[:, :-1] / 2, ids[:, :-1] + 1
+        return score
+
+    scored = scoring.score_with(df, make, "seq_id", max_tokens=max_tokens, pad_id=99)
+    got = {r.seq_id: (r.target_ids, r.nats, r.pred_ids) for r in scored.collect()}
+    assert got == {k: ((s or [])[1:], [x / 2 for x in (s or [])[:-1]], [x + 1 for x in (s or [])[:-1]]) for k, s in seqs}
+    rows = scoring.score_rows(scored, "seq_id").filter("seq_id = 1").orderBy("pos").collect()
+    assert [tuple(r) for r in rows] == [(1, 0, 6, 2.5, 6), (1, 1, 7, 3.0, 7)]
 
-    rows = [tuple(r) for r in scoring.score_with(df, make, "seq_id").orderBy("pos").collect()]
-    assert rows == [(1, 0, 6, 5.0, 0), (1, 1, 7, 6.0, 0)]
+
+def test_predictions_against_targets_in_a_row(spark):
+    rows = [
+        (1, [7, 8, 9, 4], [8, 9, 0, 1], 2, 4), (2, [7, 8, 9, 4], [8, 0, 4], 1, 4), (3, [7, 8], [8, 8], 2, 2),
+        (4, [7, 8, 9], [8, 9, 1], 0, 9), (5, None, [1], 1, 1), (6, [1], None, None, None), (7, [], [], 1, 5),
+    ]
+    df = spark.createDataFrame(rows, "k int, ids array<int>, pred_ids array<int>, start_at int, end_at int")
+    got = {r.k: [tuple(s) for s in r.steps] for r in ev.join_prediction_target(df).collect()}
+    assert got == {
+        1: [(1, 9, 9, True), (2, 0, 4, False)], 2: [(0, 8, 8, True), (1, 0, 9, False), (2, 4, 4, True)], 3: [],
+        4: [(0, 8, 8, True), (1, 9, 9, True)], 5: [], 6: [], 7: [],
+    }
 
 
 def test_logits(spark):
