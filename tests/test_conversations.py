@@ -1,7 +1,10 @@
+import time
+import warnings
+
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.functions.calculator import calculate
+from quillmill.functions.calculator import calculate, evaluate
 from quillmill.functions.codec import bpe_encode
 from quillmill.functions.vocabulary import BYTE_TO_ID
 from quillmill.operators import conversations as conv
@@ -96,13 +99,65 @@ def test_cut(spark):
 @pytest.mark.parametrize("expr, want", [
     ("1,000+2", "1002"), ("2**9", None), ("'strawberry'.count('r')", "3"), ("__import__('os')", None), ("1/0", None),
     ("7/2", "3.5"), ("7//2", "3"), ("-(2 - 5)", "3"), (" 1+1", "2"), ("1 +", None), ("", None), ("'a'.upper()", None),
-    ("\"Aa\".lower().count('a')", "2"), ("eval('1').count('1')", None), ("'x'.count('y').real", None), ("007", None),
+    ("\"Aa\".lower().count('a')", "2"), ("eval('1').count('1')", None), ("'x'.count('y').real", "0"), ("007", None),
     ("1(2)", None), ("'a' * 3", None), ("x.count('a')", None), (None, None),
 ])
 def test_calculator(spark, expr, want):
     assert spark.createDataFrame([(expr,)], "e string").select(calculate(F.col("e"))).first()[0] == want
 
 
+FORMS = [
+    "()", "...", "1.5*4", "1 - - 2", "7//0", "9" * 40 + "*" + "9" * 40, "+".join(["1"] * 900), "- + -3", "1..", "(1.5).5", "*()",
+    "'a b a'.split().count('a')", "'a' 'b'.count('b')", "b'aab'.count(b'a')", "r'ab'.count('b')", "f'ab'.count('b')",
+    "'banana'.upper().count('A')", "'abc'.count('b') and 'yes'", "'abc'.count('z') or 'no'", "not 'abc'.count('z')",
+    "'a' in 'abc' and 'abc'.count('a') in (1).to_bytes()", "'x' not in 'abc'.count('a').hex()", "'abc'.count('a') is 1",
+    "'one' if 'abc'.count('a') else 'none'", "None if 'a'.count('a') else 1", "'abc'.count('a') and None",
+    "'a'.join(c for c in 'xyz').count('a')", "'a'.join(c for c in 'xyz' if c not in 'y' for d in 'pq').count('a')",
+    "''.join(c.upper() for c in 'abc' if 'abab'.count(c))", "'a'.join('bcd').count('a')", "'7'.zfill(12).count('0')",
+    "'a'.center(9).count(' ')", "'abc'.partition('b').count('b')", "().count(1)", "(5).bit_length() if 'a'.count('a') else 0",
+    "'a'.count('a').numerator", "'a'.count('a').missing", "'a'.count()", "'a'.count(1)", "name.count('a')", "'a'.index('z').count('a')",
+    "'aXb'.swapcase().find('x') if 'a'.count('a') else 0", "'a'.count('a').real.imag", "1.5.hex().count('8')", "0x1F if 'a'.count('a') else 0",
+    "'abc'.encode().count(b'a')", "'a b'.title().count('A')", "(x for x in 'abc').count('a')", "'a'.join(1 for c in 'ab').count('1')",
+    "lambda.count('a')", "'a'.count('a'", "'abc'.isalpha() and 'abc'.count('c')", "True if 'b'.count('a') else False", "1j if 'a'.count('a') else 0",
+]
+
+
+def test_calculator_equals_the_language(spark):
+    """Every form that the character rules leave has the value that the language gives it."""
+
+    def want(expr):
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                found = eval(expr, {"__builtins__": {}}, {})  # noqa: S307 - the fixed list above
+            return None if found is None else str(found)
+        except Exception:
+            return None
+
+    rows = spark.createDataFrame([(e,) for e in FORMS], "e string").select("e", calculate(F.col("e")).alias("r")).collect()
+    assert {r.e: r.r for r in rows} == {e: want(e) for e in FORMS}
+
+
+LOOPS = " ".join(f"for {v} in 'abcdefghij'" for v in "abcdefghijkl")  # a million million turns
+
+
+@pytest.mark.parametrize("expr", [
+    f"''.join('' {LOOPS}).count('a')", f"'a' in ('b' {LOOPS}) and 'a'.count('a')", "'a'.center(99999999999).count(' ')",
+    "(5).to_bytes(9999999999).count(b'a')", "'b'.ljust(900000).join('c'.ljust(900000)).count('b')", "'a'.count", "('a'.count(c) for c in 'ab')",
+    "b''.fromhex('7b307d').decode().format('a'.count('a'))", "'a b'.split().append('a').count('a')", "'a'.encode('idna').count(b'a')",
+    "x.count('a') if 'a'.count('a') else 1", "(" * 500 + "1" + ")" * 500,
+])
+def test_calculator_ends(spark, expr):
+    began = time.monotonic()
+    assert spark.createDataFrame([(expr,)], "e string").select(calculate(F.col("e"))).first()[0] is None
+    assert time.monotonic() - began < 30
+
+
+def test_calculator_budget_is_a_parameter():
+    assert [evaluate("'ab'.join('xyz').count('a')", steps) for steps in (3, 100)] == [None, "2"]
+    assert [evaluate("'a'.zfill(50).count('0')", 100, size) for size in (49, 50)] == [None, "49"]
+
+
 def test_tool_results(spark):
     text = spark.createDataFrame([(1, "2*21"), (2, "oops")], "seq_id int, t string")
     calls = text.select("seq_id", F.concat(F.array(F.lit(5)), bpe_encode(F.col("t")), F.array(F.lit(6))).alias("ids"))
