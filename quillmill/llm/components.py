@@ -3,7 +3,8 @@
 Every round points each node's larger neighbours at the smallest node next to it, then does the
 same among the smaller ones. A node with very many links is aggregated before it is shuffled
 and joined by a join that adaptive execution can split. Each round is written to the shared
-folder, so lineage stays short and a lost executor costs only its own tasks.
+folder, so lineage stays short and a lost executor costs only its own tasks; the table of the round
+before is deleted then.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize_at, scratch_path
 
 
 def _starred(edges: DataFrame, upward: bool) -> DataFrame:
@@ -33,10 +34,12 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     ``links`` has two columns of long ids; order, repeats and self-links do not matter."""
     a, b = links.columns[:2]
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
-    edges = materialize(edges, "links")
-    seen = None
+    spark, path = links.sparkSession, scratch_path(links.sparkSession, "links")
+    edges, seen = materialize_at(edges, path), None
     for _ in range(most_rounds):
-        edges = materialize(_starred(_starred(edges, True).distinct(), False).distinct(), "stars")
+        before, path = path, scratch_path(spark, "stars")
+        edges = materialize_at(_starred(_starred(edges, True).distinct(), False).distinct(), path)
+        discard(spark, before)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -12,7 +12,8 @@ as wide as the window that a pair at the threshold leaves with probability ``MIS
 lie in the same or the next cell. Cells are cut at random into blocks of ``BLOCK`` vectors, and
 every pair of blocks that may hold partners is a task, so no label, however frequent, has to fit
 into one. Equal vectors of a label are one class with a count: a group of copies is one vector
-here, and its links are counted without being listed.
+here, and its links are counted without being listed. Links do not become rows either: a task gives a
+row for each vector that has links in it, with their number and a vector that all linked to it share.
 
 Defined cases: a vector that is null, empty, zero, or has a null or non-finite part, or whose
 label is null, links with nothing; a null id never becomes a component; rows of equal ids are
@@ -97,6 +98,19 @@ def candidates(left: np.ndarray, right: np.ndarray, half: float, least: int) ->
     return hit // len(right), hit % len(right)
 
 
+def roots_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` places the least one that the links (a, b) connect it with."""
+    root = np.arange(n)
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        np.minimum.at(root, high, low)
+        while (root != root[root]).any():
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return root
+
+
 def _linked(key, table: pa.Table, cosine: float) -> pa.Table:
     nodes, side = table.column("node").to_numpy(), table.column("side").to_numpy()
     dim = table.column("dim")[0].as_py()
@@ -116,11 +130,14 @@ def _linked(key, table: pa.Table, cosine: float) -> pa.Table:
     keep = sure / (norms[a] * norms[b]) >= cosine
     copies = table.column("copies").to_numpy()
     a, b = a[keep], b[keep]
-    return pa.table({"a": nodes[a], "b": nodes[b], "copies_a": copies[a], "copies_b": copies[b]})
+    partners = np.bincount(a, copies[b], len(nodes)) + np.bincount(b, copies[a], len(nodes))  # exact below 2^53
+    linked = np.flatnonzero(partners)
+    return pa.table({"node": nodes[linked], "root": nodes[roots_of(a, b, len(nodes))[linked]], "partners": partners[linked].astype(np.int64)})
 
 
 def links_of(classes: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
-    """(a, b, copies_a, copies_b): linked classes, each pair once."""
+    """(node, root, partners): a row for each class that has links in a pair of blocks, with the vectors
+    linked there; roots connect the classes as their links do."""
     width = float(FIRST_WINDOW * np.sqrt(2 - 2 * cosine))
     celled = classes.withColumn("cell", F.floor(F.col("first") / width).cast("int"))
     sizes = celled.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
@@ -149,7 +166,7 @@ def links_of(classes: DataFrame, cosine: float = COSINE, block: int = BLOCK) ->
         "label", "dim", "node", "copies", "vector", "t.*"
     )
     grouped = dealt.groupBy("label", "dim", "kind", "at", "low", "high")
-    return grouped.applyInArrow(lambda key, table: _linked(key, table, cosine), "a long, b long, copies_a long, copies_b long")
+    return grouped.applyInArrow(lambda key, table: _linked(key, table, cosine), "node long, root long, partners long")
 
 
 def near_duplicates(
@@ -165,9 +182,8 @@ def near_duplicates(
     )
     links = materialize(links_of(classes, cosine), "vector-links")
     # A class is known by its smallest id, which two classes share only where ids repeat.
-    counts = links.select(F.col("a").alias("node"), F.col("copies_b").alias("n")).unionByName(links.select(F.col("b").alias("node"), F.col("copies_a").alias("n")))
-    counts = counts.groupBy("node").agg(F.sum("n").alias("others"))
-    found = components(links.select("a", "b"))
+    counts = links.groupBy("node").agg(F.sum("partners").alias("others"))
+    found = components(links.select("node", "root"))
     known = classes.join(counts, "node", "left").join(found, "node", "left").select(
         "label", "name", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id")
     )

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize, materialize_at, scratch_path
 from .arrow import giving_back, map_arrow, runs_by_size, texts_of
 from .components import components
 from .shingles import shingle_sets, word_runs
@@ -258,8 +258,9 @@ def verified_links(classes: DataFrame, texts: DataFrame, share: tuple[int, int]
     keys = rows.join(distinct, "key").groupBy("node").agg(F.collect_list(F.struct("key", "parts")).alias("keys"))  # at most one per band
     # Texts of candidates are written once, with all their buckets.
     source = ["doc_id", "text_hash"]
-    candidates = materialize(
-        keys.join(classes.select("node", "signature", "first.*"), "node").join(texts.dropDuplicates(source), source), "candidates"
+    folder = scratch_path(classes.sparkSession, "candidates")
+    candidates = materialize_at(
+        keys.join(classes.select("node", "signature", "first.*"), "node").join(texts.dropDuplicates(source), source), folder
     )
     part = F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")
     dealt = (
@@ -271,7 +272,9 @@ def verified_links(classes: DataFrame, texts: DataFrame, share: tuple[int, int]
         )
     )
     together = dealt.repartition(partitions, "key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return materialize(together.mapInArrow(giving_back(_compared(share, miss)), "a long, b long").distinct(), "links")
+    links = materialize(together.mapInArrow(giving_back(_compared(share, miss)), "a long, b long").distinct(), "links")
+    discard(classes.sparkSession, folder)
+    return links
 
 
 def grouped(

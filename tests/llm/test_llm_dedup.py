@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillmill.llm import embedding_dedup, minhash_dedup, suffix_dedup
 from quillmill.llm.components import components
@@ -136,6 +137,32 @@ def test_vectors(spark):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n, m", [(1, 0), (6, 4), (40, 25), (40, 400), (300, 299)])
+def test_roots_connect_as_links_do(n, m):
+    r = np.random.default_rng(n * m)
+    a, b = r.integers(0, n, m), r.integers(0, n, m)
+    if m == n - 1:  # one long path in a mixed order
+        path = r.permutation(n)
+        a, b = path[:-1], path[1:]
+    want = roots(range(n), list(zip(a.tolist(), b.tolist(), strict=True)))
+    assert embedding_dedup.roots_of(a, b, n).tolist() == [want[k] for k in range(n)]
+
+
+def test_links_of_a_dense_group_are_not_listed(spark):
+    """A group in which all are linked gives a row per vector and pair of blocks, not per pair."""
+    r = np.random.default_rng(5)
+    base = r.standard_normal(64)
+    rows = [(k, (base + 0.01 * r.standard_normal(64)).tolist(), "one") for k in range(300)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    named = embedding_dedup.vectors(table)
+    classes = named.select("label", "dim", F.col("vec_id").alias("node"), F.lit(1).cast("long").alias("copies"), "first", "vector")
+    found = embedding_dedup.links_of(classes, block=100).collect()
+    assert sum(f.partners for f in found) == 300 * 299
+    assert len(found) < 300 * 8
+    got = embedding_dedup.near_duplicates(table).collect()
+    assert {(g.n_links, g.component_id, g.kept) for g in got} == {(299, 0, False), (299, 0, True)}
+
+
 def test_suffix_array():
     r = np.random.default_rng(0)
     for _ in range(150):

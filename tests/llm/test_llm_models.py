@@ -1,6 +1,8 @@
 """The learned classifiers, and the pipeline as a whole."""
 
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -77,6 +79,92 @@ def test_line_classifier(spark):
     assert line_crf.score(edges.limit(0), field).count() == 0
 
 
+def test_document_scores_equal_brute_force(spark):
+    docs, labels = labelled(spark)
+    field = line_crf.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.where("doc_id < 40").collect()} | {900: "", 901: "\n\n", 902: "One.\n\nTWO!! " + "long " * 50}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for row in line_crf.score(table, field).collect():
+        features, lengths, counts = line_crf.text_features([texts[row["doc_id"]]])
+        good = brute_marginals(field, features)[:, 1]
+        share = min(max(sum(g * n for g, n in zip(good, lengths, strict=True)) / sum(lengths), 1e-6), 1 - 1e-6)
+        assert counts.tolist() == [len(features)]
+        assert row["score"] == pytest.approx(1 / (1 + math.exp(-(field.slope * math.log(share / (1 - share)) + field.level))), abs=1e-6)
+
+
+def plain_probability(model, row):
+    z = model["level"] + sum(model["weights"].get(name, 0.0) * value for name, value in row.items())
+    return 1 / (1 + math.exp(-min(max(z, -30), 30)))
+
+
+def plain_linear(rows, marks):
+    """Penalised logistic regression by Adam, a number at a time; rows are dictionaries."""
+    names = sorted({name for row in rows for name in row})
+    share = sum(marks) / len(marks)
+    model = {"weights": dict.fromkeys(names, 0.0), "level": math.log(share / (1 - share))}
+    slow, fast = dict.fromkeys([*names, None], 0.0), dict.fromkeys([*names, None], 0.0)
+    for step in range(1, 151):
+        slope = {name: -2e-4 * model["weights"][name] for name in names} | {None: 0.0}
+        for row, mark in zip(rows, marks, strict=True):
+            error = (mark - plain_probability(model, row)) / len(rows)
+            slope[None] += error
+            for name, value in row.items():
+                slope[name] += error * value
+        for name, g in slope.items():
+            slow[name] += 0.1 * (g - slow[name])
+            fast[name] += 0.01 * (g * g - fast[name])
+            move = 0.05 * (slow[name] / (1 - 0.9**step)) / (math.sqrt(fast[name] / (1 - 0.99**step)) + 1e-9)
+            if name is None:
+                model["level"] += move
+            else:
+                model["weights"][name] += move
+    return model
+
+
+def test_chain_equals_one_written_plainly(spark):
+    """Vocabulary, out-of-fold inputs, both models of the chain and its probabilities."""
+    r = random.Random(3)
+    common = ["alpha", "beta", "gamma", "delta", "zounds", "drat"]
+    texts, marks = {}, {}
+    for k in range(60):
+        words = [r.choice(common) for _ in range(r.randint(1, 5))]
+        texts[k] = " ".join(words) + "!" * r.randint(0, 2)
+        shouted = int(r.random() < (0.8 if "alpha" in words else 0.2))
+        marks[k] = (shouted, int(r.random() < (0.9 if "zounds" in words or shouted else 0.1)))
+    texts[58], texts[59] = "", "ALPHA rare"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, *m) for k, m in marks.items()], "doc_id long, shouted int, toxic int")
+    chain = toxicity_chain.fit(docs, labels, ["shouted", "toxic"])
+
+    held = {w: sum(w in re.findall("[a-z]+", t.lower()) for t in texts.values()) for t in texts.values() for w in re.findall("[a-z]+", t.lower())}
+    known = {w for w, n in held.items() if n >= toxicity_chain.MIN_DOCS}
+    assert set(chain.vocabulary) == known
+
+    def row_of(text):
+        n = max(1, len(text))
+        numbers = {"#length": math.log1p(len(text)) / 10, "#upper": sum(c.isupper() for c in text) / n, "#marks": 10 * text.count("!") / n}
+        return dict.fromkeys(known & set(re.findall("[a-z]+", text.lower())), 1.0) | numbers
+
+    rows = {k: row_of(t) for k, t in texts.items()}
+    fitted = {k: dict(row) for k, row in rows.items()}
+    fold = {k: ((k * 0x9E3779B97F4A7C15 % 2**64) >> 33) % toxicity_chain.FOLDS for k in rows}
+    models = []
+    for at in (0, 1):
+        guesses = {}
+        for f in range(toxicity_chain.FOLDS):
+            inside = [k for k in rows if fold[k] != f]
+            model = plain_linear([fitted[k] for k in inside], [marks[k][at] for k in inside])
+            guesses |= {k: plain_probability(model, fitted[k]) for k in rows if fold[k] == f}
+        models.append(plain_linear(list(fitted.values()), [marks[k][at] for k in rows]))
+        for k in rows:
+            fitted[k][f"#{at}"] = guesses[k]
+    got = {s["doc_id"]: (s["p_shouted"], s["p_toxic"]) for s in toxicity_chain.score(docs, chain).collect()}
+    for k, row in rows.items():
+        first = plain_probability(models[0], row)
+        second = plain_probability(models[1], row | {"#0": first})
+        assert got[k] == pytest.approx((first, second), abs=2e-3)
+
+
 def test_toxicity_chain(spark):
     docs, labels = labelled(spark, 600)
     marks = labels.select("doc_id", (1 - F.col("quality")).alias("shouted"), "toxic")
