@@ -27,7 +27,7 @@ MAX_PAIRS = 1 << 20
 FORECAST = 384
 FIRST_FORECAST = 24
 REWRITE_EVERY = 192
-CHUNK_SYMBOLS = 4_000_000
+CHUNK_SYMBOLS = 1_000_000  # that a task works on at once, whatever it holds
 
 Pair = tuple[int, int]
 Merge = tuple[int, int, int]
@@ -158,8 +158,10 @@ def _chunks(batches: Iterator[pa.RecordBatch], symbols: int = CHUNK_SYMBOLS) ->
         held.append(batch)
         size += len(batch.column(0).flatten())
         if size >= symbols:
-            yield tuple(pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
+            chunk = tuple(pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
             held, size = [], 0
+            del batch
+            yield chunk
     if held:
         yield tuple(pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
 
