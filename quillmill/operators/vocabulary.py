@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ VOCAB_SCHEMA = T.StructType([
 ])
 MERGES_SCHEMA = "rank int, left_id int, right_id int, new_id int"
 TOKEN_BYTES_SCHEMA = "token_id int, n_bytes int"
+CHARS_PER_PASS = 1 << 18  # of texts whose ids a tokenizer gives as Python lists
+
 
 def pretoken_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """How often each pre-token occurs; counts are combined before the shuffle."""
@@ -87,14 +90,22 @@ def vocab_minus_special(vocab: DataFrame) -> DataFrame:
     return vocab.join(F.broadcast(special), "bytes", "left_anti")
 
 
+def by_size(texts: pd.Series) -> Iterator[pd.Series]:
+    """A batch of texts as runs of about ``CHARS_PER_PASS``."""
+    ends = np.cumsum([0 if t is None else len(t) for t in texts])
+    for _, run in texts.groupby(ends // CHARS_PER_PASS):
+        yield run
+
+
 def tokenize_with(df: DataFrame, make_tokenizer: Callable[[], Callable[[str], list[int]]], text: str = "text",
                   out: str = "ids") -> DataFrame:
     """Add ids from any tokenizer. ``make_tokenizer`` runs once per task on the
-    workers; each distinct text of a batch is tokenized once."""
+    workers. A batch is tokenized in runs of rows of about ``CHARS_PER_PASS``, of each run every distinct text once."""
     def tokenize(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         run = make_tokenizer()
-        for texts in batches:
-            known = {t: list(run(t)) for t in texts.dropna().unique()}
-            yield texts.map(known).astype(object).where(texts.notna(), None)
+        for batch in batches:
+            for texts in by_size(batch):
+                known = {t: list(run(t)) for t in texts.dropna().unique()}
+                yield texts.map(known).astype(object).where(texts.notna(), None)
 
     return df.withColumn(out, F.pandas_udf(tokenize, "array<int>").asNondeterministic()(F.col(text)))
