@@ -113,15 +113,15 @@ def join_prediction_target(
     stop = F.least(F.col(end), F.size(ids), F.size(preds) + 1)
     count = F.greatest(stop - first, F.lit(0))
     none = F.array().cast("array<struct<pos:int,pred_id:int,target_id:int,hit:boolean>>")
-    pairs = F.zip_with(
-        F.slice(preds, first, count), F.slice(ids, first + 1, count),
-        lambda p, t: F.struct(p.alias("pred_id"), t.alias("target_id")),
-    )
-    steps = F.transform(pairs, lambda x, i: F.struct(
-        (i + first - 1).cast("int").alias("pos"), x["pred_id"].cast("int").alias("pred_id"),
-        x["target_id"].cast("int").alias("target_id"), (x["pred_id"] == x["target_id"]).alias("hit"),
+    target = lambda i: F.get(F.col(ids), (i + F.col("_first")).cast("int"))
+    steps = F.transform(F.slice(preds, F.col("_first"), F.col("_count")), lambda p, i: F.struct(
+        (i + F.col("_first") - 1).cast("int").alias("pos"), p.cast("int").alias("pred_id"),
+        target(i).cast("int").alias("target_id"), (p == target(i)).alias("hit"),
     ))
-    return rows.withColumn("steps", F.coalesce(steps, none))
+    # Of a sequence without tokens nothing is compared; one pass over the span makes its steps.
+    steps = F.when(F.col(ids).isNotNull(), steps)
+    placed = rows.withColumns({"_first": first, "_count": count})
+    return placed.withColumn("steps", F.coalesce(steps, none)).drop("_first", "_count")
 
 
 def _sum_of(values: Column) -> Column:

@@ -384,7 +384,8 @@ def prediction_query(spark, sf_dir):
     rows = fixtures.corpus(spark, sf_dir).select(
         F.col("row").alias("doc_id"), bpe_encode(F.col("text")).alias("ids")
     ).withColumns({"pred_ids": F.col("ids"), "start_at": F.lit(10), "end_at": F.size("ids")})
-    compared = ev.join_prediction_target(rows).filter(F.size("steps") > 0)
+    # Asked after the comparison, the optimizer would make the steps a second time for the filter.
+    compared = ev.join_prediction_target(rows.filter(F.col("end_at") > F.col("start_at")))
     return compared.select(
         "doc_id", F.size("steps").cast("bigint").alias("n_tokens"),
         F.size(F.filter("steps", lambda s: s["hit"])).cast("bigint").alias("n_hits"),
