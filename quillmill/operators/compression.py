@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.codec import bpe_decode, bpe_encode
 from ..functions.text import utf8_len
 from ..functions.vocabulary import Vocabulary
+from ..session import materialize
 from .corpus import train_val_split
 
 
@@ -53,7 +54,9 @@ def compression_stats(df: DataFrame, vocabs: dict[str, Vocabulary], name: str =
 
 
 def join_tokenizer_results(stats: DataFrame, base: str, ours: str, name: str = "name") -> DataFrame:
-    """Baseline and own figures side by side, one row per text group."""
+    """Baseline and own figures side by side, one row per text group. ``stats`` is stored first, as each side
+    would else encode all texts with all vocabularies."""
+    stats = materialize(stats, "stats")
     side = lambda which, prefix: stats.filter(F.col("tokenizer") == which).select(
         name, F.col("n_tokens").alias(f"{prefix}_tokens"), F.col("ratio").alias(f"{prefix}_ratio")
     )
