@@ -44,6 +44,30 @@ def sort_directly(places: np.ndarray, words: np.ndarray, depth: int) -> np.ndarr
     return order
 
 
+def sort_strings(text: np.ndarray, places: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the strings of ``depth`` bytes from some places on, all inside the text, and where
+    in it another string begins. Takes room for the places, not for the text."""
+    order, opens = np.arange(len(places)), np.zeros(len(places), bool)
+    opens[:1] = True
+    which = np.arange(len(places))
+    for at in range(0, depth, 8):
+        begin = places[order[which]] + at
+        key = np.zeros(len(begin), np.uint64)
+        for k in range(min(8, depth - at)):
+            key |= text[begin + k].astype(np.uint64) << np.uint64(56 - 8 * k)
+        own = np.cumsum(opens)[which]
+        within = np.lexsort((key, own))
+        order[which] = order[which][within]
+        key = key[within]  # the groups are in order already
+        opens[which] = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
+        tied = ~opens
+        tied[:-1] |= tied[1:]
+        which = np.flatnonzero(tied)
+        if not len(which):
+            break
+    return order, opens
+
+
 def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     """Order of all suffixes of a byte array (exact over the first ``depth`` bytes).
 

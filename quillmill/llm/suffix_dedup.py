@@ -12,13 +12,17 @@ smaller id. Texts are compared as UTF-8 bytes and as they came in.
 3. The surroundings of these places go to the task of their anchor. There equal surroundings
    are merged, a suffix array is built over the others by two-stage sorting, and neighbours
    with a common prefix of ``length`` bytes give, for every start, the smallest document that
-   has the string. Starts that a smaller document has too become intervals.
+   has the string. Starts that a smaller document has too become intervals. A suffix array holds
+   the surroundings of whole anchors, about ``STEP_BYTES`` of them. Where one anchor alone has
+   more, the suffixes from one place relative to it are sorted at a time: equal strings pick
+   equal anchors at the same place, so they are still neighbours.
 4. Intervals are joined with the texts they concern and united.
 
 The suffix comparison works on bytes; hashes only decide what meets where, and which whole
 surroundings or texts are equal. Rows of one anchor meet in one task: a passage that very many
 documents hold sends at most three rows of 72 bytes for each document that has it there, and the
-equal inner ones are merged first.
+equal inner ones are merged first. A worker holds an Arrow batch, the surroundings of one bucket
+and the arrays of one step, which take about a hundred bytes for each byte of it.
 
 Defined cases: null and empty texts and texts shorter than ``length`` lose nothing; equal ids
 do not remove from each other; a null id loses nothing and removes nothing; an empty table
@@ -35,23 +39,36 @@ from pyspark.sql import types as T
 
 from ..session import materialize
 from .arrow import giving_back, map_arrow, ranges, runs_by_size
-from .suffix_array import adjacent_common, suffix_array
+from .suffix_array import adjacent_common, sort_strings, suffix_array
 from .words import mixed, span_hashes
 
 LENGTH, ANCHOR, SMALL = 50, 28, 5
 HASH_BYTES = 6  # of an anchor's hash, which is compared inside its bucket only
 BATCH_BYTES = 2_000_000
-FINER = 4  # buckets of surroundings for each partition; one at a time is in memory
+STEP_BYTES = 500_000  # that array operations work on at a time
+STEP_PLACES = 50_000
+HELD_BYTES = 16_000_000  # of surroundings that are sent together
+FINER = 2  # buckets of surroundings for each partition; one at a time is in memory
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def anchors_of(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Places of the anchors of all strings of ``length`` bytes inside the documents."""
+    chosen, ends = np.zeros(len(data), bool), starts + sizes
+    for low in range(0, len(data), STEP_BYTES):  # strings that start in a step; the bytes of the last one go beyond it
+        high = min(low + STEP_BYTES + length - 1, len(data))
+        part = slice(np.searchsorted(ends, low, side="right"), np.searchsorted(starts, high))
+        begins = np.maximum(starts[part], low)
+        _choose(data[low:high], begins - low, np.minimum(ends[part], high) - begins, length, chosen[low:high])
+    return np.flatnonzero(chosen)
+
+
+def _choose(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int, chosen: np.ndarray) -> None:
     places = length - ANCHOR + 1
     n = len(data)
     if n < length:
-        return np.zeros(0, np.int64)
+        return
     x = data.astype(np.uint64)
     part = x[: n - SMALL + 1].copy()
     for k in range(1, SMALL):
@@ -67,18 +84,33 @@ def anchors_of(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length:
     low = np.minimum(low[: len(key) - span + 1], low[span - width :][: len(key) - span + 1])
     first = ranges(starts[sizes >= length], sizes[sizes >= length] - length + 1)
     found = (low[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    chosen = np.zeros(n, bool)
     chosen[first + (found - first) % places] = True
-    return np.flatnonzero(chosen)
+
+
+def hashes_of(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Hashes of short spans in the order of their starts, a step at a time."""
+    out = np.empty(len(low), np.uint64)
+    k = 0
+    while k < len(low):
+        base = low[k]
+        end = int(np.searchsorted(low, base + STEP_BYTES))
+        out[k:end] = span_hashes(_BYTES[data[base : high[k:end].max()]], low[k:end] - base, high[k:end] - base)
+        k = end
+    return out
 
 
 def _batches(column: pa.Array):
-    """(first row, last row, bytes, starts, sizes) of runs of documents."""
-    texts = [b"" if t is None else t.encode() for t in column.to_pylist()]
-    for a, b in runs_by_size([len(t) for t in texts], BATCH_BYTES):
-        sizes = np.array([len(t) for t in texts[a:b]], np.int64)
-        data = np.frombuffer(b"".join(texts[a:b]), np.uint8)
-        yield a, b, data, np.cumsum(sizes) - sizes, sizes
+    """(first row, last row, bytes, starts, sizes) of runs of documents. The bytes are those of
+    the column, which are not copied."""
+    _, edges, held = column.buffers()
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    edges = np.frombuffer(edges, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    if column.null_count and np.diff(edges)[column.is_null().to_numpy(zero_copy_only=False)].any():
+        yield from _batches(column.fill_null(""))
+        return
+    every = np.frombuffer(held, np.uint8) if held is not None else np.zeros(0, np.uint8)
+    for a, b in runs_by_size(np.diff(edges).tolist(), BATCH_BYTES):
+        yield a, b, every[edges[a] : edges[b]], edges[a:b] - edges[a], np.diff(edges[a : b + 1])
 
 
 def _runs(values: np.ndarray) -> np.ndarray:
@@ -96,7 +128,7 @@ def anchor_rows(docs: DataFrame, buckets: int, length: int = LENGTH) -> DataFram
             at = anchors_of(data, starts, sizes, length)
             if not len(at):
                 continue
-            hashes = span_hashes(_BYTES[data], at, at + ANCHOR)
+            hashes = hashes_of(data, at, at + ANCHOR)
             owner = np.searchsorted(starts, at, side="right") - 1
             bucket = (hashes >> np.uint64(40)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
@@ -121,12 +153,16 @@ def anchor_rows(docs: DataFrame, buckets: int, length: int = LENGTH) -> DataFram
 def _by_bucket(batches):
     """Rows of each bucket together; the partition is sorted by bucket."""
     held: list[dict] = []
+    last = None
     for batch in batches:
-        for row in batch.to_pylist():
-            if held and row["bucket"] != held[0]["bucket"]:
+        columns = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+        for i, bucket in enumerate(columns.pop("bucket").to_pylist()):
+            if held and bucket != last:
                 yield held
                 held = []
-            held.append(row)
+            last = bucket
+            held.append({name: column[i].as_buffer() for name, column in columns.items()})  # of the batch, not a copy
+        del batch, columns
     if held:
         yield held
 
@@ -156,79 +192,104 @@ def shared_places(packed: DataFrame, partitions: int) -> DataFrame:
         for rows in _by_bucket(batches):
             hashes, places = _joined(rows, "hashes", "<u8", HASH_BYTES), _joined(rows, "places", "<u4")
             classes = np.repeat(_joined(rows, "classes", "<i8"), _joined(rows, "counts", "<u4"))
-            order = np.argsort(hashes, kind="stable")
-            edges = _runs(hashes[order])
-            own = classes[order]
-            several = np.minimum.reduceat(own, edges) != np.maximum.reduceat(own, edges)
-            which = order[np.repeat(several, np.diff(np.append(edges, len(order))))]
-            if not len(which):
-                continue
+            shared = np.zeros(len(hashes), bool)
+            parts = np.uint64(len(hashes) // STEP_BYTES + 1)
+            for k in range(int(parts)):
+                part = np.flatnonzero(hashes % parts == np.uint64(k))
+                part = part[np.argsort(hashes[part], kind="stable")]
+                edges, own = _runs(hashes[part]), classes[part]
+                if len(edges):
+                    several = np.minimum.reduceat(own, edges) != np.maximum.reduceat(own, edges)
+                    shared[part] = np.repeat(several, np.diff(np.append(edges, len(part))))
+            which = np.flatnonzero(shared)
             which = which[np.argsort(classes[which], kind="stable")]
             own, at = classes[which], places[which]
             edges = _runs(own)
-            made = [at[s:e].tobytes() for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(own)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(own[edges]), pa.array(made, pa.binary())], names=["class", "places"])
+            for k in range(0, len(edges), STEP_PLACES):
+                some = edges[k : k + STEP_PLACES]
+                to = np.append(some, edges[k + STEP_PLACES] if k + STEP_PLACES < len(edges) else len(own))
+                made = [None, pa.py_buffer(((to - to[0]) * at.itemsize).astype(np.int32)), pa.py_buffer(at[to[0] : to[-1]])]
+                yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.Array.from_buffers(pa.binary(), len(some), made)], names=["class", "places"])
 
     dealt = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(giving_back(run), "class long, places binary")
 
 
 def surroundings(texts: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
-    """(bucket, docs, tags, froms, kinds, sizes, bytes): what lies around the shared anchors
-    of each text. Within a batch equal surroundings of a bucket are sent once; ``kinds`` tells
-    which one each place has."""
+    """(bucket, docs, tags, froms, kinds, sizes, backs, bytes): what lies around the shared anchors
+    of each text, and how far into it the anchor begins. Of those sent together equal
+    surroundings of a bucket are sent once; ``kinds`` tells which one each place has."""
     back = length - ANCHOR
 
     def run(batch: pa.RecordBatch):
-        import zstandard
-
-        packer = zstandard.ZstdCompressor(level=1)
-        doc_ids, own_tags, lists = batch.column(0).to_numpy(), batch.column(3).to_numpy(), batch.column(2).to_pylist()
+        doc_ids, own_tags, lists = batch.column(0).to_numpy(), batch.column(3).to_numpy(), batch.column(2)
         found: list[tuple] = []
+        held = 0
         for a, b, data, starts, sizes in _batches(batch.column(1)):
-            each = [np.unique(np.concatenate([np.frombuffer(p, "<u4") for p in parts])).astype(np.int64) for parts in lists[a:b]]
-            owner = np.repeat(np.arange(b - a), [len(e) for e in each])
-            place = np.concatenate(each) + starts[owner]
-            values = _BYTES[data]
-            low, high = np.maximum(place - back, starts[owner]), np.minimum(place + length, (starts + sizes)[owner])
-            bucket = (span_hashes(values, place, place + ANCHOR) >> np.uint64(24)) % np.uint64(buckets)
-            names = span_hashes(values, low, high) ^ bucket  # equal surroundings of one bucket
-            _, first, kind = np.unique(names, return_index=True, return_inverse=True)
-            n = (high - low)[first]
-            found.append((bucket, doc_ids[a:b][owner], own_tags[a:b][owner], low - starts[owner], names, names[first], n, data[ranges(low[first], n)], bucket[first]))
-        bucket, docs, tags, froms, names = (np.concatenate([f[k] for f in found]) for k in range(5))
-        kept_names, first = np.unique(np.concatenate([f[5] for f in found]), return_index=True)
-        n = np.concatenate([f[6] for f in found])
-        at, data = np.cumsum(n) - n, np.concatenate([f[7] for f in found])
-        home = np.concatenate([f[8] for f in found])[first]
-        of_bucket = np.argsort(home, kind="stable")
-        rank = np.empty(len(first), np.int64)
-        rank[of_bucket] = np.arange(len(first))
-        kind = rank[np.searchsorted(kept_names, names)]
-        first, home = first[of_bucket], home[of_bucket]
-        order = np.argsort(bucket, kind="stable")
-        edges = _runs(bucket[order])
-        rows = []
-        for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
-            part = order[s:e]
-            number = bucket[part[0]]
-            low, high = np.searchsorted(home, [number, number + np.uint64(1)])
-            some = first[low:high]
-            rows.append((
-                int(number), planes(docs[part], "<i8"), planes(tags[part], "<u4"), planes(froms[part], "<u4"),
-                planes(kind[part] - low, "<u4"), planes(n[some], "<u4"), packer.compress(data[ranges(at[some], n[some])].tobytes()),
-            ))
-        columns = ["bucket", "docs", "tags", "froms", "kinds", "sizes", "bytes"]
-        types = [pa.int32()] + [pa.binary()] * 6
-        for k in range(0, len(rows), 512):
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows[k : k + 512], strict=True), types, strict=True)], names=columns)
+            each = [np.unique(np.concatenate([np.frombuffer(p, "<u4") for p in parts])).astype(np.int64) for parts in lists.slice(a, b - a).to_pylist()]
+            owners = np.repeat(np.arange(b - a), [len(e) for e in each])
+            places = np.concatenate(each) + starts[owners]
+            for k in range(0, len(places), STEP_PLACES):
+                owner, place = owners[k : k + STEP_PLACES], places[k : k + STEP_PLACES]
+                low, high = np.maximum(place - back, starts[owner]), np.minimum(place + length, (starts + sizes)[owner])
+                bucket = (hashes_of(data, place, place + ANCHOR) >> np.uint64(24)) % np.uint64(buckets)
+                # Equal surroundings of one bucket, with the anchor at the same place.
+                names = hashes_of(data, low, high) ^ bucket ^ ((place - low).astype(np.uint64) << np.uint64(32))
+                _, first = np.unique(names, return_index=True)
+                n = (high - low)[first]
+                found.append((
+                    bucket, doc_ids[a:b][owner], own_tags[a:b][owner], low - starts[owner], names,
+                    names[first], n, data[ranges(low[first], n)], bucket[first], (place - low)[first],
+                ))
+                held += int(n.sum()) + 8 * len(place)
+                if held >= HELD_BYTES:
+                    yield from _sent(found)
+                    found, held = [], 0
+        if found:
+            yield from _sent(found)
 
     return map_arrow(
         texts.select("doc_id", "text", "lists", "tag"), run,
-        "bucket int, docs binary, tags binary, froms binary, kinds binary, sizes binary, bytes binary",
+        "bucket int, docs binary, tags binary, froms binary, kinds binary, sizes binary, backs binary, bytes binary",
     )
 
 
+def _sent(found: list[tuple]):
+    """The rows of ``surroundings``, by bucket."""
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=1)
+    bucket, docs, tags, froms, names = (np.concatenate([f[k] for f in found]) for k in range(5))
+    kept_names, first = np.unique(np.concatenate([f[5] for f in found]), return_index=True)
+    n = np.concatenate([f[6] for f in found])
+    at, data = np.cumsum(n) - n, np.concatenate([f[7] for f in found])
+    home = np.concatenate([f[8] for f in found])[first]
+    backs = np.concatenate([f[9] for f in found])
+    of_bucket = np.argsort(home, kind="stable")
+    rank = np.empty(len(first), np.int64)
+    rank[of_bucket] = np.arange(len(first))
+    kind = rank[np.searchsorted(kept_names, names)]
+    first, home = first[of_bucket], home[of_bucket]
+    order = np.argsort(bucket, kind="stable")
+    edges = _runs(bucket[order])
+    columns = ["bucket", "docs", "tags", "froms", "kinds", "sizes", "backs", "bytes"]
+    types = [pa.int32()] + [pa.binary()] * 7
+    rows, packed = [], 0
+    for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
+        part = order[s:e]
+        number = bucket[part[0]]
+        low, high = np.searchsorted(home, [number, number + np.uint64(1)])
+        some = first[low:high]
+        rows.append((
+            int(number), planes(docs[part], "<i8"), planes(tags[part], "<u4"), planes(froms[part], "<u4"), planes(kind[part] - low, "<u4"),
+            planes(n[some], "<u4"), planes(backs[some], "<u4"), packer.compress(data[ranges(at[some], n[some])].tobytes()),
+        ))
+        packed += sum(map(len, rows[-1][1:]))
+        if e == len(order) or len(rows) == 512 or packed >= BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], names=columns)
+            rows, packed = [], 0
+
+
 def first_owners(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, owners: np.ndarray, length: int = LENGTH):
     """Over pieces of text: (piece, place in it, smallest owner of a piece that holds the string
     of ``length`` bytes from there) for every such place, from a suffix array of all pieces."""
@@ -248,6 +309,62 @@ def first_owners(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, owners
     return piece[places], places - begins[piece[places]], first[places]
 
 
+def owners_beside(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, backs: np.ndarray, owners: np.ndarray, length: int = LENGTH):
+    """Over pieces with one anchor, for each place relative to it: (pieces, places in them, smallest
+    owner of a piece that has the string of ``length`` bytes there), from the sorted suffixes."""
+    for ahead in range(length - ANCHOR + 1):
+        at = backs - ahead
+        which = np.flatnonzero((at >= 0) & (at + length <= sizes))
+        if not len(which):
+            continue
+        order, opens = sort_strings(data, starts[which] + at[which], length)
+        edges = np.flatnonzero(opens)
+        least = np.minimum.reduceat(owners[which[order]], edges)
+        first = np.empty(len(which), np.int64)
+        first[order] = np.repeat(least, np.diff(np.append(edges, len(order))))
+        yield which, at[which], first
+
+
+def _hits(docs: np.ndarray, kind: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, backs: np.ndarray, length: int):
+    """(places, for each the starts in its piece that a smaller document has too), a step at a time.
+    ``kind`` is the piece of each place; the pieces are distinct."""
+    least = np.full(len(starts), np.iinfo(np.int64).max)
+    np.minimum.at(least, kind, docs)
+    names = hashes_of(data, starts + backs, starts + backs + ANCHOR)
+    by_name = np.argsort(names, kind="stable")
+    edges = _runs(names[by_name])
+    steps = list(runs_by_size(np.add.reduceat(sizes[by_name], edges).tolist(), STEP_BYTES))
+    bounds = np.append(edges, len(by_name))
+    step_of = np.empty(len(starts), np.int32)
+    for k, (a, b) in enumerate(steps):
+        step_of[by_name[bounds[a] : bounds[b]]] = k
+    of_step = step_of[kind]
+    order = np.argsort(of_step, kind="stable")
+    cuts = np.searchsorted(of_step[order], np.arange(len(steps) + 1))
+    width = length - ANCHOR + 1
+    local = np.empty(len(starts), np.int64)
+    for k, (a, b) in enumerate(steps):
+        piece, place = by_name[bounds[a] : bounds[b]], order[cuts[k] : cuts[k + 1]]
+        local[piece] = np.arange(len(piece))
+        if b == a + 1 and sizes[piece].sum() > STEP_BYTES:
+            hit = np.zeros((len(place), width), bool)
+            of = local[kind[place]]
+            for which, at, first in owners_beside(data, starts[piece], sizes[piece], backs[piece], least[piece], length):
+                firsts, column = np.full(len(piece), np.iinfo(np.int64).max), np.zeros(len(piece), np.int64)
+                firsts[which], column[which] = first, at
+                rows = np.flatnonzero(firsts[of] < docs[place])
+                hit[rows, column[of[rows]]] = True
+            for n in range(0, len(place), STEP_PLACES):
+                yield place[n : n + STEP_PLACES], hit[n : n + STEP_PLACES]
+            continue
+        firsts = np.full((len(piece), width), np.iinfo(np.int64).max)
+        which, at, first = first_owners(data, starts[piece], sizes[piece], least[piece], length)
+        firsts[which, at] = first
+        for n in range(0, len(place), STEP_PLACES):
+            some = place[n : n + STEP_PLACES]
+            yield some, firsts[local[kind[some]]] < docs[some, None]
+
+
 def repeated_intervals(packed: DataFrame, partitions: int, length: int = LENGTH) -> DataFrame:
     """(doc_id, tag, low, high): bytes covered by strings that a smaller document has."""
 
@@ -255,37 +372,32 @@ def repeated_intervals(packed: DataFrame, partitions: int, length: int = LENGTH)
         import zstandard
 
         for rows in _by_bucket(batches):
-            docs, froms, sizes = _joined(rows, "docs", "<i8"), _joined(rows, "froms", "<u4"), _joined(rows, "sizes", "<u4").astype(np.int64)
-            opener = zstandard.ZstdDecompressor()
-            data = np.frombuffer(b"".join(opener.decompress(r["bytes"]) for r in rows), np.uint8)
-            tags = _joined(rows, "tags", "<u4").astype(np.int64)
+            docs, froms, tags = _joined(rows, "docs", "<i8"), _joined(rows, "froms", "<u4"), _joined(rows, "tags", "<u4")
+            sizes, backs = (_joined(rows, name, "<u4").astype(np.int64) for name in ("sizes", "backs"))
             # Numbers of surroundings in each row, as numbers in the bucket, then among distinct ones.
             ahead = np.cumsum([0] + [len(r["sizes"]) // 4 for r in rows[:-1]])
             sent = _joined(rows, "kinds", "<u4").astype(np.int64) + np.repeat(ahead, [len(r["kinds"]) // 4 for r in rows])
+            opener, data, filled = zstandard.ZstdDecompressor(), np.empty(int(sizes.sum()), np.uint8), 0
+            for row in rows:
+                part = np.frombuffer(opener.decompress(row["bytes"]), np.uint8)
+                data[filled : filled + len(part)] = part
+                filled += len(part)
             starts = np.cumsum(sizes) - sizes
-            names = span_hashes(_BYTES[data], starts, starts + sizes)
+            names = hashes_of(data, starts, starts + sizes) ^ (backs.astype(np.uint64) << np.uint64(32))
             _, one, kind = np.unique(names, return_index=True, return_inverse=True)
-            kind = kind[sent]
-            least = np.full(len(one), np.iinfo(np.int64).max)
-            np.minimum.at(least, kind, docs)
-            piece, place, first = first_owners(data, starts[one], sizes[one], least, length)
-            # Starts of each distinct piece, laid out for every document that has it.
-            begin = np.searchsorted(piece, np.arange(len(one) + 1))
-            count = np.diff(begin)[kind]
-            which = ranges(begin[kind], count)
-            owner = np.repeat(np.arange(len(docs)), count)
-            hit = first[which] < docs[owner]
-            owner, at = owner[hit], place[which[hit]]
-            if not len(owner):
-                continue
-            opens = np.concatenate([[True], (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)])
-            edges = np.flatnonzero(opens)
-            ends = np.append(edges[1:], len(at)) - 1
-            base = froms[owner[edges]].astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs[owner[edges]]), pa.array(tags[owner[edges]]), pa.array(base + at[edges]), pa.array(base + at[ends] + length)],
-                names=["doc_id", "tag", "low", "high"],
-            )
+            rank = np.empty(len(one), np.int64)
+            rank[np.argsort(one)] = np.arange(len(one))
+            one, kind = np.sort(one), rank[kind]  # in the order of the bytes
+            for place, hit in _hits(docs, kind[sent], data, starts[one], sizes[one], backs[one], length):
+                turns = np.diff(hit.astype(np.int8), axis=1, prepend=0, append=0)
+                (which, low), (_, end) = np.nonzero(turns > 0), np.nonzero(turns < 0)
+                if not len(which):
+                    continue
+                which, base = place[which], froms[place[which]].astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(docs[which]), pa.array(tags[which].astype(np.int64)), pa.array(base + low), pa.array(base + end - 1 + length)],
+                    names=["doc_id", "tag", "low", "high"],
+                )
 
     dealt = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(giving_back(run), "doc_id long, tag long, low long, high long")
