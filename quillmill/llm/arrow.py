@@ -20,6 +20,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
+            del batch  # before the next one is read
         give_back()
 
     return df.mapInArrow(run, schema)

@@ -99,6 +99,18 @@ def hashes_of(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray
     return out
 
 
+def pieces_of(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of all pieces, one after another, taken a step at a time."""
+    ends = np.cumsum(sizes)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    a = done = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, done + STEP_BYTES, side="right")))
+        out[done : ends[b - 1]] = data[ranges(starts[a:b], sizes[a:b])]
+        a, done = b, int(ends[b - 1])
+    return out
+
+
 def _batches(column: pa.Array):
     """(first row, last row, bytes, starts, sizes) of runs of documents. The bytes are those of
     the column, which are not copied."""
@@ -239,7 +251,7 @@ def surroundings(texts: DataFrame, buckets: int, length: int = LENGTH) -> DataFr
                 n = (high - low)[first]
                 found.append((
                     bucket, doc_ids[a:b][owner], own_tags[a:b][owner], low - starts[owner], names,
-                    names[first], n, data[ranges(low[first], n)], bucket[first], (place - low)[first],
+                    names[first], n, pieces_of(data, low[first], n), bucket[first], (place - low)[first],
                 ))
                 held += int(n.sum()) + 8 * len(place)
                 if held >= HELD_BYTES:
@@ -282,7 +294,7 @@ def _sent(found: list[tuple]):
         some = first[low:high]
         rows.append((
             int(number), planes(docs[part], "<i8"), planes(tags[part], "<u4"), planes(froms[part], "<u4"), planes(kind[part] - low, "<u4"),
-            planes(n[some], "<u4"), planes(backs[some], "<u4"), packer.compress(data[ranges(at[some], n[some])].tobytes()),
+            planes(n[some], "<u4"), planes(backs[some], "<u4"), packer.compress(pieces_of(data, at[some], n[some])),
         ))
         packed += sum(map(len, rows[-1][1:]))
         if e == len(order) or len(rows) == 512 or packed >= BATCH_BYTES:
@@ -331,18 +343,20 @@ def _hits(docs: np.ndarray, kind: np.ndarray, data: np.ndarray, starts: np.ndarr
     least = np.full(len(starts), np.iinfo(np.int64).max)
     np.minimum.at(least, kind, docs)
     names = hashes_of(data, starts + backs, starts + backs + ANCHOR)
-    by_name = np.argsort(names, kind="stable")
+    by_name = np.argsort(names, kind="stable").astype(np.int32)
     edges = _runs(names[by_name])
+    del names
     steps = list(runs_by_size(np.add.reduceat(sizes[by_name], edges).tolist(), STEP_BYTES))
     bounds = np.append(edges, len(by_name))
     step_of = np.empty(len(starts), np.int32)
     for k, (a, b) in enumerate(steps):
         step_of[by_name[bounds[a] : bounds[b]]] = k
     of_step = step_of[kind]
-    order = np.argsort(of_step, kind="stable")
-    cuts = np.searchsorted(of_step[order], np.arange(len(steps) + 1))
+    order = np.argsort(of_step, kind="stable").astype(np.int32)
+    cuts = np.append(0, np.cumsum(np.bincount(of_step, minlength=len(steps))))
+    del step_of, of_step
     width = length - ANCHOR + 1
-    local = np.empty(len(starts), np.int64)
+    local = np.empty(len(starts), np.int32)
     for k, (a, b) in enumerate(steps):
         piece, place = by_name[bounds[a] : bounds[b]], order[cuts[k] : cuts[k + 1]]
         local[piece] = np.arange(len(piece))
@@ -385,10 +399,11 @@ def repeated_intervals(packed: DataFrame, partitions: int, length: int = LENGTH)
             starts = np.cumsum(sizes) - sizes
             names = hashes_of(data, starts, starts + sizes) ^ (backs.astype(np.uint64) << np.uint64(32))
             _, one, kind = np.unique(names, return_index=True, return_inverse=True)
-            rank = np.empty(len(one), np.int64)
+            rank = np.empty(len(one), np.int32)
             rank[np.argsort(one)] = np.arange(len(one))
-            one, kind = np.sort(one), rank[kind]  # in the order of the bytes
-            for place, hit in _hits(docs, kind[sent], data, starts[one], sizes[one], backs[one], length):
+            one, kind = np.sort(one), rank[kind][sent]  # in the order of the bytes
+            del names, rank, sent
+            for place, hit in _hits(docs, kind, data, starts[one], sizes[one], backs[one], length):
                 turns = np.diff(hit.astype(np.int8), axis=1, prepend=0, append=0)
                 (which, low), (_, end) = np.nonzero(turns > 0), np.nonzero(turns < 0)
                 if not len(which):
@@ -423,6 +438,10 @@ def _cut(rows: DataFrame, carried: list[str]) -> DataFrame:
     names = [f.name for f in kept_fields]
 
     def run(batch: pa.RecordBatch):
+        for a, b, *_ in _batches(batch.column("text")):
+            yield cut(batch.slice(a, b - a))
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         column = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
         lists = column["intervals"]
         flat = lists.flatten()
@@ -446,7 +465,7 @@ def _cut(rows: DataFrame, carried: list[str]) -> DataFrame:
             texts.append(kept[-1].decode("utf-8", "ignore"))
         kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
         values = [pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(texts, pa.string())]
-        yield pa.RecordBatch.from_arrays([column[n] for n in names] + values, names=schema.names)
+        return pa.RecordBatch.from_arrays([column[n] for n in names] + values, names=schema.names)
 
     return map_arrow(rows, run, schema)
 

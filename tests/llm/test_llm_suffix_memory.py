@@ -5,6 +5,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import types as T
 
 from quillmill.llm import suffix_dedup
 
@@ -120,3 +121,29 @@ def test_small_steps_give_the_same_rows(monkeypatch):
         monkeypatch.setattr(suffix_dedup, name, value)
         assert held(texts)[0] == want
         assert held(texts, 5)[0] == want
+
+
+def test_texts_are_cut_a_few_at_a_time():
+    r = random.Random(7)
+    texts = [text(r, 9_990) + f"{k:010d}" for k in range(3_000)]
+    spans = [[{"low": 100, "high": 150}, {"low": 140, "high": 300}] if k % 2 else None for k in range(3_000)]
+    batch = pa.RecordBatch.from_pydict({
+        "doc_id": pa.array(range(3_000), pa.int64()), "n_bytes": pa.array([10_000] * 3_000, pa.int64()), "digest": pa.array([str(k) for k in range(3_000)]),
+        "whole": pa.array([k % 10 == 4 for k in range(3_000)]), "text": pa.array(texts),
+        "intervals": pa.array(spans, pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))),
+    })
+    table = Taken()
+    table.schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("digest", T.StringType())])
+    fn, n = suffix_dedup._cut(table, []), 0
+    tracemalloc.start()
+    for part in fn(iter([batch])):
+        for row, shown in zip(part.select(["doc_id", "digest", "n_removed"]).to_pylist(), part.column("kept_text"), strict=True):
+            assert row["doc_id"] == n and row["digest"] == str(n)
+            assert row["n_removed"] == (200 if n % 2 else 10_000 if n % 10 == 4 else 0)
+            assert shown.as_py() == (texts[n][:100] + texts[n][300:] if n % 2 else "" if n % 10 == 4 else texts[n])
+            n += 1
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert n == 3_000
+    print(peak)
+    assert peak < 20
